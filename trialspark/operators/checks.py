@@ -221,12 +221,17 @@ def check_referential(
 
 
 def validation_suite(
-    spark: SparkSession, dm: DataFrame, ae: DataFrame, adsl: DataFrame, id_pattern: str
+    spark: SparkSession,
+    dm: DataFrame,
+    ae: DataFrame,
+    adsl: DataFrame,
+    id_pattern: str,
+    id_column: str = "USUBJID",
 ) -> DataFrame:
     """All ten checks. Row-level checks on ADSL share one pass over it."""
     return union_all(
         [
-            check_id_format(dm, id_pattern),
+            check_id_format(dm, id_pattern, id_column),
             check_required_columns(spark, dm),
             check_unique(adsl),
             fold(

@@ -22,7 +22,8 @@ SLICES = 16384
 MIN_SPLIT_ROWS = 1_000_000
 
 _RANGE = "__range"
-_N, _LO, _HI, _PARTS, _SKIP, _BEFORE = "__n", "__lo", "__hi", "__parts", "__skip", "__before"
+_N, _LO, _HI = "__grp_rows", "__grp_lo", "__grp_hi"
+_PARTS, _SKIP, _BEFORE = "__grp_parts", "__grp_skip", "__grp_before"
 
 
 def _position(key: Column, dtype: T.DataType) -> Column:

@@ -15,8 +15,6 @@ from trialspark.functions import indicator
 from trialspark.operators.quantiles import exact_median
 from trialspark.operators.reshape import pivot_long, union_all
 
-N = F.lit(1)
-
 
 def _rate(flag: str = "DPTFL"):
     """Percent of rows with the flag, over all rows."""
@@ -31,7 +29,7 @@ def dropout_by_arm(adsl: DataFrame, by: Sequence[str] = ("TRT01PN", "TRT01P")) -
     return (
         adsl.groupBy(*by)
         .agg(
-            F.count(N).alias("N_TOTAL"),
+            F.count(F.lit(1)).alias("N_TOTAL"),
             _dropouts().alias("N_DROPOUT"),
             _rate().alias("PCT_DROPOUT"),
         )
@@ -41,7 +39,7 @@ def dropout_by_arm(adsl: DataFrame, by: Sequence[str] = ("TRT01PN", "TRT01P")) -
 
 def means_by_status(adsl: DataFrame, by: str = "DPTFL") -> DataFrame:
     return adsl.groupBy(by).agg(
-        F.count(N).alias("N"),
+        F.count(F.lit(1)).alias("N"),
         F.avg("COMPLPCT").alias("MEAN_COMPLIANCE"),
         F.avg("AENUM").alias("MEAN_AE_COUNT"),
         F.avg("AEMAXSEVN").alias("MEAN_MAX_SEV"),
@@ -55,7 +53,7 @@ def site_summary(
     return (
         adsl.groupBy(*by)
         .agg(
-            F.count(N).alias("N_TOTAL"),
+            F.count(F.lit(1)).alias("N_TOTAL"),
             _dropouts().alias("N_DROPOUT"),
             _rate().alias("PCT_DROPOUT"),
             F.avg("COMPLPCT").alias("MEAN_COMP"),
@@ -70,7 +68,7 @@ def arm_denominators(adsl: DataFrame) -> DataFrame:
     return (
         adsl.filter(F.col("SAFFL") == "Y")
         .groupBy("TRT01PN", "TRT01P")
-        .agg(F.count(N).alias("N_ARM"))
+        .agg(F.count(F.lit(1)).alias("N_ARM"))
         .orderBy("TRT01PN")
     )
 
@@ -125,7 +123,7 @@ def teae_by_term(
     )
     table = subjects.groupBy("AEBODSYS", "AEDECOD").agg(
         *[F.sum(indicator(F.col("TRT01PN") == a)).alias(name) for a, name in arms.items()],
-        F.count(N).alias("N_TOTAL"),
+        F.count(F.lit(1)).alias("N_TOTAL"),
     )
     if min_pct is None:
         frequent = F.greatest(*arms.values()) >= min_n
@@ -142,7 +140,7 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     cells = (
         df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
         .groupBy(row, column)
-        .agg(F.count(N).alias("N"))
+        .agg(F.count(F.lit(1)).alias("N"))
     )
     by_row = cells.groupBy(row).agg(F.sum("N").alias("__row"))
     by_column = cells.groupBy(column).agg(F.sum("N").alias("__col"))
@@ -168,7 +166,7 @@ def continuous_summary(
         "ARM", F.explode(F.array(F.col(arm).cast("string"), F.lit(overall)))
     )
     stats = both.groupBy("VARIABLE", "ARM").agg(
-        F.count(N).alias("N"),
+        F.count(F.lit(1)).alias("N"),
         F.avg("__x").alias("MEAN"),
         F.stddev_samp("__x").alias("SD"),
         F.min("__x").alias("MIN"),
@@ -191,7 +189,7 @@ def categorical_summary(
     cells = (
         pivot_long(complete, [arm], variables, "VARIABLE", "LEVEL", "string")
         .groupBy("VARIABLE", "LEVEL", arm)
-        .agg(F.count(N).alias("N"))
+        .agg(F.count(F.lit(1)).alias("N"))
     )
     levels = cells.groupBy("VARIABLE", "LEVEL").agg(F.sum("N").alias("__level"))
     arms = cells.groupBy("VARIABLE", arm).agg(F.sum("N").alias("__arm"))
@@ -219,13 +217,13 @@ def dropout_reasons(adsl: DataFrame) -> DataFrame:
     return (
         adsl.filter(F.col("DPTFL") == "Y")
         .groupBy("TRT01P", "TRT01PN", "DSDECOD")
-        .agg(F.count(N).alias("N"))
+        .agg(F.count(F.lit(1)).alias("N"))
     )
 
 
 def kpis(adsl: DataFrame) -> DataFrame:
     return adsl.agg(
-        F.count(N).alias("N_SUBJECTS"),
+        F.count(F.lit(1)).alias("N_SUBJECTS"),
         _rate().alias("PCT_DROPOUT"),
         F.avg("COMPLPCT").alias("MEAN_COMPLIANCE"),
         F.avg("AENUM").alias("MEAN_AE"),
@@ -234,7 +232,7 @@ def kpis(adsl: DataFrame) -> DataFrame:
 
 def demographics_by_arm(adsl: DataFrame) -> DataFrame:
     return adsl.groupBy("TRT01P").agg(
-        F.count(N).alias("N"),
+        F.count(F.lit(1)).alias("N"),
         F.avg("AGE").alias("AGE_MEAN"),
         F.stddev_samp("AGE").alias("AGE_SD"),
         F.avg(F.when(F.col("SEX") == "F", 100.0).otherwise(0.0)).alias("PCT_FEMALE"),
@@ -253,7 +251,7 @@ def histogram(
     return (
         df.filter(x.isNotNull())
         .groupBy(F.col(group), centre.alias("BIN"))
-        .agg(F.count(N).alias("N"), F.sum(indicator(x < threshold)).alias("N_BELOW"))
+        .agg(F.count(F.lit(1)).alias("N"), F.sum(indicator(x < threshold)).alias("N_BELOW"))
     )
 
 
@@ -279,7 +277,7 @@ def dm_summary(dm: DataFrame) -> DataFrame:
 
 
 def disposition_frequency(ds: DataFrame) -> DataFrame:
-    return ds.groupBy("DSDECOD").agg(F.count(N).alias("N")).orderBy(F.desc("N"), "DSDECOD")
+    return ds.groupBy("DSDECOD").agg(F.count(F.lit(1)).alias("N")).orderBy(F.desc("N"), "DSDECOD")
 
 
 def batch_risk_summary(
@@ -289,7 +287,7 @@ def batch_risk_summary(
         return F.sum(indicator(F.col(tier) == label))
 
     return scored.agg(
-        F.count(N).alias("N_PATIENTS"),
+        F.count(F.lit(1)).alias("N_PATIENTS"),
         tiers("High Risk").alias("N_HIGH_RISK"),
         tiers("Moderate Risk").alias("N_MODERATE_RISK"),
         tiers("Low Risk").alias("N_LOW_RISK"),
@@ -315,7 +313,7 @@ def distinct_values(
 
 def dataset_profile(df: DataFrame, flag: str = "DPTFL") -> DataFrame:
     """Rows, percent flagged, and the column list, in one row."""
-    return df.agg(F.count(N).alias("N_SUBJECTS"), _rate(flag).alias("FLAG_RATE")).withColumn(
+    return df.agg(F.count(F.lit(1)).alias("N_SUBJECTS"), _rate(flag).alias("FLAG_RATE")).withColumn(
         "COLUMNS", F.lit(",".join(df.columns))
     )
 
@@ -324,7 +322,7 @@ def dataset_inventory(datasets: Mapping[str, DataFrame], texts: Mapping[str, str
     """One row per dataset: name, description, records."""
     return union_all(
         [
-            df.agg(F.count(N).alias("RECORDS")).select(
+            df.agg(F.count(F.lit(1)).alias("RECORDS")).select(
                 F.lit(name).alias("DATASET"), F.lit(texts.get(name, name)).alias("DOMAIN"), "RECORDS"
             )
             for name, df in datasets.items()
