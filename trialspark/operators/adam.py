@@ -18,6 +18,7 @@ from trialspark.functions import (
     treatment_emergent,
 )
 from trialspark.operators.rows import default_missing
+from trialspark.operators.skew import join_many_to_one
 
 
 def ae_burden(
@@ -127,21 +128,17 @@ def build_adsl(
     return derived.select(*S.ADSL.fieldNames())
 
 
-def build_adae(ae: DataFrame, adsl: DataFrame) -> DataFrame:
+def build_adae(ae: DataFrame, adsl: DataFrame, **limits) -> DataFrame:
     """One row per event of a known subject, with subject columns and derived flags."""
     subject = adsl.select(
         "USUBJID", "SITEID", "TRT01P", "TRT01PN", "AGE", "SEX", "DPTFL",
         F.col("RFSTDTC").alias("__rfst"),
     )
-    out = (
-        ae.drop("SITEID")
-        .join(subject, "USUBJID", "inner")
-        .withColumns(
-            {
-                "DATASET": F.lit("ADAE"),
-                "AESEVN": severity_code(F.col("AESEV")),
-                "TRTEMFL": treatment_emergent(F.col("AESTDTC"), F.col("__rfst")),
-            }
-        )
+    out = join_many_to_one(ae.drop("SITEID"), subject, "USUBJID", **limits).withColumns(
+        {
+            "DATASET": F.lit("ADAE"),
+            "AESEVN": severity_code(F.col("AESEV")),
+            "TRTEMFL": treatment_emergent(F.col("AESTDTC"), F.col("__rfst")),
+        }
     )
     return out.select(*S.ADAE.fieldNames())

@@ -17,7 +17,6 @@ from trialspark.functions import (
     differs, indicator, iso_date, not_before, not_in_set, outside,
 )
 from trialspark.operators.reshape import union_all
-from trialspark.operators.rows import orphans
 
 
 @dataclass(frozen=True)
@@ -216,7 +215,7 @@ def check_referential(
 ) -> DataFrame:
     """Child rows without a parent, counted per key first so that only keys are joined."""
     per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    lost = orphans(per_key, parent, key)
+    lost = per_key.join(parent.select(key), key, "left_anti")
     return check_row(check, lost.agg(F.sum("__n").alias("N_ISSUES")))
 
 

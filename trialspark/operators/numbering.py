@@ -15,11 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-# A group is split when it has more rows than both limits: MIN_SPLIT_ROWS and 1/SLICES of all
-# rows. So at most SLICES groups are split, into at most 2 * SLICES ranges in total, and the
-# tables of split groups and of range offsets stay small enough to broadcast at any data size.
-SLICES = 16384
-MIN_SPLIT_ROWS = 1_000_000
+from trialspark.operators.skew import MIN_SPLIT_ROWS, SLICES, join_many_to_one, split_unit
 
 _RANGE = "__range"
 _N, _LO, _HI = "__grp_rows", "__grp_lo", "__grp_hi"
@@ -67,49 +63,65 @@ def _range_number(key: Column, dtype: T.DataType, low, high, parts, skip) -> Col
     return F.when(key.isNull(), -1).otherwise(F.greatest(F.least(index, parts - 1), F.lit(0)))
 
 
-def _matches(columns: Sequence[str], prefix: str) -> list[Column]:
-    return [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns]
+def _same(columns: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of columns with their prefixed twins."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(prefix + c))
+    return out
 
 
 def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in columns})
 
 
-def _all(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
-def _with_ranges(
-    df: DataFrame, group: Sequence[str], key: str, min_rows: int, slices: int
+def split_ranges(
+    df: DataFrame,
+    group: Sequence[str],
+    key: str,
+    min_rows: int = MIN_SPLIT_ROWS,
+    slices: int = SLICES,
 ) -> DataFrame:
-    """Add the range index of rows in large groups (null for rows of ordinary groups)."""
+    """Add the range index and the size of large groups (both null for ordinary groups)."""
     dtype = df.schema[key].dataType
     sizes = df.groupBy(*group).agg(
         F.count(F.lit(1)).alias(_N), F.min(key).alias(_LO), F.max(key).alias(_HI)
     )
-    unit = F.greatest(
-        F.lit(min_rows).cast("double"),
-        sizes.agg(F.sum(_N)).scalar().cast("double") / F.lit(float(slices)),
-    )
+    unit = split_unit(sizes, _N, min_rows, slices)
     large = sizes.withColumn(_PARTS, F.ceil(F.col(_N) / unit).cast("int")).filter(
         F.col(_N) > unit
     )
-    if isinstance(dtype, T.StringType):
+    text = isinstance(dtype, T.StringType)
+    if text:
         large = large.withColumn(_SKIP, _common_prefix(F.col(_LO), F.col(_HI)))
-    large = _prefixed(large, group, "__h_")
-    joined = df.join(F.broadcast(large), _all(_matches(group, "__h_")), "left")
+    joined = df.join(F.broadcast(_prefixed(large, group, "__h_")), _same(group, "__h_"), "left")
     index = _range_number(
-        F.col(key), dtype, F.col(_LO), F.col(_HI), F.col(_PARTS),
-        F.col(_SKIP) if isinstance(dtype, T.StringType) else None,
+        F.col(key), dtype, F.col(_LO), F.col(_HI), F.col(_PARTS), F.col(_SKIP) if text else None
     )
     return joined.withColumn(_RANGE, F.when(F.col(_N).isNotNull(), index)).drop(
         _LO, _HI, _PARTS, _SKIP, *["__h_" + c for c in group]
     )
 
 
+def _drop_ranges(df: DataFrame) -> DataFrame:
+    return df.drop(_RANGE, _N)
+
+
+def _with_offsets(
+    marked: DataFrame, group: Sequence[str], sums: Mapping[str, Column], offsets: Mapping[str, Column]
+) -> DataFrame:
+    """Join per-range offsets (window expressions over the range sums) to the rows of ranges."""
+    cells = marked.filter(F.col(_RANGE).isNotNull()).groupBy(*group, _RANGE).agg(
+        *[value.alias(name) for name, value in sums.items()]
+    )
+    table = cells.select(*group, _RANGE, *[e.alias(n) for n, e in offsets.items()])
+    table = _prefixed(table, [*group, _RANGE], "__o_")
+    match = _same(group, "__o_") & (F.col(_RANGE) == F.col("__o_" + _RANGE))
+    return marked.join(F.broadcast(table), match, "left").drop(
+        "__o_" + _RANGE, *["__o_" + c for c in group]
+    )
+
+
 def numbered(
     df: DataFrame,
     group: Sequence[str],
@@ -123,107 +135,84 @@ def numbered(
     """Row number 1..n inside each group, and optionally the group size.
 
     ``order`` must identify a row inside its group; rows that tie on all of it are numbered in
-    any order. The data is shuffled once, by (group, range).
+    any order. Ranges are cut on its first column. The data is shuffled once, by (group, range).
     """
     group, order = list(group), list(order)
-    marked = _with_ranges(df, group, order[0], min_rows, slices)
+    marked = split_ranges(df, group, order[0], min_rows, slices)
     earlier = Window.partitionBy(*group).orderBy(_RANGE).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = (
-        marked.filter(F.col(_RANGE).isNotNull())
-        .groupBy(*group, _RANGE)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .withColumn(_BEFORE, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)))
-        .drop("__rows")
+    marked = _with_offsets(
+        marked, group, {"__rows": F.count(F.lit(1))}, {_BEFORE: F.sum("__rows").over(earlier)}
     )
-    offsets = _prefixed(offsets, [*group, _RANGE], "__o_")
-    same_range = _all([*_matches(group, "__o_"), F.col(_RANGE) == F.col("__o_" + _RANGE)])
     cell = Window.partitionBy(*group, _RANGE)
-    out = marked.join(F.broadcast(offsets), same_range, "left").withColumn(
-        name,
-        (
-            F.row_number().over(cell.orderBy(*order)) + F.coalesce(F.col(_BEFORE), F.lit(0))
-        ).cast(dtype),
-    )
+    position = F.row_number().over(cell.orderBy(*order)) + F.coalesce(F.col(_BEFORE), F.lit(0))
+    out = marked.withColumn(name, position.cast(dtype))
     if total:
-        out = out.withColumn(
-            total, F.coalesce(F.col(_N), F.count(F.lit(1)).over(cell)).cast("long")
-        )
-    return out.drop(_RANGE, _N, _BEFORE, "__o_" + _RANGE, *["__o_" + c for c in group])
+        size = F.coalesce(F.col(_N), F.count(F.lit(1)).over(cell))
+        out = out.withColumn(total, size.cast("long"))
+    return _drop_ranges(out).drop(_BEFORE)
 
 
-def running(
-    df: DataFrame,
+def accumulate(
+    marked: DataFrame,
     group: Sequence[str],
     order: str,
     totals: Mapping[str, Column],
-    bounds: tuple[float, float] | None = None,
-    ranges: int = 1024,
     descending: bool = False,
     products: Sequence[str] = (),
+    group_totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Running aggregates up to and including each row, per group.
+    """Running totals over the rows of ``split_ranges``, which has one row per (group, order).
 
-    ``df`` has one row per (group, order). ``totals`` maps new columns to the summed values;
-    names listed in ``products`` are multiplied instead. ``bounds`` gives known limits of the
-    ordering key and saves the pass that finds them. Every (group, range) is one window
-    partition; the offsets of earlier ranges come from at most ``ranges`` rows per group.
+    ``totals`` maps new columns to the summed values, up to and including each row; names listed
+    in ``products`` are multiplied instead. ``group_totals`` maps new columns to names of totals
+    whose value over the whole group is wanted.
     """
-    group = list(group)
-    dtype = df.schema[order].dataType
-    if bounds is None:
-        limits = df.groupBy(*group).agg(F.min(order).alias(_LO), F.max(order).alias(_HI))
-        if isinstance(dtype, T.StringType):
-            limits = limits.withColumn(_SKIP, _common_prefix(F.col(_LO), F.col(_HI)))
-        limits = _prefixed(limits, group, "__h_")
-        base = df.join(limits, _all(_matches(group, "__h_")), "inner").drop(
-            *["__h_" + c for c in group]
-        )
-        low, high = F.col(_LO), F.col(_HI)
-    else:
-        base, (low, high) = df, (F.lit(float(b)) for b in bounds)
-    skip = F.col(_SKIP) if isinstance(dtype, T.StringType) else None
-    base = base.withColumns({f"__v_{n}": v for n, v in totals.items()}).withColumn(
-        _RANGE, _range_number(F.col(order), dtype, low, high, F.lit(ranges), skip)
-    )
+    group, group_totals = list(group), dict(group_totals or {})
 
     def merge(name: str, value: Column) -> Column:
         return F.product(value) if name in products else F.sum(value)
 
     direction = F.desc if descending else F.asc
-    cells = base.groupBy(*group, _RANGE).agg(
-        *[merge(n, F.col(f"__v_{n}")).alias(f"__c_{n}") for n in totals]
-    )
-    before = Window.partitionBy(*group).orderBy(direction(_RANGE)).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = cells.select(
-        *group, _RANGE,
-        *[
-            F.coalesce(merge(n, F.col(f"__c_{n}")).over(before), F.lit(int(n in products))).alias(
-                f"__b_{n}"
-            )
-            for n in totals
-        ],
-    )
-    offsets = _prefixed(offsets, [*group, _RANGE], "__o_")
-    upto = (
-        Window.partitionBy(*group, _RANGE)
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(direction(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+    valued = marked.withColumns({f"__v_{n}": v for n, v in totals.items()})
+    joined = _with_offsets(
+        valued,
+        group,
+        {f"__c_{n}": merge(n, F.col(f"__v_{n}")) for n in totals},
+        {
+            **{f"__b_{n}": merge(n, F.col(f"__c_{n}")).over(before) for n in totals},
+            **{f"__t_{n}": F.sum(f"__c_{n}").over(whole) for n in group_totals.values()},
+        },
     )
+    cell = Window.partitionBy(*group, _RANGE)
+    upto = cell.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
+    new = {}
+    for n in totals:
+        inside, prior = merge(n, F.col(f"__v_{n}")).over(upto), F.col(f"__b_{n}")
+        if n in products:
+            new[n] = inside * F.coalesce(prior, F.lit(1.0))
+        else:
+            new[n] = inside + F.coalesce(prior, F.lit(0))
+    for n, source in group_totals.items():
+        new[n] = F.coalesce(F.col(f"__t_{source}"), F.sum(f"__v_{source}").over(cell))
+    return joined.withColumns(new).select(*marked.columns, *new)
 
-    def combined(name: str) -> Column:
-        inside = merge(name, F.col(f"__v_{name}")).over(upto)
-        prior = F.col(f"__b_{name}")
-        return inside * prior if name in products else inside + prior
 
-    return (
-        base.join(offsets, _all(_matches([*group, _RANGE], "__o_")), "inner")
-        .withColumns({n: combined(n) for n in totals})
-        .select(*df.columns, *totals)
-    )
+def running(
+    df: DataFrame,
+    group: Sequence[str],
+    order: str,
+    totals: Mapping[str, Column],
+    min_rows: int = MIN_SPLIT_ROWS,
+    slices: int = SLICES,
+    **how,
+) -> DataFrame:
+    """Running totals per group in one step; see ``accumulate``."""
+    marked = split_ranges(df, group, order, min_rows, slices)
+    return _drop_ranges(accumulate(marked, group, order, totals, **how))
 
 
 def sequence_within(
@@ -252,14 +241,15 @@ def global_sequence(
     totals over the table of group sizes.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size")).withColumn("__all", F.lit(0))
-    starts = running(sizes, ["__all"], group, {"__upto": F.col("__size")}).select(
-        F.col(group).alias("__g"), (F.col("__upto") - F.col("__size")).alias("__start")
-    )
+    upto = running(sizes, ["__all"], group, {"__upto": F.col("__size")}, **limits)
+    starts = upto.select(F.col(group), (F.col("__upto") - F.col("__size")).alias("__start"))
     inside = numbered(df, [group], order, "__in_group", **limits)
     return (
-        inside.join(starts, F.col(group).eqNullSafe(F.col("__g")), "left")
+        join_many_to_one(
+            inside, starts, group, "left", spread=order, sizes=sizes, null_safe=True, **limits
+        )
         .withColumn(name, (F.col("__in_group") + F.col("__start")).cast("long"))
-        .drop("__g", "__start", "__in_group")
+        .drop("__start", "__in_group")
     )
 
 

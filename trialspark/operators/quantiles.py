@@ -15,7 +15,7 @@ from trialspark.operators.numbering import running
 
 
 def exact_median(
-    df: DataFrame, group: Sequence[str], value: str, name: str = "MEDIAN", ranges: int = 1024
+    df: DataFrame, group: Sequence[str], value: str, name: str = "MEDIAN", **limits
 ) -> DataFrame:
     """Median per group (mean of the two middle values); nulls are ignored."""
     group = list(group)
@@ -24,23 +24,20 @@ def exact_median(
         .groupBy(*group, F.col(value).cast("double").alias("__value"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    upto = running(counts, group, "__value", {"__upto": F.col("__n")}, ranges=ranges)
-    sizes = counts.groupBy(*group).agg(F.sum("__n").alias("__size"))
-    sizes = sizes.withColumnsRenamed({g: "__s_" + g for g in group})
-    same = F.lit(True)
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col("__s_" + g))
-    below = F.col("__upto") - F.col("__n")
-    lower = F.floor((F.col("__size") + 1) / 2)
-    upper = F.floor(F.col("__size") / 2) + 1
-
-    def at(rank):
-        return F.max(F.when((below < rank) & (rank <= F.col("__upto")), F.col("__value")))
-
+    ranked = running(
+        counts, group, "__value", {"__upto": F.col("__n")}, group_totals={"__size": "__upto"},
+        **limits,
+    )
+    below, upto, size = F.col("__upto") - F.col("__n"), F.col("__upto"), F.col("__size")
+    lower, upper = F.floor((size + 1) / 2), F.floor(size / 2) + 1
+    holds_lower, holds_upper = ((below < r) & (r <= upto) for r in (lower, upper))
     return (
-        upto.join(sizes, same, "inner")
+        ranked.filter(holds_lower | holds_upper)
         .groupBy(*group)
-        .agg(at(lower).alias("__lo"), at(upper).alias("__hi"))
+        .agg(
+            F.max(F.when(holds_lower, F.col("__value"))).alias("__lo"),
+            F.max(F.when(holds_upper, F.col("__value"))).alias("__hi"),
+        )
         .select(*group, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
     )
 

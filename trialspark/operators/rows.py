@@ -7,7 +7,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialspark import schema as S
-from trialspark.functions import holds, shift_days, iso_text, visit_text
+from trialspark.functions import holds, iso_text, shift_days, visit_text
+from trialspark.operators.skew import join_many_to_one
 
 POPULATION_FLAGS = {"ITT": "ITTFL", "SAFETY": "SAFFL", "PP": "PPROTFL"}
 
@@ -112,9 +113,9 @@ def rejected_rows(checked: DataFrame, reasons: str = "REASONS") -> DataFrame:
     return checked.filter(F.size(reasons) > 0)
 
 
-def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+def orphans(child: DataFrame, parent: DataFrame, key: str, **limits) -> DataFrame:
     """Child rows whose key has no parent; a null key is an orphan."""
-    return child.join(parent.select(key).distinct(), key, "left_anti")
+    return join_many_to_one(child, parent.select(key), key, "left_anti", **limits)
 
 
 def cross_with_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:

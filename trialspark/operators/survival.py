@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.functions import indicator, time_to_event
-from trialspark.operators.numbering import running
+from trialspark.operators.numbering import accumulate, running, split_ranges
 
 
 def survival_input(adsl: DataFrame, horizon: int = 168) -> DataFrame:
@@ -33,7 +33,7 @@ def _counts(df: DataFrame, keys: Sequence[str], event: str) -> DataFrame:
 
 
 def km_curve(
-    df: DataFrame, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P"
+    df: DataFrame, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P", **limits
 ) -> DataFrame:
     """Product-limit estimate per stratum and time, with Greenwood standard error.
 
@@ -43,9 +43,8 @@ def km_curve(
         "N_CENSOR", F.col("__n") - F.col("N_EVENT")
     )
     # At risk at t: everybody with a time of t or later.
-    at_risk = running(
-        counts, [stratum], time, {"N_RISK": F.col("__n")}, descending=True
-    )
+    ranges = split_ranges(counts, [stratum], time, **limits)
+    at_risk = accumulate(ranges, [stratum], time, {"N_RISK": F.col("__n")}, descending=True)
     d, n = F.col("N_EVENT").cast("double"), F.col("N_RISK").cast("double")
     steps = at_risk.withColumns(
         {
@@ -54,7 +53,7 @@ def km_curve(
             "__end": indicator(n == d),
         }
     )
-    curve = running(
+    curve = accumulate(
         steps, [stratum], time,
         {"SURVIVAL": F.col("__keep"), "__g": F.col("__var"), "__dead": F.col("__end")},
         products=["SURVIVAL"],

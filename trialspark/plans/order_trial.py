@@ -34,6 +34,22 @@ ALT_TERMS = ["ECONOMY"]
 NEURO_GI_TERMS = ["SMALL", "MEDIUM"]
 REMOTE_SITES = ("7", "8")
 HORIZON = 2000
+# Schemas of the tables read here; declaring them saves a job per table.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
 STATUS_TERM = {"F": "COMPLETED", "O": "WITHDRAWAL BY SUBJECT", "P": "LOST TO FOLLOW-UP"}
 
 
@@ -46,9 +62,13 @@ class OrderTrial:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            reader = self.spark.read.schema(TABLES[name])
+            self._tables[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def subjects(self) -> DataFrame:
