@@ -5,8 +5,8 @@ fair share is cut into consecutive ranges of the ordering key. Each range is num
 summed) on its own, and the totals of the earlier ranges are added as an offset, so the
 result equals that of the plain window.
 
-The ranges come from the exact count, minimum and maximum of the group. They are the same on
-every evaluation, which keeps the two uses of the input consistent when a task is retried.
+The ranges come from the exact count, minimum and maximum of the group, found before the plan
+is built. So they are the same wherever the plan uses them and whenever a task is retried.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from trialspark.operators.skew import MIN_SPLIT_ROWS, SLICES, join_many_to_one, split_unit
+from trialspark.operators.skew import (
+    HIGH, LOW, PARTS, ROWS, LargeGroups, join_many_to_one, large_groups, same,
+)
+from trialspark.sources.workspace import settle
 
-_RANGE = "__range"
-_N, _LO, _HI = "__grp_rows", "__grp_lo", "__grp_hi"
-_PARTS, _SKIP, _BEFORE = "__grp_parts", "__grp_skip", "__grp_before"
+_RANGE, _SKIP, _BEFORE = "__range", "__grp_skip", "__grp_before"
 
 
 def _position(key: Column, dtype: T.DataType) -> Column:
@@ -63,14 +64,6 @@ def _range_number(key: Column, dtype: T.DataType, low, high, parts, skip) -> Col
     return F.when(key.isNull(), -1).otherwise(F.greatest(F.least(index, parts - 1), F.lit(0)))
 
 
-def _same(columns: Sequence[str], prefix: str) -> Column:
-    """Null-safe equality of columns with their prefixed twins."""
-    out = F.lit(True)
-    for c in columns:
-        out = out & F.col(c).eqNullSafe(F.col(prefix + c))
-    return out
-
-
 def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in columns})
 
@@ -79,44 +72,54 @@ def split_ranges(
     df: DataFrame,
     group: Sequence[str],
     key: str,
-    min_rows: int = MIN_SPLIT_ROWS,
-    slices: int = SLICES,
+    large: LargeGroups | None = None,
+    checked: bool = False,
+    **limits,
 ) -> DataFrame:
-    """Add the range index and the size of large groups (both null for ordinary groups)."""
+    """Add the range index and the size of over-full groups (both null for other groups).
+
+    Without an over-full group the frame is returned as it is. ``large`` gives the over-full
+    groups with the limits of ``key`` if they were found before (``checked``).
+    """
+    if large is None and not checked:
+        large = large_groups(df, group, key, **limits)
+    if large is None:
+        return df
     dtype = df.schema[key].dataType
-    sizes = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias(_N), F.min(key).alias(_LO), F.max(key).alias(_HI)
-    )
-    unit = split_unit(sizes, _N, min_rows, slices)
-    large = sizes.withColumn(_PARTS, F.ceil(F.col(_N) / unit).cast("int")).filter(
-        F.col(_N) > unit
-    )
-    text = isinstance(dtype, T.StringType)
-    if text:
-        large = large.withColumn(_SKIP, _common_prefix(F.col(_LO), F.col(_HI)))
-    joined = df.join(F.broadcast(_prefixed(large, group, "__h_")), _same(group, "__h_"), "left")
-    index = _range_number(
-        F.col(key), dtype, F.col(_LO), F.col(_HI), F.col(_PARTS), F.col(_SKIP) if text else None
-    )
-    return joined.withColumn(_RANGE, F.when(F.col(_N).isNotNull(), index)).drop(
-        _LO, _HI, _PARTS, _SKIP, *["__h_" + c for c in group]
+    skip = None
+    if isinstance(dtype, T.StringType):
+        skip = F.col(_SKIP)
+        prefix = _common_prefix(F.col(LOW), F.col(HIGH))
+        large = LargeGroups(large.group, large.table.withColumn(_SKIP, prefix))
+    index = _range_number(F.col(key), dtype, F.col(LOW), F.col(HIGH), F.col(PARTS), skip)
+    return (
+        large.attach(df)
+        .withColumn(_RANGE, F.when(F.col(ROWS).isNotNull(), index))
+        .drop(LOW, HIGH, PARTS, _SKIP)
     )
 
 
+def _is_split(marked: DataFrame) -> bool:
+    return _RANGE in marked.columns
+
+
 def _drop_ranges(df: DataFrame) -> DataFrame:
-    return df.drop(_RANGE, _N)
+    return df.drop(_RANGE, ROWS)
 
 
 def _with_offsets(
     marked: DataFrame, group: Sequence[str], sums: Mapping[str, Column], offsets: Mapping[str, Column]
 ) -> DataFrame:
-    """Join per-range offsets (window expressions over the range sums) to the rows of ranges."""
+    """Join per-range offsets (window expressions over the range sums) to the rows of ranges.
+
+    The table has one row per range, at most 2 * SLICES in all.
+    """
     cells = marked.filter(F.col(_RANGE).isNotNull()).groupBy(*group, _RANGE).agg(
         *[value.alias(name) for name, value in sums.items()]
     )
     table = cells.select(*group, _RANGE, *[e.alias(n) for n, e in offsets.items()])
     table = _prefixed(table, [*group, _RANGE], "__o_")
-    match = _same(group, "__o_") & (F.col(_RANGE) == F.col("__o_" + _RANGE))
+    match = same(group, "__o_") & (F.col(_RANGE) == F.col("__o_" + _RANGE))
     return marked.join(F.broadcast(table), match, "left").drop(
         "__o_" + _RANGE, *["__o_" + c for c in group]
     )
@@ -129,16 +132,20 @@ def numbered(
     name: str,
     total: str | None = None,
     dtype: str = "long",
-    min_rows: int = MIN_SPLIT_ROWS,
-    slices: int = SLICES,
+    **split,
 ) -> DataFrame:
     """Row number 1..n inside each group, and optionally the group size.
 
     ``order`` must identify a row inside its group; rows that tie on all of it are numbered in
     any order. Ranges are cut on its first column. The data is shuffled once, by (group, range).
+    ``split`` takes the options of ``split_ranges``.
     """
     group, order = list(group), list(order)
-    marked = split_ranges(df, group, order[0], min_rows, slices)
+    marked = split_ranges(df, group, order[0], **split)
+    if not _is_split(marked):
+        w = Window.partitionBy(*group)
+        out = df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast(dtype))
+        return out.withColumn(total, F.count(F.lit(1)).over(w)) if total else out
     earlier = Window.partitionBy(*group).orderBy(_RANGE).rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -149,7 +156,7 @@ def numbered(
     position = F.row_number().over(cell.orderBy(*order)) + F.coalesce(F.col(_BEFORE), F.lit(0))
     out = marked.withColumn(name, position.cast(dtype))
     if total:
-        size = F.coalesce(F.col(_N), F.count(F.lit(1)).over(cell))
+        size = F.coalesce(F.col(ROWS), F.count(F.lit(1)).over(cell))
         out = out.withColumn(total, size.cast("long"))
     return _drop_ranges(out).drop(_BEFORE)
 
@@ -176,29 +183,32 @@ def accumulate(
 
     direction = F.desc if descending else F.asc
     whole = Window.partitionBy(*group)
-    before = whole.orderBy(direction(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
     valued = marked.withColumns({f"__v_{n}": v for n, v in totals.items()})
-    joined = _with_offsets(
-        valued,
-        group,
-        {f"__c_{n}": merge(n, F.col(f"__v_{n}")) for n in totals},
-        {
-            **{f"__b_{n}": merge(n, F.col(f"__c_{n}")).over(before) for n in totals},
-            **{f"__t_{n}": F.sum(f"__c_{n}").over(whole) for n in group_totals.values()},
-        },
-    )
-    cell = Window.partitionBy(*group, _RANGE)
+    split = _is_split(marked)
+    if split:
+        before = whole.orderBy(direction(_RANGE)).rowsBetween(Window.unboundedPreceding, -1)
+        valued = _with_offsets(
+            valued,
+            group,
+            {f"__c_{n}": merge(n, F.col(f"__v_{n}")) for n in totals},
+            {
+                **{f"__b_{n}": merge(n, F.col(f"__c_{n}")).over(before) for n in totals},
+                **{f"__t_{n}": F.sum(f"__c_{n}").over(whole) for n in group_totals.values()},
+            },
+        )
+    cell = Window.partitionBy(*group, _RANGE) if split else whole
     upto = cell.orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
-    new = {}
-    for n in totals:
-        inside, prior = merge(n, F.col(f"__v_{n}")).over(upto), F.col(f"__b_{n}")
-        if n in products:
-            new[n] = inside * F.coalesce(prior, F.lit(1.0))
-        else:
-            new[n] = inside + F.coalesce(prior, F.lit(0))
-    for n, source in group_totals.items():
-        new[n] = F.coalesce(F.col(f"__t_{source}"), F.sum(f"__v_{source}").over(cell))
-    return joined.withColumns(new).select(*marked.columns, *new)
+    new = {n: merge(n, F.col(f"__v_{n}")).over(upto) for n in totals}
+    new.update({n: F.sum(f"__v_{source}").over(cell) for n, source in group_totals.items()})
+    if split:
+        for n in totals:
+            if n in products:
+                new[n] = new[n] * F.coalesce(F.col(f"__b_{n}"), F.lit(1.0))
+            else:
+                new[n] = new[n] + F.coalesce(F.col(f"__b_{n}"), F.lit(0))
+        for n, source in group_totals.items():
+            new[n] = F.coalesce(F.col(f"__t_{source}"), new[n])
+    return valued.withColumns(new).select(*marked.columns, *new)
 
 
 def running(
@@ -206,13 +216,16 @@ def running(
     group: Sequence[str],
     order: str,
     totals: Mapping[str, Column],
-    min_rows: int = MIN_SPLIT_ROWS,
-    slices: int = SLICES,
-    **how,
+    descending: bool = False,
+    products: Sequence[str] = (),
+    group_totals: Mapping[str, str] | None = None,
+    **split,
 ) -> DataFrame:
-    """Running totals per group in one step; see ``accumulate``."""
-    marked = split_ranges(df, group, order, min_rows, slices)
-    return _drop_ranges(accumulate(marked, group, order, totals, **how))
+    """Running totals per group in one step; see ``accumulate`` and ``split_ranges``."""
+    marked = split_ranges(df, group, order, **split)
+    return _drop_ranges(
+        accumulate(marked, group, order, totals, descending, products, group_totals)
+    )
 
 
 def sequence_within(
@@ -240,13 +253,15 @@ def global_sequence(
     Rows are numbered inside their group; the rows of all earlier groups come from running
     totals over the table of group sizes.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size")).withColumn("__all", F.lit(0))
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = settle(counts.withColumn("__all", F.lit(0)), "sizes")
     upto = running(sizes, ["__all"], group, {"__upto": F.col("__size")}, **limits)
     starts = upto.select(F.col(group), (F.col("__upto") - F.col("__size")).alias("__start"))
-    inside = numbered(df, [group], order, "__in_group", **limits)
+    large = large_groups(df, [group], order[0], **limits)
+    inside = numbered(df, [group], order, "__in_group", large=large, checked=True)
     return (
         join_many_to_one(
-            inside, starts, group, "left", spread=order, sizes=sizes, null_safe=True, **limits
+            inside, starts, group, "left", order, large, checked=True, null_safe=True
         )
         .withColumn(name, (F.col("__in_group") + F.col("__start")).cast("long"))
         .drop("__start", "__in_group")

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark.operators.numbering import running
+from trialspark.sources.workspace import settle
 
 
 def exact_median(
@@ -19,10 +20,11 @@ def exact_median(
 ) -> DataFrame:
     """Median per group (mean of the two middle values); nulls are ignored."""
     group = list(group)
-    counts = (
+    counts = settle(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count(F.lit(1)).alias("__n")),
+        "counts",
     )
     ranked = running(
         counts, group, "__value", {"__upto": F.col("__n")}, group_totals={"__size": "__upto"},

@@ -1,22 +1,72 @@
-"""Splitting of keys that hold more than their share of the rows."""
+"""Splitting of keys that hold more than their share of the rows.
+
+Whether any key is over-full is found by counting rows per key before the plan is built. The
+usual answer is "none", and then the plan is an ordinary join or window. Otherwise the list of
+over-full keys, whose length is bounded, becomes a small table in the plan.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 # A key is split when it has more rows than both limits: MIN_SPLIT_ROWS and 1/SLICES of all
-# rows. So at most SLICES keys are split, into at most 2 * SLICES parts in total, and tables of
+# rows. So at most SLICES keys are split, into at most 2 * SLICES parts in total: tables of
 # split keys or of their parts are small enough to broadcast at any data size.
 SLICES = 16384
 MIN_SPLIT_ROWS = 1_000_000
 
+ROWS, LOW, HIGH, PARTS = "__grp_rows", "__grp_lo", "__grp_hi", "__grp_parts"
+
+
+@dataclass(frozen=True)
+class LargeGroups:
+    """Over-full groups: their key columns, rows, number of parts, and limits of a column."""
 
-def split_unit(sizes: DataFrame, count: str, min_rows: int, slices: int) -> Column:
-    """Number of rows above which a key is split."""
-    share = sizes.agg(F.sum(count)).scalar().cast("double") / F.lit(float(slices))
-    return F.greatest(F.lit(float(min_rows)), share)
+    group: tuple[str, ...]
+    table: DataFrame
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Add the group's numbers to the rows of over-full groups, nulls to all others."""
+        twins = self.table.withColumnsRenamed({c: "__h_" + c for c in self.group})
+        return df.join(F.broadcast(twins), same(self.group, "__h_"), "left").drop(
+            *["__h_" + c for c in self.group]
+        )
+
+
+def same(columns: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of columns with their prefixed twins."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(c).eqNullSafe(F.col(prefix + c))
+    return out
+
+
+def large_groups(
+    df: DataFrame,
+    group: Sequence[str],
+    key: str | None = None,
+    min_rows: int = MIN_SPLIT_ROWS,
+    slices: int = SLICES,
+) -> LargeGroups | None:
+    """Groups to split, or None. Counts rows per group, with partial counts before the shuffle."""
+    measures = [F.count(F.lit(1)).alias(ROWS)]
+    if key is not None:
+        measures += [F.min(key).alias(LOW), F.max(key).alias(HIGH)]
+    sizes = df.groupBy(*group).agg(*measures)
+    whole = sizes.agg(F.max(ROWS).alias("most"), F.sum(ROWS).alias("all")).first()
+    if whole["most"] is None or whole["most"] <= min_rows:
+        return None
+    unit = max(float(min_rows), whole["all"] / slices)
+    split = sizes.filter(F.col(ROWS) > unit).withColumn(
+        PARTS, F.ceil(F.col(ROWS) / unit).cast("int")
+    )
+    found = split.collect()
+    if not found:
+        return None
+    return LargeGroups(tuple(group), df.sparkSession.createDataFrame(found, split.schema))
 
 
 def join_many_to_one(
@@ -25,7 +75,8 @@ def join_many_to_one(
     key: str,
     how: str = "inner",
     spread: Sequence[str] | None = None,
-    sizes: DataFrame | None = None,
+    large: LargeGroups | None = None,
+    checked: bool = False,
     null_safe: bool = False,
     min_rows: int = MIN_SPLIT_ROWS,
     slices: int = SLICES,
@@ -33,35 +84,27 @@ def join_many_to_one(
     """Join on one column, with the rows of over-full keys of ``many`` spread over tasks.
 
     Rows of such a key get a part number from a hash of their ``spread`` columns (all columns by
-    default), and the row of ``one`` is repeated for every part. ``sizes`` may give the rows per
-    key (columns key and ``__size``) if they are known. ``how`` is inner, left, left_semi or
-    left_anti. A null key matches nothing unless ``null_safe`` is set, and is spread as well.
+    default), and the row of ``one`` is repeated for every part. ``large`` gives the over-full
+    keys if they were found before (``checked``). ``how`` is inner, left, left_semi or
+    left_anti. A null key matches nothing unless ``null_safe`` is set.
     """
-    if sizes is None:
-        sizes = many.groupBy(key).agg(F.count(F.lit(1)).alias("__size"))
-    unit = split_unit(sizes, "__size", min_rows, slices)
-    large = F.broadcast(
-        sizes.filter(F.col("__size") > unit).select(
-            F.col(key).alias("__key"), F.ceil(F.col("__size") / unit).cast("int").alias("__parts")
-        )
-    )
-    same = F.col(key).eqNullSafe(F.col("__key"))
-    digest = F.xxhash64(*(spread or many.columns))
-    left = many.join(large, same, "left").withColumn(
-        "__part",
-        F.when(F.col("__parts").isNotNull(), F.pmod(digest, F.col("__parts")).cast("int"))
-        .otherwise(0),
-    )
-    last = F.coalesce(F.col("__parts"), F.lit(1)) - 1
-    right = (
-        one.join(large, same, "left")
+    if large is None and not checked:
+        large = large_groups(many, [key], min_rows=min_rows, slices=slices)
+    right = one.withColumnRenamed(key, "__one")
+    mine, other = F.col(key), F.col("__one")
+    match = mine.eqNullSafe(other) if null_safe else mine == other
+    if large is None:
+        return many.join(right, match, how).drop("__one")
+    digest = F.pmod(F.xxhash64(*(spread or many.columns)), F.col(PARTS)).cast("int")
+    left = large.attach(many).withColumn("__part", F.coalesce(digest, F.lit(0)))
+    last = F.coalesce(F.col(PARTS), F.lit(1)) - 1
+    copies = (
+        large.attach(one)
         .withColumn("__copy", F.explode(F.sequence(F.lit(0), last)))
-        .drop("__key", "__parts")
         .withColumnRenamed(key, "__one")
     )
-    mine, other = F.col(key), F.col("__one")
-    match = (mine.eqNullSafe(other) if null_safe else mine == other) & (
-        F.col("__part") == F.col("__copy")
+    extra = [ROWS, LOW, HIGH, PARTS]
+    joined = left.drop(*extra).join(
+        copies.drop(*extra), match & (F.col("__part") == F.col("__copy")), how
     )
-    joined = left.drop("__key", "__parts").join(right, match, how)
     return joined.drop("__part", "__copy", "__one")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from trialspark.functions import indicator, time_to_event
 from trialspark.operators.numbering import accumulate, running, split_ranges
+from trialspark.sources.workspace import settle
 
 
 def survival_input(adsl: DataFrame, horizon: int = 168) -> DataFrame:
@@ -27,9 +28,10 @@ def survival_input(adsl: DataFrame, horizon: int = 168) -> DataFrame:
 
 
 def _counts(df: DataFrame, keys: Sequence[str], event: str) -> DataFrame:
-    return df.groupBy(*keys).agg(
+    counts = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(indicator(F.col(event) == 1)).alias("N_EVENT")
     )
+    return settle(counts, "times")
 
 
 def km_curve(
@@ -89,7 +91,8 @@ def _pooled(df: DataFrame, strata: Sequence, time: str, event: str, stratum: str
             F.sum(indicator(mine)).alias(f"__m{j}"),
             F.sum(indicator(mine & (F.col(event) == 1))).alias(f"d{j}"),
         ]
-    by_time = df.filter(F.col(stratum).isin(*strata)).groupBy(time).agg(*cells)
+    mine = df.filter(F.col(stratum).isin(*strata))
+    by_time = settle(mine.groupBy(time).agg(*cells), "times")
     k = range(len(strata))
     totals = {f"n{j}": F.col(f"__m{j}") for j in k}
     risk = running(by_time.withColumn("__all", F.lit(0)), ["__all"], time, totals, descending=True)

@@ -20,6 +20,7 @@ from trialspark.operators.numbering import numbered, sequence_within
 from trialspark.operators.prep import model_frame
 from trialspark.operators.rows import population, with_constants
 from trialspark.operators.scoring import score_by_rule
+from trialspark.operators.skew import LargeGroups, large_groups
 
 STUDY, DRUG = "TRIAL-01", "DRUG"
 FEMALE_SEGMENTS = ["BUILDING", "FURNITURE", "HOUSEHOLD"]
@@ -164,9 +165,14 @@ class OrderTrial:
             "AESTDTC", "AEDECOD", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
             "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus",
         ]
-        return sequence_within(self.returns, "USUBJID", order, "AESEQ").select(
-            *S.AE.fieldNames()
-        )
+        return sequence_within(
+            self.returns, "USUBJID", order, "AESEQ", large=self.busy_subjects, checked=True
+        ).select(*S.AE.fieldNames())
+
+    @cached_property
+    def busy_subjects(self) -> LargeGroups | None:
+        """Subjects with so many events that their rows are split over tasks."""
+        return large_groups(self.returns, ["USUBJID"], "AESTDTC")
 
     @cached_property
     def ex(self) -> DataFrame:
@@ -220,12 +226,13 @@ class OrderTrial:
 
     @cached_property
     def adae(self) -> DataFrame:
-        return build_adae(self.ae_sequenced, self.adsl)
+        return build_adae(self.ae_sequenced, self.adsl, large=self.busy_subjects, checked=True)
 
     @cached_property
     def adae_unsequenced(self) -> DataFrame:
         """Event dataset for tables that do not list single events."""
-        return build_adae(self.ae.withColumn("AESEQ", F.lit(None).cast("int")), self.adsl)
+        events = self.ae.withColumn("AESEQ", F.lit(None).cast("int"))
+        return build_adae(events, self.adsl, large=self.busy_subjects, checked=True)
 
     @cached_property
     def itt(self) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from trialspark import schema as S
 from trialspark.functions import normalise_term
+from trialspark.sources.workspace import shared_folder  # noqa: F401
 
 RISK_COLUMNS = [
     "USUBJID", "SITEID", "TRT01P", "AGE", "SEX", "AENUM", "AEMAXSEVN", "COMPLPCT",
@@ -19,18 +18,6 @@ RISK_COLUMNS = [
 ]
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """New folder name under the cluster's shared checkpoint folder.
-
-    Only a session without ``spark.checkpoint.dir`` (a test session) gets a local folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="trialspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def read_domain(
     spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None
 ) -> DataFrame:
