@@ -123,6 +123,27 @@ def test_join_with_hot_key_equals_plain_join(spark, rows, how, limits):
 def test_hot_key_is_spread(spark):
     """The rows of a key with all rows land in many parts, copies included by their sequence."""
     many = spark.range(1000).select(F.lit(7).alias("k"), F.col("id").alias("seq"))
-    ranges = W.split_ranges(many, ["k"], "seq", min_rows=10, slices=100)
+    ranges = W.split_ranges(many, ["k"], ["seq"], min_rows=10, slices=100)
     sizes = [r["count"] for r in ranges.groupBy("__range").count().collect()]
     assert len(sizes) == 100 and max(sizes) <= 20
+
+
+def test_hot_value_inside_a_hot_group_is_split(spark):
+    """Most rows of the hot group share one day and one term; the last column tells them apart."""
+    i = F.col("id")
+    rows = spark.range(3000).select(
+        F.when(i % 3 < 2, 1).otherwise(i % 50).alias("g"),
+        F.when(i % 5 < 3, "2024-05-05").when(i % 5 == 3, None)
+        .otherwise(F.concat(F.lit("2024-0"), (i % 9 + 1).cast("string"), F.lit("-11"))).alias("day"),
+        F.when(i % 7 < 5, "rash").otherwise(F.concat(F.lit("r"), (i % 20).cast("string"))).alias("t"),
+        F.pmod(F.xxhash64(i), F.lit(10**6)).alias("h"), i.alias("i"),
+    )
+    order = ["day", "t", "h", "i"]
+    limits = {"min_rows": 20, "slices": 200}
+    marked = W.split_ranges(rows, ["g"], order, **limits)
+    sizes = marked.filter("__range is not null").groupBy("g", "__range").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 80
+    w = Window.partitionBy("g").orderBy(*order)
+    want = rows.select("i", F.row_number().over(w).alias("n"))
+    got = W.numbered(rows, ["g"], order, "n", **limits).select("i", "n")
+    assert sorted(got.collect()) == sorted(want.collect())

@@ -68,35 +68,65 @@ def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({c: prefix + c for c in columns})
 
 
+def _mark(df: DataFrame, large: LargeGroups, key: str, name: str) -> DataFrame:
+    """Add the range index of ``key`` inside its over-full group; null for other groups."""
+    dtype = df.schema[key].dataType
+    skip = None
+    if isinstance(dtype, T.StringType):
+        skip = F.col(_SKIP)
+        prefix = _common_prefix(F.col(LOW), F.col(HIGH))
+        large = LargeGroups(large.group, large.table.withColumn(_SKIP, prefix))
+    index = _range_number(F.col(key), dtype, F.col(LOW), F.col(HIGH), F.col(PARTS), skip)
+    return (
+        large.attach(df)
+        .withColumn(name, F.when(F.col(PARTS).isNotNull(), index))
+        .drop(LOW, HIGH, PARTS, _SKIP)
+    )
+
+
 def split_ranges(
     df: DataFrame,
     group: Sequence[str],
-    key: str,
+    keys: Sequence[str],
     large: LargeGroups | None = None,
     checked: bool = False,
     **limits,
 ) -> DataFrame:
-    """Add the range index and the size of over-full groups (both null for other groups).
+    """Add the range and the size of over-full groups (both null for other groups).
 
     Without an over-full group the frame is returned as it is. ``large`` gives the over-full
-    groups with the limits of ``key`` if they were found before (``checked``).
+    groups with the limits of the first key if they were found before (``checked``).
+
+    Ranges are cut on the first key. If a single value of it is over-full too, the rows below,
+    at and above that value get separate ranges, and its own rows are cut on the next key.
     """
     if large is None and not checked:
-        large = large_groups(df, group, key, **limits)
+        large = large_groups(df, group, keys[0], **limits)
     if large is None:
         return df
-    dtype = df.schema[key].dataType
-    skip = None
-    if isinstance(dtype, T.StringType):
-        skip = F.col(_SKIP)
-        prefix = _common_prefix(F.col(LOW), F.col(HIGH))
-        large = LargeGroups(large.group, large.table.withColumn(_SKIP, prefix))
-    index = _range_number(F.col(key), dtype, F.col(LOW), F.col(HIGH), F.col(PARTS), skip)
-    return (
-        large.attach(df)
-        .withColumn(_RANGE, F.when(F.col(ROWS).isNotNull(), index))
-        .drop(LOW, HIGH, PARTS, _SKIP)
-    )
+    marked = _mark(df, large, keys[0], "__r0")
+    levels, outer = ["__r0"], list(group)
+    for i, (key, following) in enumerate(zip(keys, keys[1:]), 1):
+        inside = marked.filter(F.col(levels[-1]).isNotNull())
+        heavy = large_groups(inside, [*outer, key], following, **limits)
+        if heavy is None:
+            break
+        values = heavy.table.groupBy(*outer).agg(F.collect_set(key).alias("__heavy"))
+        below = F.size(F.filter("__heavy", lambda v: v < F.col(key)))
+        at = F.coalesce(F.array_contains("__heavy", F.col(key)), F.lit(False)).cast("int")
+        marked = (
+            LargeGroups(tuple(outer), values)
+            .attach(marked)
+            .withColumn(f"__h{i}", F.when(F.col("__heavy").isNotNull(), below * 2 + at))
+            .drop("__heavy")
+        )
+        marked = _mark(
+            marked, LargeGroups(heavy.group, heavy.table.drop(ROWS)), following, f"__r{i}"
+        )
+        levels += [f"__h{i}", f"__r{i}"]
+        outer.append(key)
+    place = F.col("__r0") if len(levels) == 1 else F.struct(*levels)
+    return marked.withColumn(_RANGE, F.when(F.col("__r0").isNotNull(), place)).drop(*levels)
 
 
 def _is_split(marked: DataFrame) -> bool:
@@ -119,7 +149,7 @@ def _with_offsets(
     )
     table = cells.select(*group, _RANGE, *[e.alias(n) for n, e in offsets.items()])
     table = _prefixed(table, [*group, _RANGE], "__o_")
-    match = same(group, "__o_") & (F.col(_RANGE) == F.col("__o_" + _RANGE))
+    match = same([*group, _RANGE], "__o_")
     return marked.join(F.broadcast(table), match, "left").drop(
         "__o_" + _RANGE, *["__o_" + c for c in group]
     )
@@ -137,11 +167,11 @@ def numbered(
     """Row number 1..n inside each group, and optionally the group size.
 
     ``order`` must identify a row inside its group; rows that tie on all of it are numbered in
-    any order. Ranges are cut on its first column. The data is shuffled once, by (group, range).
+    any order. The data is shuffled once, by (group, range).
     ``split`` takes the options of ``split_ranges``.
     """
     group, order = list(group), list(order)
-    marked = split_ranges(df, group, order[0], **split)
+    marked = split_ranges(df, group, order, **split)
     if not _is_split(marked):
         w = Window.partitionBy(*group)
         out = df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast(dtype))
@@ -222,7 +252,7 @@ def running(
     **split,
 ) -> DataFrame:
     """Running totals per group in one step; see ``accumulate`` and ``split_ranges``."""
-    marked = split_ranges(df, group, order, **split)
+    marked = split_ranges(df, group, [order], **split)
     return _drop_ranges(
         accumulate(marked, group, order, totals, descending, products, group_totals)
     )

@@ -15,35 +15,46 @@ from trialspark.operators.numbering import running
 from trialspark.sources.workspace import settle
 
 
-def exact_median(
-    df: DataFrame, group: Sequence[str], value: str, name: str = "MEDIAN", **limits
-) -> DataFrame:
-    """Median per group (mean of the two middle values); nulls are ignored."""
-    group = list(group)
-    counts = settle(
+def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Rows per group and distinct non-null value (columns VALUE and N), written once."""
+    return settle(
         df.filter(F.col(value).isNotNull())
-        .groupBy(*group, F.col(value).cast("double").alias("__value"))
-        .agg(F.count(F.lit(1)).alias("__n")),
+        .groupBy(*group, F.col(value).cast("double").alias("VALUE"))
+        .agg(F.count(F.lit(1)).alias("N")),
         "counts",
     )
+
+
+def median_of_counts(
+    counts: DataFrame, group: Sequence[str], name: str = "MEDIAN", **limits
+) -> DataFrame:
+    """Median per group (mean of the two middle values) from value counts."""
+    group = list(group)
     ranked = running(
-        counts, group, "__value", {"__upto": F.col("__n")}, group_totals={"__size": "__upto"},
+        counts, group, "VALUE", {"__upto": F.col("N")}, group_totals={"__size": "__upto"},
         **limits,
     )
-    below, upto, size = F.col("__upto") - F.col("__n"), F.col("__upto"), F.col("__size")
+    below, upto, size = F.col("__upto") - F.col("N"), F.col("__upto"), F.col("__size")
     lower, upper = F.floor((size + 1) / 2), F.floor(size / 2) + 1
     holds_lower, holds_upper = ((below < r) & (r <= upto) for r in (lower, upper))
     return (
         ranked.filter(holds_lower | holds_upper)
         .groupBy(*group)
         .agg(
-            F.max(F.when(holds_lower, F.col("__value"))).alias("__lo"),
-            F.max(F.when(holds_upper, F.col("__value"))).alias("__hi"),
+            F.max(F.when(holds_lower, F.col("VALUE"))).alias("__lo"),
+            F.max(F.when(holds_upper, F.col("VALUE"))).alias("__hi"),
         )
         .select(*group, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
     )
 
 
+def exact_median(
+    df: DataFrame, group: Sequence[str], value: str, name: str = "MEDIAN", **limits
+) -> DataFrame:
+    """Median per group; nulls are ignored."""
+    return median_of_counts(value_counts(df, group, value), group, name, **limits)
+
+
 def most_frequent(
     df: DataFrame, group: Sequence[str], value: str, name: str = "MODE"
 ) -> DataFrame:

@@ -45,7 +45,7 @@ def km_curve(
         "N_CENSOR", F.col("__n") - F.col("N_EVENT")
     )
     # At risk at t: everybody with a time of t or later.
-    ranges = split_ranges(counts, [stratum], time, **limits)
+    ranges = split_ranges(counts, [stratum], [time], **limits)
     at_risk = accumulate(ranges, [stratum], time, {"N_RISK": F.col("__n")}, descending=True)
     d, n = F.col("N_EVENT").cast("double"), F.col("N_RISK").cast("double")
     steps = at_risk.withColumns(

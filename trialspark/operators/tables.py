@@ -11,8 +11,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from trialspark.functions import indicator
-from trialspark.operators.quantiles import exact_median
+from trialspark.functions import indicator, recode
+from trialspark.operators.quantiles import median_of_counts, value_counts
 from trialspark.operators.reshape import pivot_long, union_all
 
 
@@ -160,19 +160,31 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
 def continuous_summary(
     df: DataFrame, variables: Sequence[str], arm: str = "TRT01P", overall: str = "All"
 ) -> DataFrame:
-    """N, mean, SD, median, minimum and maximum per variable, by arm and overall."""
-    long = pivot_long(df, [arm], variables, "VARIABLE", "__x").filter(F.col("__x").isNotNull())
-    both = long.withColumn(
-        "ARM", F.explode(F.array(F.col(arm).cast("string"), F.lit(overall)))
+    """N, mean, SD, median, minimum and maximum per variable, by arm and overall.
+
+    The subjects are read once, to count rows per variable, arm and value; every statistic
+    comes from these counts.
+    """
+    by_arm = value_counts(
+        pivot_long(df, [arm], variables, "VARIABLE", "__x"), ["VARIABLE", arm], "__x"
+    )
+    x, n = F.col("VALUE"), F.col("N")
+    both = by_arm.select("VARIABLE", F.col(arm).cast("string").alias("ARM"), "VALUE", "N").union(
+        by_arm.groupBy("VARIABLE", F.lit(overall), "VALUE").agg(F.sum("N"))
     )
+    # Squares are taken around the mean of the variable, which keeps the difference exact enough.
+    centres = {
+        r["VARIABLE"]: r["c"]
+        for r in by_arm.groupBy("VARIABLE").agg((F.sum(x * n) / F.sum(n)).alias("c")).collect()
+    }
+    gap = x - recode(F.col("VARIABLE"), centres, 0.0)
+    size, first, second = F.sum(n), F.sum(gap * n), F.sum(gap * gap * n)
+    spread = F.when(size > 1, F.greatest(second - first * first / size, F.lit(0.0)) / (size - 1))
     stats = both.groupBy("VARIABLE", "ARM").agg(
-        F.count(F.lit(1)).alias("N"),
-        F.avg("__x").alias("MEAN"),
-        F.stddev_samp("__x").alias("SD"),
-        F.min("__x").alias("MIN"),
-        F.max("__x").alias("MAX"),
+        (F.sum(x * n) / size).alias("MEAN"), F.sqrt(spread).alias("SD"),
+        F.min(x).alias("MIN"), F.max(x).alias("MAX"), size.alias("N"),
     )
-    medians = exact_median(both, ["VARIABLE", "ARM"], "__x")
+    medians = median_of_counts(both, ["VARIABLE", "ARM"])
     return stats.join(medians, ["VARIABLE", "ARM"], "left").select(
         "VARIABLE", "ARM", "N", "MEAN", "SD", "MEDIAN", "MIN", "MAX"
     )

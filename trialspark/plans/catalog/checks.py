@@ -9,6 +9,7 @@ from trialspark.functions import build_usubjid
 from trialspark.operators import checks as H
 from trialspark.plans.catalog.registry import query
 from trialspark.plans.order_trial import STUDY, OrderTrial
+from trialspark.sources.workspace import settle
 
 ID_PATTERN = r"^TRIAL-01-\d{1,2}-\d{3}$"
 
@@ -149,14 +150,25 @@ SUITE_SQL = " UNION ALL ".join(
 )
 
 
-def _suite(t: OrderTrial) -> DataFrame:
-    return H.validation_suite(t.spark, _with_printed_id(t), t.ae, t.adsl, ID_PATTERN, "PRINTED_ID")
+def _checked_subjects(t: OrderTrial) -> DataFrame:
+    """The subject columns that checks read, computed once for all of them."""
+    return settle(
+        t.adsl.select(
+            "USUBJID", "TRT01PN", "DPTFL", "DSDECOD", "RFSTDTC", "RFENDTC", "SAFFL", "ITTFL",
+            "COMPLPCT",
+        ),
+        "subjects",
+    )
+
+
+def _suite(t: OrderTrial, adsl: DataFrame) -> DataFrame:
+    return H.validation_suite(t.spark, _with_printed_id(t), t.ae, adsl, ID_PATTERN, "PRINTED_ID")
 
 
 @query("validation_suite", SUITE_SQL)
 def validation_suite(t: OrderTrial) -> DataFrame:
     """All ten checks."""
-    return _suite(t)
+    return _suite(t, _checked_subjects(t))
 
 
 @query(
@@ -167,4 +179,5 @@ def validation_suite(t: OrderTrial) -> DataFrame:
     (SELECT count(*) FROM adsl WHERE DPTFL = 'Y') AS N_DROPOUT, (SELECT count(*) FROM ae) AS N_AE FROM log""",
 )
 def validation_rollup(t: OrderTrial) -> DataFrame:
-    return H.validation_rollup(_suite(t), t.adsl, t.ae)
+    adsl = _checked_subjects(t)
+    return H.validation_rollup(_suite(t, adsl), adsl, t.ae)
