@@ -170,6 +170,14 @@ def iso_date(t: OrderTrial) -> DataFrame:
     return t.table("events").select("event_id", X.iso_text(X.iso_date(text)).alias("DAY"))
 
 
+@query(
+    "iso_text",
+    "SELECT event_id, strftime(ts, '%Y-%m-%d') AS DAY FROM events",
+)
+def iso_text(t: OrderTrial) -> DataFrame:
+    return t.table("events").select("event_id", X.iso_text(c("ts").cast("date")).alias("DAY"))
+
+
 @query(
     "shift_days",
     """SELECT USUBJID, strftime(CAST(RFSTDTC AS DATE) + 168, '%Y-%m-%d') AS PLANNED_END FROM dm""",
@@ -284,7 +292,7 @@ def dropout_rule_score(t: OrderTrial) -> DataFrame:
     return t.adsl.select("USUBJID", rule.alias("SCORE"))
 
 
-def _range_sql() -> str:
+def range_sql() -> str:
     parts = []
     for name, (low, high, whole, default) in S.SCORE_RANGES.items():
         v = f"coalesce({name}, {default})" if default is not None else name
@@ -299,7 +307,7 @@ def _range_sql() -> str:
 @query(
     "validate_ranges",
     f"""SELECT USUBJID, REASONS, CASE WHEN REASONS = '' THEN 'valid' ELSE 'rejected' END AS VERDICT
-    FROM (SELECT USUBJID, {_range_sql()} AS REASONS FROM adsl)""",
+    FROM (SELECT USUBJID, {range_sql()} AS REASONS FROM adsl)""",
 )
 def validate_ranges(t: OrderTrial) -> DataFrame:
     checked = R.validate_ranges(t.adsl.select("USUBJID", *S.FEATURES))

@@ -14,13 +14,15 @@ from trialspark.operators.reshape import sample_subjects
 from trialspark.operators.rows import round_numeric, validate_ranges, valid_rows
 from trialspark.operators.scoring import score
 from trialspark.operators.tables import batch_risk_summary
+from trialspark.plans.catalog.derivations import range_sql
 from trialspark.plans.catalog.registry import query
 from trialspark.plans.catalog.sequences import (
     CONTRIBUTIONS_SQL, METRICS_SQL, contributions, site_models,
 )
-from trialspark.plans.order_trial import DRUG, STUDY, OrderTrial
+from trialspark.plans.order_trial import DRUG, REMOTE_SITES, STUDY, OrderTrial
 from trialspark.sources import models as store
 from trialspark.sources.domains import read_domain, shared_folder, write_domain
+from trialspark.streaming import scoring as stream
 
 SMALL_FOREST = {"numTrees": [20], "maxDepth": [4, 6], "minInstancesPerNode": [5]}
 SMALL_BOOST = {"maxIter": [10], "maxDepth": [3], "stepSize": [0.05, 0.1]}
@@ -227,6 +229,27 @@ def format_explanation(t: OrderTrial) -> DataFrame:
     )
 
 
+@query(
+    "scored_stream",
+    f"""SELECT USUBJID, DROPOUT_PROB, DROPOUT_PREDICTED, RISK_TIER FROM scored
+    WHERE {range_sql()} = ''""",
+)
+def scored_stream(t: OrderTrial) -> DataFrame:
+    """All subjects streamed from a folder through validation and the additive rule."""
+    inputs = t.adsl.select("USUBJID", "SITEID", *S.FEATURES)
+    folder = write_domain(inputs, shared_folder(t.spark, "arrivals"))
+    rows = stream.read_stream(t.spark, folder, inputs.schema)
+    out = shared_folder(t.spark, "scores")
+    written = stream.write_scores(
+        stream.scored_stream(rows, remote_sites=REMOTE_SITES), out,
+        shared_folder(t.spark, "scoring-state"),
+    )
+    written.awaitTermination()
+    return read_domain(t.spark, out).select(
+        "USUBJID", "DROPOUT_PROB", "DROPOUT_PREDICTED", "RISK_TIER"
+    )
+
+
 # Queries below fit models. Spark's tree learners have no SQL counterpart.
 
 
@@ -325,6 +348,15 @@ def save_load_model(t: OrderTrial) -> DataFrame:
     )
 
 
+@query("load_model")
+def load_model(t: OrderTrial) -> DataFrame:
+    """Test subjects scored by a model that was saved and loaded."""
+    train, test = parts(t)
+    path = store.save_model(forest(train), shared_folder(t.spark, "model"))
+    scored = score(test.select("USUBJID", *S.FEATURES), store.load_model(path))
+    return scored.select("USUBJID", "DROPOUT_PROB", "DROPOUT_PREDICTED", "RISK_TIER")
+
+
 @query("model_record")
 def model_record(t: OrderTrial) -> DataFrame:
     """Register row of the better of two models, appended to a table and read back."""

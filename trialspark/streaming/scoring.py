@@ -15,10 +15,12 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def scored_stream(rows: DataFrame, model: PipelineModel | None = None) -> DataFrame:
+def scored_stream(
+    rows: DataFrame, model: PipelineModel | None = None, remote_sites=("107", "108")
+) -> DataFrame:
     """Valid rows with their score; the additive rule is used without a model."""
     checked = valid_rows(validate_ranges(rows))
-    return score(checked, model) if model is not None else score_by_rule(checked)
+    return score(checked, model) if model is not None else score_by_rule(checked, remote_sites)
 
 
 def write_scores(
