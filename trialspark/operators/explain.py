@@ -6,6 +6,7 @@ array work inside its row and needs no shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from trialspark import schema as S
 from trialspark.functions import indicator
 from trialspark.operators.scoring import probabilities
 
-# Orderings x background rows become a literal in the plan, so their number is limited.
+# Orderings x background rows become a constant of the plan, so their number is limited.
 MAX_COALITION_PATHS = 5000
 
 RECORD = ["FEATURE", "LABEL", "VALUE", "CONTRIBUTION", "DIRECTION"]
@@ -76,21 +77,20 @@ def shapley_contributions(
     if not sample or len(sample) > limit:
         raise ValueError(f"background needs 1 to {limit} complete rows")
     rng = np.random.default_rng(seed)
-    paths = []
-    for row in sample:
-        for _ in range(orderings):
-            rank = np.argsort(rng.permutation(len(names)))
-            paths.append(
-                F.struct(
-                    F.array(*[F.lit(int(r)) for r in rank]).alias("rank"),
-                    F.array(*[F.lit(float(v)) for v in row]).alias("from"),
-                )
-            )
+    paths = [
+        {"rank": np.argsort(rng.permutation(len(names))).tolist(), "from": list(row)}
+        for row in sample
+        for _ in range(orderings)
+    ]
+    # One text constant, which the optimizer folds into an array once.
+    listed = F.from_json(
+        F.lit(json.dumps(paths)), "array<struct<rank: array<int>, from: array<double>>>"
+    )
     types = {f.name: f.dataType for f in df.schema.fields}
     own = F.array(*[F.col(f).cast("double") for f in names]).alias("__own")
     steps = (
         df.select(key, own)
-        .withColumn("__path", F.explode(F.array(*paths)))
+        .withColumn("__path", F.explode(listed))
         .withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
     )
     rank = F.col("__path.rank")

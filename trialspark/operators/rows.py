@@ -13,7 +13,7 @@ from trialspark.operators.skew import join_many_to_one
 POPULATION_FLAGS = {"ITT": "ITTFL", "SAFETY": "SAFFL", "PP": "PPROTFL"}
 
 # A dictionary becomes a literal in the plan, so its size is checked.
-MAX_DICTIONARY_ROWS = 10_000
+MAX_DICTIONARY_ROWS = 1000
 
 
 def population(df: DataFrame, which: str = "ITT") -> DataFrame:

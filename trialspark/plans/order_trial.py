@@ -122,10 +122,17 @@ class OrderTrial:
         return out.select(*[c for c in S.DM.fieldNames() if c != "DMSEQ"])
 
     @cached_property
-    def returns(self) -> DataFrame:
-        """Returned line items with the subject, before event numbering."""
+    def owned(self) -> DataFrame:
+        """Returned line items with the subject and the start date."""
         items = self.table("lineitem").filter(F.col("l_returnflag") == "R")
         owner = self.table("orders").select("o_orderkey", F.col("o_custkey").alias("USUBJID"))
+        return items.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+            "AESTDTC", iso_text(_day("l_shipdate"))
+        )
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        """Returned line items as events, before event numbering."""
         part = self.table("part").select("p_partkey", "p_brand", "p_type")
         severity = (
             F.when(F.col("l_quantity") >= 45, "SEVERE")
@@ -133,9 +140,7 @@ class OrderTrial:
             .otherwise("MILD")
         )
         started = _day("l_shipdate")
-        joined = items.join(owner, F.col("l_orderkey") == F.col("o_orderkey")).join(
-            part, F.col("l_partkey") == F.col("p_partkey")
-        )
+        joined = self.owned.join(part, F.col("l_partkey") == F.col("p_partkey"))
         return with_constants(joined, STUDYID=STUDY, DOMAIN="AE").withColumns(
             {
                 "AEDECOD": F.col("p_type"),
@@ -147,7 +152,6 @@ class OrderTrial:
                     (F.col("l_quantity") >= 45) & (F.col("l_tax") >= 0.07),
                     "NOT RECOVERED/NOT RESOLVED",
                 ).otherwise("RECOVERED/RESOLVED"),
-                "AESTDTC": iso_text(started),
                 "AEENDTC": iso_text(shift_days(started, F.col("l_linenumber"))),
                 "VISITNUM": F.col("l_linenumber"),
                 "VISIT": visit_text(F.col("l_linenumber")),
@@ -171,8 +175,11 @@ class OrderTrial:
 
     @cached_property
     def busy_subjects(self) -> LargeGroups | None:
-        """Subjects with so many events that their rows are split over tasks."""
-        return large_groups(self.returns, ["USUBJID"], "AESTDTC")
+        """Subjects with so many events that their rows are split over tasks.
+
+        Counted before the join with part, which can only remove rows.
+        """
+        return large_groups(self.owned, ["USUBJID"], "AESTDTC")
 
     @cached_property
     def ex(self) -> DataFrame:

@@ -35,7 +35,13 @@ def read_domain(
 def write_domain(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> str:
-    """Replace a dataset."""
+    """Replace a dataset.
+
+    For a partitioned dataset the rows are first rebalanced by the partition columns: adaptive
+    execution then writes few files per value, and splits a value that holds many rows.
+    """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         # Empty text and missing text stay apart.
