@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.common import table
+from trialspark.llm.decontaminate import find_contamination
 from trialspark.llm.simhash import simhash_components
+from trialspark.llm.toxicity import score_toxicity, toxic_fold
+
+
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that overlap a benchmark item, one row for each such pair."""
+    return find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("version")
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), toxic_fold())
+    return scored.select("doc_id", toxic_fold().alias("held_out"), "score", "predicted")
 
 
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +27,8 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
     "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {}
