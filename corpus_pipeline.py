@@ -7,18 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trialspark.llm.common import settle, table
+from trialspark.llm.decontaminate import remove_contaminated
+from trialspark.llm.mixing import take_mix
+from trialspark.llm.pii import redact_pii
 from trialspark.llm.simhash import keep_one
+from trialspark.llm.toxicity import drop_toxic, toxic_fold
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"), toxic_fold())
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap an item of the benchmark go."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets; every document stays."""
+    return redact_pii(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with the times each is to be read."""
+    return take_mix(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mixing", mixing),
 ]
 
 #: Learned scores and searches over bits are beyond SQL; the tests hold each stage against a plain version.

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trialspark.llm.common import table
 from trialspark.llm.decontaminate import find_contamination
+from trialspark.llm.mixing import mix_sources
+from trialspark.llm.pii import KINDS, find_pii
 from trialspark.llm.simhash import simhash_components
 from trialspark.llm.toxicity import score_toxicity, toxic_fold
 
@@ -22,6 +25,20 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxic_fold().alias("held_out"), "score", "predicted")
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+
+
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    def joined(name: str) -> Column:
+        return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    found = find_pii(table(spark, folder, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -29,6 +46,8 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
+    "op3_mixing": op3_mixing,
+    "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
 }
 ORACLES: dict[str, str] = {}

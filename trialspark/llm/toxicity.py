@@ -22,6 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Matrices
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trialspark.llm.common import columns_free_of, settle
 from trialspark.llm.labelled import MAX_TRAIN, fold, training_rows
@@ -213,18 +214,19 @@ class Scanner:
 
 
 def with_features(docs: DataFrame, key: list[str], text: str, automaton: LexiconAutomaton) -> DataFrame:
-    """key columns and `features`, an array of doubles, for every row."""
-    frame = docs.select(*key, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
+    """key columns and `__features`, an array of doubles, for every row."""
+    frame = docs.select(*key, F.col(f"`{text}`").alias("__text"))
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("__features", T.ArrayType(T.DoubleType()))])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(automaton)
         for batch in batches:
             rows = [scanner.features(t.as_py()) for t in batch.column(len(key))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*key, "features"])
+                [*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=names)
 
-    return frame.mapInArrow(run, f"{kinds}, features array<double>")
+    return frame.mapInArrow(run, schema)
 
 
 def _terms(text: str) -> set[str]:
@@ -320,7 +322,7 @@ class ToxicityModel:
     def score(self) -> Column:
         total = F.lit(self.intercept)
         for i, weight in enumerate(self.weights):
-            total = total + F.col("features")[i] * weight
+            total = total + F.col("__features")[i] * weight
         return 1 / (1 + F.exp(-total))
 
 
@@ -334,7 +336,7 @@ def fit_toxicity(rows: DataFrame, key: str = "doc_id") -> ToxicityModel:
     half = F.pmod(F.xxhash64(F.col(key), F.lit("half")), F.lit(2)) == 0
     words, stems, weak, usual = mine_lexicon(rows)
     *lists, seen = mine_lexicon(rows.where(half))
-    shapes = with_features(rows.where(~half), [key, "label"], "text", LexiconAutomaton(*lists, seen)).select("label", "features")
+    shapes = with_features(rows.where(~half), [key, "label"], "text", LexiconAutomaton(*lists, seen)).select("label", F.col("__features").alias("features"))
     shapes = settle(shapes, "features")
     f = [F.col("features")[i] for i in range(len(FEATURES))]
     zero = F.lit(0.0)
@@ -356,6 +358,19 @@ def fit_toxicity(rows: DataFrame, key: str = "doc_id") -> ToxicityModel:
     return ToxicityModel(LexiconAutomaton(words, stems, weak, usual), [float(w) for w in fitted.coefficients], float(fitted.intercept))
 
 
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text",
+    label: str = "toxic", max_train: int = MAX_TRAIN, threshold: float = 0.5,
+) -> DataFrame:
+    """docs without the rows that score at least `threshold`; nothing is joined, the score travels with the row."""
+    held_out = F.lit(False) if held_out is None else held_out
+    rows = training_rows(columns_free_of(docs, key, text), labels, label, held_out, key, text, max_train)
+    model = fit_toxicity(rows, key)
+    names = [f"`{c}`" for c in docs.columns]
+    marked = with_features(docs, names, text, model.automaton)
+    return marked.where(model.score() < threshold).select(*names)
+
+
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, held_out: Column | None = None, key: str = "doc_id", text: str = "text",
     label: str = "toxic", max_train: int = MAX_TRAIN,
@@ -370,7 +385,7 @@ def score_toxicity(
     rows = training_rows(columns_free_of(docs, key, text), labels, label, held_out, key, text, max_train)
     model = fit_toxicity(rows, key)
     scored = with_features(columns_free_of(docs, key, text), [key], text, model.automaton)
-    return scored.select(key, model.score().alias("score"), "features").withColumn(
+    return scored.select(key, model.score().alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
