@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm.common import table
+from trialspark.llm import chat, warc
+from trialspark.llm.common import shared_dir, table
 from trialspark.llm.decontaminate import find_contamination
 from trialspark.llm.mixing import mix_sources
 from trialspark.llm.pii import KINDS, find_pii
+from trialspark.llm.quality import quality_fold, score_quality
 from trialspark.llm.simhash import simhash_components
+from trialspark.llm.substring import remove_repeats
+from trialspark.llm.topk import top_k
 from trialspark.llm.toxicity import score_toxicity, toxic_fold
 
 
@@ -30,6 +35,42 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """A record per page, written to archives in the shared folder and read back from them."""
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one whose texts hold the marks of another template."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.sql(
+        f"SELECT * FROM VALUES (-7L, 0L, 'user', '{marks}'), (-7L, 1L, 'assistant', '{marks}') AS t(conv_id, turn, role, text)")
+    return chat.conversation_digests(chat.format_conversations(turns.union(more)))
+
+
+OP5_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    length(regexp_replace(text, '<(\|+)', '<|', 'g')) AS text_chars,
+    length(regexp_replace(role, '<(\|+)', '<|', 'g')) AS role_chars
+  FROM said
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(text_chars + CASE WHEN before = role THEN 8 ELSE 9 + role_chars + 8 + 8 END) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
 def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
     def joined(name: str) -> Column:
         return F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -43,11 +84,50 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), quality_fold())
+    return scored.select("doc_id", quality_fold().alias("held_out"), "score", "predicted")
+
+
+def op10_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The five highest inner products of every fiftieth vector with all others."""
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP10_SQL = """
+WITH listed AS (
+  SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings
+), parts AS (
+  SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS value FROM listed
+), usable AS (
+  SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(value IS NOT NULL AND isfinite(value))
+), whole AS (
+  SELECT vec_id, i, CAST(floor(256 * value) AS BIGINT) AS x FROM parts SEMI JOIN usable USING (vec_id)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x) AS score
+  FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id, CAST(score AS BIGINT) AS score
+FROM scored QUALIFY rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op3_mixing": op3_mixing,
+    "op4_warc": op4_warc,
+    "op5_chat": op5_chat,
     "op6_pii": op6_pii,
     "op7_simhash": op7_simhash,
+    "op8_substring": op8_substring,
+    "op9_quality": op9_quality,
+    "op10_topk": op10_topk,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op10_topk": OP10_SQL}
