@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """Folder for intermediate tables: spark.checkpoint.dir.
+
+    Only a session on one machine may leave that unset, and gets a temporary folder; on a cluster every machine
+    would see another one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="trialspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

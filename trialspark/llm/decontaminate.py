@@ -171,26 +171,18 @@ def _regions(docs: DataFrame, key: str, text: str, masks: tuple[str, ...], bits:
 
 def longest_overlap(equal: np.ndarray, need: int, share: float = MIN_SHARE) -> tuple[int, int] | None:
     """Longest stretch of at least `need` positions, begun and ended by equal ones, of which `share` are equal."""
-    hit = np.flatnonzero(equal)
-    if not len(hit):
-        return None
     gain = np.r_[0.0, np.cumsum(np.where(equal, 1 - share, -share))]
-    low = np.minimum.accumulate(gain)
-    high = np.maximum.accumulate(gain[::-1])[::-1]
+    low = np.minimum.accumulate(np.r_[np.where(equal, gain[:-1], np.inf), np.inf])
+    high = np.maximum.accumulate(np.r_[-np.inf, np.where(equal, gain[1:], -np.inf)][::-1])[::-1]
     best, i, j = None, 0, 0
-    while i < len(gain) and j < len(gain):  # the widest i, j with gain[j] >= gain[i]
+    while i < len(gain) and j < len(gain):  # the widest begin i and end j with gain[j] >= gain[i]
         if high[j] >= low[i] - 1e-9:
             if best is None or j - i > best[1] - best[0]:
                 best = i, j
             j += 1
         else:
             i += 1
-    if best is None:
-        return None
-    inside = hit[(hit >= best[0]) & (hit < best[1])]
-    if not len(inside) or inside[-1] + 1 - inside[0] < need:
-        return None
-    return int(inside[0]), int(inside[-1]) + 1
+    return best if best and best[1] - best[0] >= need else None
 
 
 def find_contamination(
