@@ -10,6 +10,7 @@ import xxhash
 
 from trialspark.llm import decontaminate as C, simhash as S, substring as B
 from trialspark.llm.common import connected_components
+from trialspark.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 KIND = "doc_id long, text string, score double, fp string, key string, root long"
@@ -237,3 +238,22 @@ def test_backward_search_against_counting():
 def test_digest_of_kept_words(spark):
     row = B.remove_repeats(docs_of(spark, [(1, " a\tb\n c ")])).first()
     assert hashlib.sha256(row["kept"].encode()).hexdigest() == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_queries_over_a_whole_small_table(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    prints = [plain_print(t) for _, t in rows]
+    roots = plain_components(prints)
+    lowest = {}
+    for (i, _), r in zip(rows, roots):
+        lowest[r] = min(lowest.get(r, i), i)
+    want = sorted((i, format(p, "016x"), lowest[r]) for (i, _), p, r in zip(rows, prints, roots))
+    assert sorted(map(tuple, QUERIES["op7_simhash"](spark, folder).collect())) == want
+    kept = {i: x for i, *x in ((int(r[0]), *r[1:]) for r in plain_repeats(rows, 50))}
+    for r in QUERIES["op8_substring"](spark, folder).collect():
+        n, gone, text = kept[r["doc_id"]]
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (n, gone, hashlib.sha256(text.encode()).hexdigest())
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op1_decontamination"](spark, folder).collect()}
+    assert found == {(i, j) for i, t in rows for j, b in items if b in (t or "")}

@@ -1,5 +1,6 @@
 """Toxicity, personal data, quality and mixing."""
 
+import hashlib
 import random
 import re
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark.llm import mixing as M, pii as P, quality as Q, toxicity as X
+from trialspark.llm.queries import QUERIES
 
 KIND = "doc_id long, text string, label int, features string, score double, stats string"
 
@@ -200,6 +202,20 @@ def test_spans_and_redaction_of_a_table(spark, model):
     assert P.find_pii(docs_of(spark, [])).count() == P.redact_pii(docs_of(spark, [])).count() == 0
 
 
+def test_query_of_personal_data(spark):
+    """The registered query over a whole small table."""
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = QUERIES["op6_pii"](spark, folder).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base = plain_spans(texts[r["doc_id"]] or "")
+        said = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert [r[f"n_{k}"] for k in P.KINDS] == [sum(s[0] == k for s in base) for k in P.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r["spans"].split(",")) | {""}
+
+
 def test_rules_of_a_tree():
     described = """DecisionTreeClassificationModel: depth=2
   If (feature 1 <= 0.5)
