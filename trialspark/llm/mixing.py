@@ -19,6 +19,7 @@ from trialspark.llm.common import settle
 MAX_REPEATS = 3
 SEED = 20_240_601
 DIGIT_BITS = 12  # documents are dealt to 2^12 parts of the seeded order, twice, before any are sorted
+BROADCAST_PATTERNS = 10_000  # tables of so many rows are broadcast; longer ones are joined as they are
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -95,14 +96,16 @@ def route(tokens: list[int], members: list[list[int]], quotas: list[int], repeat
             room[e ^ 1] += amount
 
 
-def _extra(rows: DataFrame, budget: DataFrame, order: list[str]) -> DataFrame:
+def _extra(rows: DataFrame, budget: DataFrame, order: list[str], few: bool) -> DataFrame:
     """rows with `extra`: 1 for documents that fill their pattern's `rest` in the seeded order `spot`.
 
     Documents are first summed by leading bits of `spot`; only the part in which the rest runs out is cut again,
-    and only the last small part is sorted, so that no pattern meets in one task.
+    and only the last small part is sorted, so that no pattern meets in one task. `few` tells that the tables of
+    one row per pattern are known to be small; then they are sent to the documents and a pattern's documents stay apart.
     """
+    sent = F.broadcast if few else (lambda df: df)
     done: list[DataFrame] = []
-    open_ = rows.join(budget.select("pattern", "rest"), "pattern")
+    open_ = rows.join(sent(budget.select("pattern", "rest")), "pattern")
     for level in (1, 2):
         part = F.shiftrightunsigned("spot", 64 - DIGIT_BITS * level).bitwiseAND((1 << DIGIT_BITS) - 1)
         open_ = open_.withColumn("part", part)
@@ -113,7 +116,7 @@ def _extra(rows: DataFrame, budget: DataFrame, order: list[str]) -> DataFrame:
             .groupBy("pattern").agg(F.min(F.struct("part", (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"))).alias("cut"))
             .select("pattern", F.col("cut.part").alias("cut"), F.col("cut.rest").alias("cut_rest"))
         )
-        open_ = open_.join(last, "pattern", "left")  # no cut: the rest takes in the whole pattern
+        open_ = open_.join(sent(last), "pattern", "left")  # no cut: the rest takes in the whole pattern
         inside = F.col("part") == F.col("cut")
         done.append(open_.where(~F.coalesce(inside, F.lit(False))).select(
             *rows.columns, F.coalesce(F.col("part") < F.col("cut"), F.lit(True)).cast("int").alias("extra")))
@@ -154,7 +157,8 @@ def mix(
         budget.append((pattern, min(rounds, repeats), rest if rounds < repeats else 0))
     spark = rows.sparkSession
     budget_ = spark.createDataFrame(budget, "pattern string, rounds int, rest long")
-    taken = _extra(rows, budget_, ["spot", key, "version"]).join(budget_.select("pattern", "rounds"), "pattern")
+    few = len(budget) <= BROADCAST_PATTERNS
+    taken = _extra(rows, budget_, ["spot", key, "version"], few).join(budget_.select("pattern", "rounds"), "pattern")
     return taken.withColumn("taken", F.least(F.lit(repeats), F.col("rounds") + F.col("extra"))).drop(
         "extra", "rounds", "spot", "pattern")
 
