@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialspark import schema as S
+from trialspark import functions as X
 from trialspark.functions import arm_text, build_usubjid
 from trialspark.operators import adam, checks as H, numbering as W, rows as R, tables as T
-from trialspark.sources.domains import site_dictionary, term_dictionary
+from trialspark.sources.domains import TERM_KIND, site_dictionary, term_entries
 
 ARMS = {0: "Placebo", 1: "DRUG 100mg", 2: "DRUG 200mg"}
 
@@ -111,22 +112,17 @@ def test_adae_drops_orphans_and_flags_emergence(trial):
     assert flags == {("1", 1): "Y", ("1", 2): "N", ("1", 3): "N", ("2", 1): "Y", ("2", 2): "Y"}
 
 
-def test_adae_is_the_same_when_subjects_are_split(trial):
-    split = adam.build_adae(trial["ae"], trial["adsl"], min_rows=1, slices=100)
-    assert sorted(map(str, split.collect())) == sorted(map(str, trial["adae"].collect()))
-
-
 def test_teae_tables(trial):
-    rows = {r["CATEGORY"]: r for r in T.teae_overall(trial["adae"]).collect()}
+    rows = {r["CATEGORY"]: r for r in T.teae_overall(trial["ae"], trial["adsl"]).collect()}
     pick = lambda r: (r["N_PLC"], r["N_LOW"], r["N_HIGH"], r["N_TOTAL"])
     assert pick(rows["Any TEAE"]) == (1, 1, 0, 2)
     assert pick(rows["Any Serious TEAE"]) == (0, 0, 0, 0)
     assert pick(rows["Any TEAE Leading to Dropout"]) == (1, 0, 0, 1)
-    terms = {r["AEDECOD"]: pick(r) for r in T.teae_by_term(trial["adae"], min_n=1).collect()}
+    terms = {r["AEDECOD"]: pick(r) for r in T.teae_by_term(trial["ae"], trial["adsl"], min_n=1).collect()}
     assert terms == {"Headache": (1, 0, 0, 1), "Rash": (0, 1, 0, 1)}
-    assert T.teae_by_term(trial["adae"]).count() == 0
+    assert T.teae_by_term(trial["ae"], trial["adsl"]).count() == 0
     half = T.teae_by_term(
-        trial["adae"], min_pct=60.0, denominators=T.arm_denominators(trial["adsl"])
+        trial["ae"], trial["adsl"], min_pct=60.0, denominators=T.arm_denominators(trial["adsl"])
     )
     assert [r["AEDECOD"] for r in half.collect()] == ["Rash"]
 
@@ -184,7 +180,7 @@ def test_checks_find_planted_issues(spark, trial):
 
 def test_required_columns_lists_missing(spark, trial):
     row = H.check_required_columns(spark, trial["dm"].drop("SEX", "RACE")).first()
-    assert (row["STATUS"], row["N_ISSUES"], row["DETAILS"]) == ("FAIL", 2, "Missing: SEX RACE")
+    assert (row["STATUS"], row["N_ISSUES"], row["DETAILS"]) == ("FAIL", 2, "absent columns: SEX RACE")
 
 
 def test_unique_counts_missing_ids(spark):
@@ -240,7 +236,7 @@ def test_planned_visits(planned):
     assert long.count() == 5880
     texts = {r["VSTESTCD"]: r["VSSTRESC"] for r in long.limit(3).collect()}
     assert texts["TJC28"] == "7"
-    assert R.cross_with_dictionary(planned, term_dictionary(planned.sparkSession)).count() == 2800
+    assert R.cross_with_dictionary(planned, term_entries(), TERM_KIND).count() == 2800
 
 
 def test_orphans_keep_rows_without_key(spark):
@@ -269,3 +265,25 @@ def test_validate_ranges(spark):
 def test_labels(spark, trial):
     labels = R.column_labels(R.attach_labels(trial["adsl"]))
     assert labels["AENUM"] == "Total AE Count" and "COUNTRY" not in labels
+
+
+def test_missing_measurement_has_no_text(spark):
+    df = spark.createDataFrame([("1", 2.25, None)], "USUBJID string, a double, b double")
+    tests = [("A", "Test A", "u", "a", 1), ("B", "Test B", "u", "b", 0)]
+    got = {r["VSTESTCD"]: (r["VSSTRESN"], r["VSSTRESC"]) for r in R.expand_tests(df, tests).collect()}
+    assert got["B"] == (None, None) and got["A"][0] == 2.25 and got["A"][1] in ("2.2", "2.3")
+
+
+def test_arm_named_like_the_overall_row_and_missing_arm(spark):
+    rows = [("All", 1.0), ("All", 3.0), (None, 10.0), (None, 20.0)]
+    df = spark.createDataFrame(rows, "TRT01P string, x double")
+    got = {(r["OVERALL"], r["ARM"]): (r["N"], r["MEDIAN"]) for r in T.continuous_summary(df, ["x"]).collect()}
+    assert got == {("N", "All"): (2, 2.0), ("N", None): (2, 15.0), ("Y", "All"): (4, 6.5)}
+
+
+def test_emergence_without_dates(spark):
+    df = spark.createDataFrame(
+        [("2023-01-05", "2023-01-01"), ("2023-01-05", None), (None, "2023-01-01"), (None, None)], "a string, b string"
+    )
+    got = [r[0] for r in df.select(X.treatment_emergent(F.col("a"), F.col("b"))).collect()]
+    assert got == ["Y", "Y", "N", "N"]

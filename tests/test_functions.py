@@ -47,7 +47,7 @@ def test_risk_tiers_and_label(spark):
 
 def test_response_edge(spark):
     assert many(spark, [-1.2, -1.3, 0.0, None], "double", X.response_flag(x())) == [
-        "NON-RESPONDER", "RESPONDER", "NON-RESPONDER", "NON-RESPONDER",
+        "NON-RESPONDER", "RESPONDER", "NON-RESPONDER", "UNKNOWN",
     ]
 
 

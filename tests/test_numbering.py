@@ -7,7 +7,6 @@ from pyspark.sql import Window, functions as F
 
 from trialspark.operators import numbering as W
 from trialspark.operators.quantiles import exact_median, most_frequent
-from trialspark.operators.skew import join_many_to_one
 
 LIMITS = [{}, {"min_rows": 5, "slices": 30}, {"min_rows": 1, "slices": 5000}]
 
@@ -104,22 +103,6 @@ def test_median_and_mode(rows, limits):
     assert modes == {"a": 1, "b": 3}
 
 
-@pytest.mark.parametrize("limits", LIMITS)
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join_with_hot_key_equals_plain_join(spark, rows, how, limits):
-    one = spark.createDataFrame([(k, f"site {k}") for k in range(0, 40)], "g int, name string")
-    many = rows.select("i", "g")
-    got = join_many_to_one(many, one, "g", how, **limits)
-    want = many.join(one, "g", how)
-    assert got.count() == want.count()
-    cols = sorted(want.columns)
-    key = lambda r: tuple(str(v) for v in r)
-    assert sorted(got.columns) == cols
-    assert sorted(got.select(cols).collect(), key=key) == sorted(
-        want.select(cols).collect(), key=key
-    )
-
-
 def test_hot_key_is_spread(spark):
     """The rows of a key with all rows land in many parts, copies included by their sequence."""
     many = spark.range(1000).select(F.lit(7).alias("k"), F.col("id").alias("seq"))
@@ -128,6 +111,28 @@ def test_hot_key_is_spread(spark):
     assert len(sizes) == 100 and max(sizes) <= 20
 
 
+@pytest.mark.parametrize(
+    "key",
+    [
+        "CASE WHEN id = 0 THEN 1e18 ELSE CAST(id AS DOUBLE) END",
+        "date_format(date_add(DATE'2023-01-01', CAST(id % 700 AS INT)), 'yyyy-MM-dd')",
+        "array(id % 10, id)",
+        "encode(CAST(id AS STRING), 'UTF-8')",
+        "IF(id % 3 = 0, NULL, id)",
+    ],
+)
+def test_ranges_are_even_for_every_kind_of_key(spark, key):
+    """An outlier, day texts, arrays, bytes and nulls: no range holds much more than its share."""
+    rows = spark.range(4000).select(F.lit(7).alias("g"), F.expr(key).alias("k"), F.col("id").alias("i"))
+    marked = W.split_ranges(rows, ["g"], ["k", "i"], min_rows=200, slices=20)
+    sizes = [r["count"] for r in marked.groupBy("__range").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) <= 2 * 200
+    w = Window.partitionBy("g").orderBy("k", "i")
+    want = rows.select("i", F.row_number().over(w).alias("n"))
+    got = W.numbered(rows, ["g"], ["k", "i"], "n", min_rows=200, slices=20).select("i", "n")
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
 def test_hot_value_inside_a_hot_group_is_split(spark):
     """Most rows of the hot group share one day and one term; the last column tells them apart."""
     i = F.col("id")

@@ -60,3 +60,17 @@ def test_registration_profile_inventory(spark):
     assert (row["N_SUBJECTS"], row["FLAG_RATE"], row["COLUMNS"]) == (2, 50.0, "USUBJID,DPTFL")
     got = dataset_inventory({"ADSL": df}, S.DOMAIN_TEXT).first()
     assert (got["DATASET"], got["DOMAIN"], got["RECORDS"]) == ("ADSL", "Subject Level", 2)
+
+
+def test_csv_returns_texts_as_they_were(spark, tmp_path):
+    texts = ["two\nlines", " pad ", "", None, 'say "x"', "a,b", "back\\slash", "\t", "'"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    path = D.write_domain(df, str(tmp_path / "t.csv"), "csv")
+    assert sorted(D.read_domain(spark, path, df.schema).collect()) == sorted(df.collect())
+
+
+def test_csv_value_of_another_type_is_an_error(spark, tmp_path):
+    df = spark.createDataFrame([("x",)], "n string")
+    path = D.write_domain(df, str(tmp_path / "t.csv"), "csv")
+    with pytest.raises(Exception, match="MALFORMED|x"):
+        D.read_domain(spark, path, D.T.StructType([D.T.StructField("n", D.T.IntegerType())])).collect()

@@ -7,7 +7,7 @@ from trialspark import schema as S
 from trialspark.functions import arm_text, band, bmi, build_usubjid, iso_text, shift_days
 from trialspark.operators import numbering as W, rows as R
 from trialspark.plans.study import run_study
-from trialspark.sources.domains import site_dictionary, term_dictionary, write_domain
+from trialspark.sources.domains import TERM_KIND, site_dictionary, term_entries, write_domain
 
 
 def pick(key, n):
@@ -39,7 +39,7 @@ def paths(spark, tmp_path_factory):
         "DASGRP": band(c("DASCR"), *S.DAS28_BANDS), "ARM": c("TRT01P"), "ACTARM": c("TRT01P"),
     })
     id_term = ["USUBJID", "AEDECOD"]
-    ae = R.cross_with_dictionary(dm, term_dictionary(spark)).filter(pick(id_term, 4) == 0)
+    ae = R.cross_with_dictionary(dm, term_entries(), TERM_KIND).filter(pick(id_term, 4) == 0)
     ae = ae.withColumns({
         "AESEV": F.element_at(F.array(*map(F.lit, S.SEVERITIES)), pick(["AEDECOD", "n"], 3) + 1),
         "AESER": F.when(pick(["n", "AEDECOD"], 9) == 0, "Y").otherwise("N"),

@@ -86,3 +86,25 @@ def test_chi_square_tail():
     assert V.chi_square_tail(7.814727903, 3) == pytest.approx(0.05)
     assert V.chi_square_tail(9.487729037, 4) == pytest.approx(0.05)
     assert V.chi_square_tail(0, 2) == 1.0
+
+
+def test_rows_without_time_event_or_arm_are_left_out(spark):
+    rows = [("A", 1, 1), ("A", 2, 0), ("A", 3, 1), ("B", 2, 1), ("B", 4, 1), ("B", 5, 0)]
+    kind = "TRT01P string, DAYS int, EVENT int"
+    clean = spark.createDataFrame(rows, kind)
+    more = spark.createDataFrame([*rows, ("A", None, 1), ("B", 3, None), (None, 1, 1)], kind)
+    key = lambda r: (r["TRT01P"], r["DAYS"])
+    assert sorted(V.km_curve(more).collect(), key=key) == sorted(V.km_curve(clean).collect(), key=key)
+    first = min(V.km_curve(more).filter("TRT01P = 'A'").collect(), key=key)
+    assert first["SURVIVAL"] == pytest.approx(2 / 3)
+    assert V.logrank_test(more, ["A", "B"]).collect() == V.logrank_test(clean, ["A", "B"]).collect()
+    got = {r["TRT01P"]: r for r in V.survival_summary(more).collect()}
+    assert (got["A"]["N"], got["A"]["N_EVENT"], got["A"]["MEDIAN"], got["B"]["MEDIAN"]) == (3, 2, 3, 4)
+
+
+def test_likelihood_ratio(spark):
+    df = spark.createDataFrame([("A", 2, 1), ("A", 2, 1), ("B", 8, 1)], "TRT01P string, DAYS int, EVENT int")
+    row = V.likelihood_ratio_test(df, ["A", "B"]).first()
+    want = 2 * (2 * math.log(2 / 4) + math.log(1 / 8) - 3 * math.log(3 / 12))
+    assert (row["CHISQ"], row["DF"]) == (pytest.approx(want), 1)
+    assert V.likelihood_ratio_test(df.filter("TRT01P = 'A'"), ["A", "B"]).first()["CHISQ"] is None

@@ -68,8 +68,10 @@ def compliance_flag(percent: Column, threshold: float = 80) -> Column:
 
 
 def response_flag(change: Column, threshold: float = -1.2) -> Column:
-    """RESPONDER where the change from baseline is below the threshold."""
-    return F.when(change < threshold, "RESPONDER").otherwise("NON-RESPONDER")
+    """RESPONDER where the change from baseline is below the threshold; UNKNOWN without a change."""
+    return F.when(change.isNull(), "UNKNOWN").when(change < threshold, "RESPONDER").otherwise(
+        "NON-RESPONDER"
+    )
 
 
 def normalise_term(term: Column) -> Column:
@@ -90,8 +92,13 @@ def shift_days(date: Column, days) -> Column:
 
 
 def treatment_emergent(start: Column, reference: Column) -> Column:
-    """'Y' where the event starts on or after the reference date (both ISO text)."""
-    return yn_flag(iso_date(start) >= iso_date(reference))
+    """'Y' where the event starts on or after the reference date (both ISO text).
+
+    A missing reference date is earlier than any start, so the event is emergent; an event without
+    a start date is not.
+    """
+    began, since = iso_date(start), iso_date(reference)
+    return yn_flag(began.isNotNull() & (since.isNull() | (began >= since)))
 
 
 def time_to_event(start: Column, end: Column, horizon: int = 168) -> Column:

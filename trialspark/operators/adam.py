@@ -18,7 +18,6 @@ from trialspark.functions import (
     treatment_emergent,
 )
 from trialspark.operators.rows import default_missing
-from trialspark.operators.skew import join_many_to_one
 
 
 def ae_burden(
@@ -128,13 +127,16 @@ def build_adsl(
     return derived.select(*S.ADSL.fieldNames())
 
 
-def build_adae(ae: DataFrame, adsl: DataFrame, **limits) -> DataFrame:
-    """One row per event of a known subject, with subject columns and derived flags."""
+def build_adae(ae: DataFrame, adsl: DataFrame) -> DataFrame:
+    """One row per event of a known subject, with subject columns and derived flags.
+
+    A plain join on the subject: adaptive execution splits subjects with very many events.
+    """
     subject = adsl.select(
         "USUBJID", "SITEID", "TRT01P", "TRT01PN", "AGE", "SEX", "DPTFL",
         F.col("RFSTDTC").alias("__rfst"),
     )
-    out = join_many_to_one(ae.drop("SITEID"), subject, "USUBJID", **limits).withColumns(
+    out = ae.drop("SITEID").join(subject, "USUBJID").withColumns(
         {
             "DATASET": F.lit("ADAE"),
             "AESEVN": severity_code(F.col("AESEV")),

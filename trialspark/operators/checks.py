@@ -103,50 +103,48 @@ def bad_range(column: str, low, high) -> Column:
     return outside(F.col(column), low, high)
 
 
-# Wording of the checks.
+# Ids, datasets and names of the checks. The sentences are the library's own.
 
 ID_FORMAT = Check(
     "CHK-01", "DM", "USUBJID format conforms to STUDYID-SITEID-SUBJID",
-    "All USUBJIDs match expected pattern", "{n} records have non-conforming USUBJID",
+    "every identifier has the agreed form", "{n} identifiers differ from the agreed form",
 )
 REQUIRED = Check(
     "CHK-02", "DM", "Required DM SDTM variables present",
-    "All required DM variables found", "Missing: ",
+    "no required column is absent", "absent columns: ",
 )
 UNIQUE = Check(
     "CHK-03", "ADSL", "One record per subject (no duplicates)",
-    "ADSL has unique records per USUBJID", "{n} duplicate USUBJID records found",
+    "each subject stands once", "{n} rows repeat a subject",
 )
 FLAG = Check(
     "CHK-04", "ADSL", "DPTFL consistent with DSDECOD",
-    "Dropout flag aligns with disposition reason",
-    "{n} subjects have inconsistent DPTFL/DSDECOD",
+    "dropout flags and reasons agree", "{n} rows have a dropout flag against their reason",
 )
 DATES = Check(
     "CHK-05", "ADSL", "RFSTDTC before RFENDTC for all subjects",
-    "All subjects have valid date ordering", "{n} subjects have RFSTDTC >= RFENDTC",
+    "each start lies before its end", "{n} rows have no start before their end",
 )
 SEVERITY = Check(
     "CHK-06", "AE", "AESEV within CDISC controlled terminology",
-    "All AESEV values are MILD / MODERATE / SEVERE", "{n} records have invalid AESEV values",
+    "each severity is a listed one", "{n} rows have a severity that is not listed",
 )
 BALANCE = Check(
     "CHK-07", "ADSL", "Treatment arm balance (max imbalance <= 5)",
-    "Arms balanced - max imbalance is {n} subjects",
-    "Arm imbalance of {n} subjects detected", warn=True, tolerance=5,
+    "largest and smallest arm differ by {n}", "largest and smallest arm differ by {n}, more than allowed",
+    warn=True, tolerance=5,
 )
 FLAGS = Check(
     "CHK-08", "ADSL", "SAFFL and ITTFL flags valid (Y or N)",
-    "All population flags contain valid values", "{n} records with invalid flag values",
+    "each population flag is Y or N", "{n} rows have another population flag than Y or N",
 )
 RANGE = Check(
     "CHK-09", "ADSL", "Compliance percentage in valid range [0-100]",
-    "All compliance values are within expected range",
-    "{n} records have out-of-range compliance",
+    "each compliance lies from 0 to 100", "{n} rows have a compliance below 0 or above 100",
 )
 REFERENTIAL = Check(
     "CHK-10", "AE", "All AE records link to valid DM subjects",
-    "No orphan AE records found", "{n} AE records have no matching DM subject",
+    "each event has its subject", "{n} events have no subject",
 )
 
 

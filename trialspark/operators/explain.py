@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schema as S
 from trialspark.functions import indicator
+from trialspark.operators.reshape import union_all
 from trialspark.operators.scoring import probabilities
 
-# Orderings x background rows become a constant of the plan, so their number is limited.
-MAX_COALITION_PATHS = 5000
+# Paths that become one constant of the plan; more paths are worked off in blocks, whose sums are added.
+BLOCK_PATHS = 1000
 
 RECORD = ["FEATURE", "LABEL", "VALUE", "CONTRIBUTION", "DIRECTION"]
 
@@ -66,46 +67,50 @@ def shapley_contributions(
     steps of all subjects are scored in one pass of the model. The base value plus the
     contributions equals the prediction exactly, for any number of orderings.
 
-    ``background`` is a small sample of the same columns and ``key`` identifies a row of ``df``.
+    ``background`` is a sample of the same columns, whose rows become constants of the plan, and ``key``
+    identifies a row of ``df``.
     The steps of a subject are made and summed in the task that holds the subject, so the
     shuffle carries one partial row per subject.
     """
     names = list(features)
     rows = background.select(*[F.col(f).cast("double") for f in names]).dropna()
-    limit = MAX_COALITION_PATHS // orderings
-    sample = rows.limit(limit + 1).collect()
-    if not sample or len(sample) > limit:
-        raise ValueError(f"background needs 1 to {limit} complete rows")
+    sample = rows.collect()
+    if not sample:
+        raise ValueError("background needs a complete row")
     rng = np.random.default_rng(seed)
     paths = [
         {"rank": np.argsort(rng.permutation(len(names))).tolist(), "from": list(row)}
         for row in sample
         for _ in range(orderings)
     ]
-    # One text constant, which the optimizer folds into an array once.
-    listed = F.from_json(
-        F.lit(json.dumps(paths)), "array<struct<rank: array<int>, from: array<double>>>"
-    )
     types = {f.name: f.dataType for f in df.schema.fields}
     own = F.array(*[F.col(f).cast("double") for f in names]).alias("__own")
-    steps = (
-        df.select(key, own)
-        .withColumn("__path", F.explode(listed))
-        .withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
-    )
-    rank = F.col("__path.rank")
-    mixed = steps.select(
-        key, "__own", "__step", rank.alias("__rank"),
-        *[
-            F.when(rank[j] < F.col("__step"), F.col("__own")[j])
-            .otherwise(F.col("__path.from")[j]).cast(types[f]).alias(f)
-            for j, f in enumerate(names)
-        ],
-    )
     p, step = F.col("__p"), F.col("__step")
-    scored = probabilities(mixed, model, "__p")
     n = float(len(paths))
 
+    def walked(block: list[dict]) -> DataFrame:
+        # One text constant, which the optimizer folds into an array once.
+        listed = F.from_json(
+            F.lit(json.dumps(block)), "array<struct<rank: array<int>, from: array<double>>>"
+        )
+        steps = (
+            df.select(key, own)
+            .withColumn("__path", F.explode(listed))
+            .withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(len(names)))))
+        )
+        rank = F.col("__path.rank")
+        mixed = steps.select(
+            key, "__own", "__step", rank.alias("__rank"),
+            *[
+                F.when(rank[j] < F.col("__step"), F.col("__own")[j])
+                .otherwise(F.col("__path.from")[j]).cast(types[f]).alias(f)
+                for j, f in enumerate(names)
+            ],
+        )
+        return probabilities(mixed, model, "__p")
+
+    scored = union_all([walked(paths[i:i + BLOCK_PATHS]) for i in range(0, len(paths), BLOCK_PATHS)])
+
     def credit(j: int) -> Column:
         at = F.col("__rank")[j]
         return F.sum(F.when(step == at + 1, p).when(step == at, -p).otherwise(0.0)) / n

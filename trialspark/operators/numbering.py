@@ -5,83 +5,58 @@ fair share is cut into consecutive ranges of the ordering key. Each range is num
 summed) on its own, and the totals of the earlier ranges are added as an offset, so the
 result equals that of the plain window.
 
-The ranges come from the exact count, minimum and maximum of the group, found before the plan
-is built. So they are the same wherever the plan uses them and whenever a task is retried.
+The ranges end at quantiles of a sample that depends on hashes of the ordering columns only. So
+they are the same wherever the plan uses them and whenever a task is retried.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialspark.operators.skew import (
-    HIGH, LOW, PARTS, ROWS, LargeGroups, join_many_to_one, large_groups, same,
-)
+from trialspark.operators.skew import PARTS, ROWS, LargeGroups, large_groups, same
 from trialspark.sources.workspace import settle
 
-_RANGE, _SKIP, _BEFORE = "__range", "__grp_skip", "__grp_before"
+_RANGE, _ENDS, _BEFORE = "__range", "__grp_ends", "__grp_before"
 
+# Rows sampled for each range; with so many a range seldom has twice its share.
+SAMPLE_PER_PART = 50
 
-def _position(key: Column, dtype: T.DataType) -> Column:
-    """Non-decreasing double for a number, date or timestamp."""
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(key).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        seconds = F.hour(key) * 3600 + F.minute(key) * 60 + F.second(key)
-        return F.unix_date(F.to_date(key)) * F.lit(86400.0) + seconds
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(key).cast("double")
-    return key.cast("double")
-
-
-def _text_position(key: Column, skip: Column) -> Column:
-    """Non-decreasing double for a text: its 6 bytes after the first ``skip`` characters."""
-    rest = F.hex(F.encode(key.substr(skip + 1, F.lit(6)), "UTF-8"))
-    return F.conv(F.rpad(F.substring(rest, 1, 12), 12, "0"), 16, 10).cast("double")
-
-
-def _common_prefix(a: Column, b: Column) -> Column:
-    """Length of the prefix that every text between a and b shares."""
-    upto = F.least(F.length(a), F.length(b))
-    same = F.filter(
-        F.when(upto > 0, F.sequence(F.lit(1), upto)).otherwise(F.array().cast("array<int>")),
-        lambda i: a.substr(F.lit(1), i) == b.substr(F.lit(1), i),
-    )
-    return F.size(same)
 
+def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
+    return df.withColumnsRenamed({c: prefix + c for c in columns})
 
-def _range_number(key: Column, dtype: T.DataType, low, high, parts, skip) -> Column:
-    """Index in [0, parts) of the equal-width range holding the key; -1 for a null key."""
-    if isinstance(dtype, T.StringType):
-        at = lambda c: _text_position(c, skip)
-    else:
-        at = lambda c: _position(c, dtype)
-    width = at(high) - at(low)
-    share = F.when(width > 0, (at(key) - at(low)) / width).otherwise(0.0)
-    # NaN sorts after every number in Spark, and belongs to the last range.
-    index = F.when(F.isnan(share), parts - 1).otherwise(F.floor(share * parts).cast("int"))
-    return F.when(key.isNull(), -1).otherwise(F.greatest(F.least(index, parts - 1), F.lit(0)))
 
+def _place(keys: Sequence[str]) -> Column:
+    """The ordering columns as one comparable value; nulls come first, as in the sort."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
 
-def _prefixed(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({c: prefix + c for c in columns})
 
+def _bounds(df: DataFrame, group: Sequence[str], keys: Sequence[str], large: LargeGroups) -> LargeGroups:
+    """The over-full groups with the sorted places at which their ranges end.
 
-def _mark(df: DataFrame, large: LargeGroups, key: str, name: str) -> DataFrame:
-    """Add the range index of ``key`` inside its over-full group; null for other groups."""
-    dtype = df.schema[key].dataType
-    skip = None
-    if isinstance(dtype, T.StringType):
-        skip = F.col(_SKIP)
-        prefix = _common_prefix(F.col(LOW), F.col(HIGH))
-        large = LargeGroups(large.group, large.table.withColumn(_SKIP, prefix))
-    index = _range_number(F.col(key), dtype, F.col(LOW), F.col(HIGH), F.col(PARTS), skip)
-    return (
-        large.attach(df)
-        .withColumn(name, F.when(F.col(PARTS).isNotNull(), index))
-        .drop(LOW, HIGH, PARTS, _SKIP)
+    The places are quantiles of a sample of the group. Whether a place is sampled depends on its hash
+    only, so the bounds are the same in every run and for every task; they decide where ranges end, never
+    what a row's number is.
+    """
+    share = F.lit(SAMPLE_PER_PART) * F.col(PARTS) / F.col(ROWS)
+    inside = large.attach(df).filter(F.col(ROWS).isNotNull())
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(1 << 20))
+    sample = inside.filter(hashed < share * (1 << 20)).select(*group, PARTS, _place(keys).alias("__place"))
+    whole = Window.partitionBy(*group)
+    row = F.row_number().over(whole.orderBy("__place"))
+    size = F.count(F.lit(1)).over(whole)
+    part = F.floor(F.col("__row") * F.col(PARTS) / F.col("__size"))
+    before = F.floor((F.col("__row") - 1) * F.col(PARTS) / F.col("__size"))
+    ends = (
+        sample.withColumns({"__row": row, "__size": size})
+        .filter((part != before) & (F.col("__row") < F.col("__size")))
+        .groupBy(*group).agg(F.array_sort(F.collect_list("__place")).alias(_ENDS))
     )
+    match = same(group, "__e_")
+    table = large.table.join(_prefixed(ends, group, "__e_"), match, "left")
+    return LargeGroups(large.group, table.drop(*["__e_" + c for c in group]))
 
 
 def split_ranges(
@@ -95,38 +70,30 @@ def split_ranges(
     """Add the range and the size of over-full groups (both null for other groups).
 
     Without an over-full group the frame is returned as it is. ``large`` gives the over-full
-    groups with the limits of the first key if they were found before (``checked``).
+    groups if they were found before (``checked``).
 
-    Ranges are cut on the first key. If a single value of it is over-full too, the rows below,
-    at and above that value get separate ranges, and its own rows are cut on the next key.
+    Ranges end at quantiles of all ordering columns together, compared as one value, so outliers, texts,
+    ties on the first column and every type that can be sorted are cut evenly. Rows that are equal in
+    all ordering columns stay in one range.
     """
     if large is None and not checked:
-        large = large_groups(df, group, keys[0], **limits)
+        large = large_groups(df, group, **limits)
     if large is None:
         return df
-    marked = _mark(df, large, keys[0], "__r0")
-    levels, outer = ["__r0"], list(group)
-    for i, (key, following) in enumerate(zip(keys, keys[1:]), 1):
-        inside = marked.filter(F.col(levels[-1]).isNotNull())
-        heavy = large_groups(inside, [*outer, key], following, **limits)
-        if heavy is None:
-            break
-        values = heavy.table.groupBy(*outer).agg(F.collect_set(key).alias("__heavy"))
-        below = F.size(F.filter("__heavy", lambda v: v < F.col(key)))
-        at = F.coalesce(F.array_contains("__heavy", F.col(key)), F.lit(False)).cast("int")
-        marked = (
-            LargeGroups(tuple(outer), values)
-            .attach(marked)
-            .withColumn(f"__h{i}", F.when(F.col("__heavy").isNotNull(), below * 2 + at))
-            .drop("__heavy")
-        )
-        marked = _mark(
-            marked, LargeGroups(heavy.group, heavy.table.drop(ROWS)), following, f"__r{i}"
-        )
-        levels += [f"__h{i}", f"__r{i}"]
-        outer.append(key)
-    place = F.col("__r0") if len(levels) == 1 else F.struct(*levels)
-    return marked.withColumn(_RANGE, F.when(F.col("__r0").isNotNull(), place)).drop(*levels)
+    ends, place = F.coalesce(F.col(_ENDS), F.array()), _place(keys)
+    # Number of ends below the place, found by halving steps.
+    steps = F.array(*[F.lit(1 << i) for i in range(20, -1, -1)])
+    index = F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: F.when(
+            (at + step <= F.size(ends)) & (F.try_element_at(ends, at + step) < place), at + step
+        ).otherwise(at),
+    )
+    return (
+        _bounds(df, group, keys, large).attach(df)
+        .withColumn(_RANGE, F.when(F.col(ROWS).isNotNull(), index))
+        .drop(PARTS, _ENDS)
+    )
 
 
 def _is_split(marked: DataFrame) -> bool:
@@ -140,17 +107,14 @@ def _drop_ranges(df: DataFrame) -> DataFrame:
 def _with_offsets(
     marked: DataFrame, group: Sequence[str], sums: Mapping[str, Column], offsets: Mapping[str, Column]
 ) -> DataFrame:
-    """Join per-range offsets (window expressions over the range sums) to the rows of ranges.
-
-    The table has one row per range, at most 2 * SLICES in all.
-    """
+    """Join per-range offsets (window expressions over the range sums) to the rows of ranges."""
     cells = marked.filter(F.col(_RANGE).isNotNull()).groupBy(*group, _RANGE).agg(
         *[value.alias(name) for name, value in sums.items()]
     )
     table = cells.select(*group, _RANGE, *[e.alias(n) for n, e in offsets.items()])
     table = _prefixed(table, [*group, _RANGE], "__o_")
     match = same([*group, _RANGE], "__o_")
-    return marked.join(F.broadcast(table), match, "left").drop(
+    return marked.join(table, match, "left").drop(
         "__o_" + _RANGE, *["__o_" + c for c in group]
     )
 
@@ -284,17 +248,16 @@ def global_sequence(
     totals over the table of group sizes.
     """
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    sizes = settle(counts.withColumn("__all", F.lit(0)), "sizes")
+    sizes = settle(counts.withColumn("__all", F.lit(0)))
     upto = running(sizes, ["__all"], group, {"__upto": F.col("__size")}, **limits)
-    starts = upto.select(F.col(group), (F.col("__upto") - F.col("__size")).alias("__start"))
-    large = large_groups(df, [group], order[0], **limits)
-    inside = numbered(df, [group], order, "__in_group", large=large, checked=True)
+    starts = upto.select(
+        F.col(group).alias("__of"), (F.col("__upto") - F.col("__size")).alias("__start")
+    )
+    inside = numbered(df, [group], order, "__in_group", **limits)
     return (
-        join_many_to_one(
-            inside, starts, group, "left", order, large, checked=True, null_safe=True
-        )
+        inside.join(starts, F.col(group).eqNullSafe(F.col("__of")), "left")
         .withColumn(name, (F.col("__in_group") + F.col("__start")).cast("long"))
-        .drop("__start", "__in_group")
+        .drop("__of", "__start", "__in_group")
     )
 
 

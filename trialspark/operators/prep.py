@@ -16,9 +16,6 @@ from trialspark.operators.quantiles import exact_median, most_frequent
 from trialspark.operators.reshape import pivot_long
 from trialspark.operators.rows import complete_cases, population
 
-# Levels of a categorical column become literal expressions.
-MAX_LEVELS = 1000
-
 
 def model_frame(
     adsl: DataFrame, features: Sequence[str] = S.FEATURES, keep_missing: bool = False
@@ -88,17 +85,9 @@ def standardise(
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct non-null values per column, with a limit on their number."""
-    out = {}
-    for c in columns:
-        rows = (
-            df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c)
-            .limit(MAX_LEVELS + 1).collect()
-        )
-        if len(rows) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; it is not categorical")
-        out[c] = [r[0] for r in rows]
-    return out
+    """Sorted distinct non-null values of every column, from one pass; each becomes a literal of the plan."""
+    sets = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
+    return {c: list(sets[c]) for c in columns}
 
 
 def dummy_encode(

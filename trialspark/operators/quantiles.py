@@ -16,12 +16,11 @@ from trialspark.sources.workspace import settle
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
-    """Rows per group and distinct non-null value (columns VALUE and N), written once."""
+    """Rows per group and distinct non-null value (columns VALUE and N), computed once."""
     return settle(
         df.filter(F.col(value).isNotNull())
         .groupBy(*group, F.col(value).cast("double").alias("VALUE"))
-        .agg(F.count(F.lit(1)).alias("N")),
-        "counts",
+        .agg(F.count(F.lit(1)).alias("N"))
     )
 
 

@@ -7,14 +7,10 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from trialspark import schema as S
-from trialspark.functions import holds, iso_text, shift_days, visit_text
-from trialspark.operators.skew import join_many_to_one
+from trialspark.functions import holds, iso_text, result_text, shift_days, visit_text
 
 POPULATION_FLAGS = {"ITT": "ITTFL", "SAFETY": "SAFFL", "PP": "PPROTFL"}
 
-# A dictionary becomes a literal in the plan, so its size is checked.
-MAX_DICTIONARY_ROWS = 1000
-
 
 def population(df: DataFrame, which: str = "ITT") -> DataFrame:
     """Rows whose population flag is 'Y'."""
@@ -113,26 +109,26 @@ def rejected_rows(checked: DataFrame, reasons: str = "REASONS") -> DataFrame:
     return checked.filter(F.size(reasons) > 0)
 
 
-def orphans(child: DataFrame, parent: DataFrame, key: str, **limits) -> DataFrame:
-    """Child rows whose key has no parent; a null key is an orphan."""
-    return join_many_to_one(child, parent.select(key), key, "left_anti", **limits)
+def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
+    """Child rows whose key has no parent; a null key is an orphan.
+
+    The parent keys are unique or made so, and adaptive execution splits a key with many children.
+    """
+    known = parent.select(F.col(key).alias("__parent")).distinct()
+    return child.join(known, F.col(key) == F.col("__parent"), "left_anti")
 
 
-def cross_with_dictionary(df: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Every row with every dictionary entry.
+def cross_with_dictionary(df: DataFrame, entries: Sequence[Sequence], kind: T.StructType) -> DataFrame:
+    """Every row with every entry of a fixed list of terms.
 
-    The dictionary is a fixed list of terms; it is embedded as a literal array and exploded,
+    The entries are constants of the program; they are embedded as a literal array and exploded,
     so rows are multiplied in place without a join or a shuffle.
     """
-    entries = dictionary.limit(MAX_DICTIONARY_ROWS + 1).collect()
-    if len(entries) > MAX_DICTIONARY_ROWS:
-        raise ValueError(f"dictionary has more than {MAX_DICTIONARY_ROWS} rows")
-    kind = dictionary.schema
     if not entries:
         return df.limit(0).withColumns({f.name: F.lit(None).cast(f.dataType) for f in kind})
     literal = F.array(
         *[
-            F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in kind])
+            F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, kind)])
             for row in entries
         ]
     )
@@ -166,7 +162,7 @@ def expand_visits(
 
 
 def expand_tests(df: DataFrame, tests: Sequence[tuple[str, str, str, str, int]]) -> DataFrame:
-    """Wide measurements to one row per test.
+    """Wide measurements to one row per test; a missing value has no text either.
 
     ``tests`` lists (code, name, unit, value column, decimals of the text result).
     """
@@ -177,7 +173,7 @@ def expand_tests(df: DataFrame, tests: Sequence[tuple[str, str, str, str, int]])
                 F.lit(name).alias("VSTEST"),
                 F.lit(unit).alias("VSORRESU"),
                 F.col(column).cast("double").alias("VSSTRESN"),
-                F.format_string(f"%.{decimals}f", F.col(column).cast("double")).alias("VSSTRESC"),
+                result_text(F.col(column).cast("double"), decimals).alias("VSSTRESC"),
             )
             for code, name, unit, column, decimals in tests
         ]

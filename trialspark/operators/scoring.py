@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,8 +26,10 @@ def probabilities(df: DataFrame, model: PipelineModel, name: str = "DROPOUT_PROB
     return out.select(*df.columns, name)
 
 
-def score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Score rows with a fitted pipeline."""
+def score(df: DataFrame, model: PipelineModel | None) -> DataFrame:
+    """Score rows with a fitted pipeline; without one the probability is missing and the tier Unknown."""
+    if model is None:
+        return _with_outputs(df, F.lit(None).cast("double"))
     return _with_outputs(probabilities(df, model, "__p"), F.col("__p")).drop("__p")
 
 
@@ -38,9 +42,10 @@ def score_by_rule(df: DataFrame, remote_sites=("107", "108")) -> DataFrame:
     return _with_outputs(df, rule)
 
 
-def risk_table(scored: DataFrame) -> DataFrame:
-    """Dashboard view of scored subjects: riskiest first, with display names."""
-    return scored.select(
+def risk_table(scored: DataFrame, tiers: Sequence[str] | None = None) -> DataFrame:
+    """Dashboard view of scored subjects of some tiers: riskiest first, one decimal, display names."""
+    chosen = scored if tiers is None else scored.filter(F.col("RISK_TIER").isin(*tiers))
+    return chosen.select(
         F.col("USUBJID").alias("Subject ID"),
         F.col("SITEID").alias("Site"),
         F.col("TRT01P").alias("Treatment"),
@@ -48,7 +53,7 @@ def risk_table(scored: DataFrame) -> DataFrame:
         F.col("SEX").alias("Sex"),
         F.col("AENUM").alias("N AEs"),
         F.col("AEMAXSEVN").alias("Max Sev (N)"),
-        F.col("COMPLPCT").alias("Compliance %"),
-        (F.col("DROPOUT_PROB") * 100).alias("Dropout Prob %"),
+        F.round("COMPLPCT", 1).alias("Compliance %"),
+        F.round(F.col("DROPOUT_PROB") * 100, 1).alias("Dropout Prob %"),
         F.col("RISK_TIER").alias("Risk Tier"),
     ).orderBy(F.desc("Dropout Prob %"), "Subject ID")

@@ -1,8 +1,9 @@
-"""Splitting of keys that hold more than their share of the rows.
+"""Keys that hold more than their share of the rows of a window.
 
 Whether any key is over-full is found by counting rows per key before the plan is built. The
-usual answer is "none", and then the plan is an ordinary join or window. Otherwise the list of
-over-full keys, whose length is bounded, becomes a small table in the plan.
+usual answer is "none", and then the plan is an ordinary window. Otherwise the list of over-full
+keys, whose length is bounded, becomes a small table in the plan. Joins need none of this:
+adaptive execution splits their skewed keys.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 SLICES = 16384
 MIN_SPLIT_ROWS = 1_000_000
 
-ROWS, LOW, HIGH, PARTS = "__grp_rows", "__grp_lo", "__grp_hi", "__grp_parts"
+ROWS, PARTS = "__grp_rows", "__grp_parts"
 
 
 @dataclass(frozen=True)
 class LargeGroups:
-    """Over-full groups: their key columns, rows, number of parts, and limits of a column."""
+    """Over-full groups: their key columns, rows and number of parts; at most SLICES of them."""
 
     group: tuple[str, ...]
     table: DataFrame
@@ -47,15 +48,11 @@ def same(columns: Sequence[str], prefix: str) -> Column:
 def large_groups(
     df: DataFrame,
     group: Sequence[str],
-    key: str | None = None,
     min_rows: int = MIN_SPLIT_ROWS,
     slices: int = SLICES,
 ) -> LargeGroups | None:
     """Groups to split, or None. Counts rows per group, with partial counts before the shuffle."""
-    measures = [F.count(F.lit(1)).alias(ROWS)]
-    if key is not None:
-        measures += [F.min(key).alias(LOW), F.max(key).alias(HIGH)]
-    sizes = df.groupBy(*group).agg(*measures)
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(ROWS))
     whole = sizes.agg(F.max(ROWS).alias("most"), F.sum(ROWS).alias("all")).first()
     if whole["most"] is None or whole["most"] <= min_rows:
         return None
@@ -67,44 +64,3 @@ def large_groups(
     if not found:
         return None
     return LargeGroups(tuple(group), df.sparkSession.createDataFrame(found, split.schema))
-
-
-def join_many_to_one(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    how: str = "inner",
-    spread: Sequence[str] | None = None,
-    large: LargeGroups | None = None,
-    checked: bool = False,
-    null_safe: bool = False,
-    min_rows: int = MIN_SPLIT_ROWS,
-    slices: int = SLICES,
-) -> DataFrame:
-    """Join on one column, with the rows of over-full keys of ``many`` spread over tasks.
-
-    Rows of such a key get a part number from a hash of their ``spread`` columns (all columns by
-    default), and the row of ``one`` is repeated for every part. ``large`` gives the over-full
-    keys if they were found before (``checked``). ``how`` is inner, left, left_semi or
-    left_anti. A null key matches nothing unless ``null_safe`` is set.
-    """
-    if large is None and not checked:
-        large = large_groups(many, [key], min_rows=min_rows, slices=slices)
-    right = one.withColumnRenamed(key, "__one")
-    mine, other = F.col(key), F.col("__one")
-    match = mine.eqNullSafe(other) if null_safe else mine == other
-    if large is None:
-        return many.join(right, match, how).drop("__one")
-    digest = F.pmod(F.xxhash64(*(spread or many.columns)), F.col(PARTS)).cast("int")
-    left = large.attach(many).withColumn("__part", F.coalesce(digest, F.lit(0)))
-    last = F.coalesce(F.col(PARTS), F.lit(1)) - 1
-    copies = (
-        large.attach(one)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0), last)))
-        .withColumnRenamed(key, "__one")
-    )
-    extra = [ROWS, LOW, HIGH, PARTS]
-    joined = left.drop(*extra).join(
-        copies.drop(*extra), match & (F.col("__part") == F.col("__copy")), how
-    )
-    return joined.drop("__part", "__copy", "__one")

@@ -18,15 +18,15 @@ def stratified_split(
     share: float = 0.70,
     seed: int = 42,
     key: str = "USUBJID",
-    exact: bool = False,
+    exact: bool = True,
     part: str = "PART",
     **limits,
 ) -> DataFrame:
     """Add 'train' or 'test'.
 
-    By default a row is in training when its hash lies in the first ``share`` of the hash
-    range: no shuffle, and each class keeps the share up to random variation. With ``exact``
-    the rows of each class are ranked by hash and the first share of them is taken.
+    The rows of each class are ranked by hash and the first ``share`` of them is taken, so both parts
+    hold the same mix of classes. Without ``exact`` a row is in training when its hash lies in the first
+    share of the hash range: no shuffle, but the classes keep the share only up to random variation.
     """
     if not exact:
         limit = int(share * 2**32)
@@ -49,11 +49,11 @@ def stratified_folds(
     folds: int = 5,
     seed: int = 42,
     key: str = "USUBJID",
-    exact: bool = False,
+    exact: bool = True,
     fold: str = "FOLD",
     **limits,
 ) -> DataFrame:
-    """Add a fold number 0..folds-1, by hash, or exactly balanced within each class."""
+    """Add a fold number 0..folds-1, balanced within each class, or by hash only without ``exact``."""
     h = hash_number(key, seed + 1)
     if not exact:
         return df.withColumn(fold, (h % folds).cast("int"))

@@ -27,11 +27,16 @@ def survival_input(adsl: DataFrame, horizon: int = 168) -> DataFrame:
     )
 
 
+def _complete(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows with a time, an event mark and a stratum; others say nothing about survival."""
+    return df.dropna(subset=list(columns))
+
+
 def _counts(df: DataFrame, keys: Sequence[str], event: str) -> DataFrame:
-    counts = df.groupBy(*keys).agg(
+    counts = _complete(df, *keys, event).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(indicator(F.col(event) == 1)).alias("N_EVENT")
     )
-    return settle(counts, "times")
+    return settle(counts)
 
 
 def km_curve(
@@ -39,7 +44,7 @@ def km_curve(
 ) -> DataFrame:
     """Product-limit estimate per stratum and time, with Greenwood standard error.
 
-    The standard error is null from the time at which every subject at risk has the event.
+    Rows without a time, event mark or stratum are left out. The standard error is null from the time at which every subject at risk has the event.
     """
     counts = _counts(df, [stratum, time], event).withColumn(
         "N_CENSOR", F.col("__n") - F.col("N_EVENT")
@@ -69,8 +74,8 @@ def km_curve(
 def at_risk_table(
     df: DataFrame, times: Sequence[int], time: str = "DAYS", stratum: str = "TRT01P"
 ) -> DataFrame:
-    """Subjects at risk per stratum at chosen times."""
-    wide = df.groupBy(stratum).agg(
+    """Subjects at risk per stratum at chosen times; rows without a time or stratum are left out."""
+    wide = _complete(df, time, stratum).groupBy(stratum).agg(
         *[F.sum(indicator(F.col(time) >= t)).alias(f"__{i}") for i, t in enumerate(times)]
     )
     rows = F.array(
@@ -82,6 +87,43 @@ def at_risk_table(
     return wide.select(stratum, F.explode(rows).alias("r")).select(stratum, "r.*")
 
 
+def survival_summary(
+    df: DataFrame, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P", **limits
+) -> DataFrame:
+    """Subjects, events, censored, and the quartiles of the survival time per stratum.
+
+    A quartile is the first time at which survival is at most 0.75, 0.5 or 0.25; null if it stays above.
+    """
+    def first(level: float):
+        # Running products may miss a level by rounding only.
+        return F.min(F.when(F.col("SURVIVAL") <= level + 1e-12, F.col(time)))
+
+    return km_curve(df, time, event, stratum, **limits).groupBy(stratum).agg(
+        F.sum(F.col("N_EVENT") + F.col("N_CENSOR")).alias("N"), F.sum("N_EVENT").alias("N_EVENT"),
+        F.sum("N_CENSOR").alias("N_CENSOR"), first(0.75).alias("Q25"), first(0.5).alias("MEDIAN"),
+        first(0.25).alias("Q75"),
+    )
+
+
+def likelihood_ratio_test(
+    df: DataFrame, strata: Sequence, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P"
+) -> DataFrame:
+    """Likelihood-ratio test of equal event rates under exponential survival, in one row.
+
+    Null where a stratum, or all of them, has no event or no time.
+    """
+    sums = _complete(df, time, event).filter(F.col(stratum).isin(*strata)).groupBy(stratum).agg(
+        F.sum(indicator(F.col(event) == 1)).cast("double").alias("d"), F.sum(time).cast("double").alias("t")
+    )
+    known = [(r["d"], r["t"]) for r in sums.collect()]
+    d, t = sum(x for x, _ in known), sum(y for _, y in known)
+    usable = len(known) == len(strata) and all(x > 0 and y > 0 for x, y in known)
+    gain = sum(x * math.log(x / y) for x, y in known) - d * math.log(d / t) if usable else None
+    k = len(strata) - 1
+    row = ("-2Log(LR)", None, k, None) if gain is None else ("-2Log(LR)", 2 * gain, k, chi_square_tail(2 * gain, k))
+    return df.sparkSession.createDataFrame([row], "TEST string, CHISQ double, DF int, P_VALUE double")
+
+
 def _pooled(df: DataFrame, strata: Sequence, time: str, event: str, stratum: str) -> DataFrame:
     """One row per time: events and at-risk numbers of each stratum and of all."""
     cells = []
@@ -91,8 +133,8 @@ def _pooled(df: DataFrame, strata: Sequence, time: str, event: str, stratum: str
             F.sum(indicator(mine)).alias(f"__m{j}"),
             F.sum(indicator(mine & (F.col(event) == 1))).alias(f"d{j}"),
         ]
-    mine = df.filter(F.col(stratum).isin(*strata))
-    by_time = settle(mine.groupBy(time).agg(*cells), "times")
+    mine = _complete(df, time, event).filter(F.col(stratum).isin(*strata))
+    by_time = settle(mine.groupBy(time).agg(*cells))
     k = range(len(strata))
     totals = {f"n{j}": F.col(f"__m{j}") for j in k}
     risk = running(by_time.withColumn("__all", F.lit(0)), ["__all"], time, totals, descending=True)

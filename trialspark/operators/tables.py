@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from trialspark.functions import indicator, recode
+from trialspark.functions import indicator, iso_date, recode, treatment_emergent
 from trialspark.operators.quantiles import median_of_counts, value_counts
 from trialspark.operators.reshape import pivot_long, union_all
+from trialspark.operators.skew import same
 
 
 def _rate(flag: str = "DPTFL"):
@@ -73,19 +74,32 @@ def arm_denominators(adsl: DataFrame) -> DataFrame:
     )
 
 
+def _emergent(last: str):
+    """Whether an event that started on the last known day, and so any event, is emergent.
+
+    Emergence only asks for a start on or after the reference date, so the last start decides for all
+    events of a subject, and events are reduced to one row per subject before they meet the subjects.
+    """
+    return treatment_emergent(F.date_format(F.col(last), "yyyy-MM-dd"), F.col("RFSTDTC")) == "Y"
+
+
 def teae_overall(
-    adae: DataFrame, arms: Mapping[int, str] = {0: "N_PLC", 1: "N_LOW", 2: "N_HIGH"}
+    ae: DataFrame, adsl: DataFrame, arms: Mapping[int, str] = {0: "N_PLC", 1: "N_LOW", 2: "N_HIGH"}
 ) -> DataFrame:
     """Subjects with any, any serious and any dropout-related emergent event, by arm."""
-    emergent = adae.filter(F.col("TRTEMFL") == "Y")
+    start = iso_date(F.col("AESTDTC"))
+    last = ae.groupBy("USUBJID").agg(
+        F.max(start).alias("__last"), F.max(F.when(F.col("AESER") == "Y", start)).alias("__serious")
+    )
+    joined = adsl.select("USUBJID", "TRT01PN", "DPTFL", "RFSTDTC").join(last, "USUBJID")
     categories = {
-        "Any TEAE": F.lit(1),
-        "Any Serious TEAE": indicator(F.col("AESER") == "Y"),
-        "Any TEAE Leading to Dropout": indicator(F.col("DPTFL") == "Y"),
+        "Any TEAE": _emergent("__last"),
+        "Any Serious TEAE": _emergent("__serious"),
+        "Any TEAE Leading to Dropout": _emergent("__last") & (F.col("DPTFL") == "Y"),
     }
     flags = [f"__f{i}" for i in range(len(categories))]
-    subjects = emergent.groupBy("USUBJID", "TRT01PN").agg(
-        *[F.max(c).alias(f) for f, c in zip(flags, categories.values())]
+    subjects = joined.select(
+        "TRT01PN", *[indicator(c).alias(f) for f, c in zip(flags, categories.values())]
     )
     any_arm = subjects.groupBy("TRT01PN").agg(*[F.sum(f).alias(f) for f in flags])
     rows = F.array(
@@ -105,7 +119,8 @@ def teae_overall(
 
 
 def teae_by_term(
-    adae: DataFrame,
+    ae: DataFrame,
+    adsl: DataFrame,
     min_n: int = 3,
     min_pct: float | None = None,
     denominators: DataFrame | None = None,
@@ -116,10 +131,11 @@ def teae_by_term(
     The rule is a subject count in the largest arm, or with ``min_pct`` a percentage of the arm
     size taken from ``denominators`` (see arm_denominators).
     """
-    subjects = (
-        adae.filter(F.col("TRTEMFL") == "Y")
-        .select("AEBODSYS", "AEDECOD", "TRT01PN", "USUBJID")
-        .distinct()
+    last = ae.groupBy("USUBJID", "AEBODSYS", "AEDECOD").agg(
+        F.max(iso_date(F.col("AESTDTC"))).alias("__last")
+    )
+    subjects = last.join(adsl.select("USUBJID", "TRT01PN", "RFSTDTC"), "USUBJID").filter(
+        _emergent("__last")
     )
     table = subjects.groupBy("AEBODSYS", "AEDECOD").agg(
         *[F.sum(indicator(F.col("TRT01PN") == a)).alias(name) for a, name in arms.items()],
@@ -142,18 +158,14 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
         .groupBy(row, column)
         .agg(F.count(F.lit(1)).alias("N"))
     )
-    by_row = cells.groupBy(row).agg(F.sum("N").alias("__row"))
-    by_column = cells.groupBy(column).agg(F.sum("N").alias("__col"))
-    total = cells.agg(F.sum("N")).scalar()
-    return (
-        cells.join(by_row, row)
-        .join(by_column, column)
-        .select(
-            row, column, "N",
-            (F.col("N") * 100.0 / total).alias("PCT"),
-            (F.col("N") * 100.0 / F.col("__row")).alias("PCT_ROW"),
-            (F.col("N") * 100.0 / F.col("__col")).alias("PCT_COL"),
-        )
+
+    def percent(*within: str):
+        # Windows over the cells: one row per pair of levels, however long the data.
+        return F.col("N") * 100.0 / F.sum("N").over(Window.partitionBy(*within))
+
+    return cells.select(
+        row, column, "N", percent().alias("PCT"), percent(row).alias("PCT_ROW"),
+        percent(column).alias("PCT_COL"),
     )
 
 
@@ -162,16 +174,17 @@ def continuous_summary(
 ) -> DataFrame:
     """N, mean, SD, median, minimum and maximum per variable, by arm and overall.
 
-    The subjects are read once, to count rows per variable, arm and value; every statistic
+    OVERALL tells the rows of all arms together ('Y') from an arm that happens to have their label; a
+    missing arm is a row of its own. The subjects are read once, to count rows per variable, arm and value; every statistic
     comes from these counts.
     """
     by_arm = value_counts(
         pivot_long(df, [arm], variables, "VARIABLE", "__x"), ["VARIABLE", arm], "__x"
     )
     x, n = F.col("VALUE"), F.col("N")
-    both = by_arm.select("VARIABLE", F.col(arm).cast("string").alias("ARM"), "VALUE", "N").union(
-        by_arm.groupBy("VARIABLE", F.lit(overall), "VALUE").agg(F.sum("N"))
-    )
+    both = by_arm.select(
+        "VARIABLE", F.lit("N").alias("OVERALL"), F.col(arm).cast("string").alias("ARM"), "VALUE", "N"
+    ).union(by_arm.groupBy("VARIABLE", F.lit("Y"), F.lit(overall), "VALUE").agg(F.sum("N")))
     # Squares are taken around the mean of the variable, which keeps the difference exact enough.
     centres = {
         r["VARIABLE"]: r["c"]
@@ -180,13 +193,14 @@ def continuous_summary(
     gap = x - recode(F.col("VARIABLE"), centres, 0.0)
     size, first, second = F.sum(n), F.sum(gap * n), F.sum(gap * gap * n)
     spread = F.when(size > 1, F.greatest(second - first * first / size, F.lit(0.0)) / (size - 1))
-    stats = both.groupBy("VARIABLE", "ARM").agg(
+    cell = ["VARIABLE", "OVERALL", "ARM"]
+    stats = both.groupBy(*cell).agg(
         (F.sum(x * n) / size).alias("MEAN"), F.sqrt(spread).alias("SD"),
         F.min(x).alias("MIN"), F.max(x).alias("MAX"), size.alias("N"),
     )
-    medians = median_of_counts(both, ["VARIABLE", "ARM"])
-    return stats.join(medians, ["VARIABLE", "ARM"], "left").select(
-        "VARIABLE", "ARM", "N", "MEAN", "SD", "MEDIAN", "MIN", "MAX"
+    medians = median_of_counts(both, cell).withColumnsRenamed({c: "__m_" + c for c in cell})
+    return stats.join(medians, same(cell, "__m_"), "left").select(
+        *cell, "N", "MEAN", "SD", "MEDIAN", "MIN", "MAX"
     )
 
 
@@ -203,16 +217,12 @@ def categorical_summary(
         .groupBy("VARIABLE", "LEVEL", arm)
         .agg(F.count(F.lit(1)).alias("N"))
     )
-    levels = cells.groupBy("VARIABLE", "LEVEL").agg(F.sum("N").alias("__level"))
-    arms = cells.groupBy("VARIABLE", arm).agg(F.sum("N").alias("__arm"))
-    return (
-        cells.join(levels, ["VARIABLE", "LEVEL"])
-        .join(arms, ["VARIABLE", arm])
-        .select(
-            "VARIABLE", "LEVEL", arm, "N",
-            (F.col("N") * 100.0 / F.col("__level")).alias("PCT_ROW"),
-            (F.col("N") * 100.0 / F.col("__arm")).alias("PCT_COL"),
-        )
+
+    def percent(within: str):
+        return F.col("N") * 100.0 / F.sum("N").over(Window.partitionBy("VARIABLE", within))
+
+    return cells.select(
+        "VARIABLE", "LEVEL", arm, "N", percent("LEVEL").alias("PCT_ROW"), percent(arm).alias("PCT_COL")
     )
 
 

@@ -66,7 +66,18 @@ def check_id_format(t: OrderTrial) -> DataFrame:
     return H.check_id_format(_with_printed_id(t), ID_PATTERN, "PRINTED_ID")
 
 
-@query("check_required_columns")
+def _absent(columns: list[str]) -> str:
+    missing = [c for c in S.DM_REQUIRED if c.upper() not in {x.upper() for x in columns}]
+    return f"""SELECT '{H.REQUIRED.id}', '{H.REQUIRED.domain}', '{H.REQUIRED.name}', 'FAIL',
+    CAST({len(missing)} AS BIGINT), '{H.REQUIRED.failed}{" ".join(missing)}'"""
+
+
+@query(
+    "check_required_columns",
+    f"""SELECT '{H.REQUIRED.id}' AS CHECK_ID, '{H.REQUIRED.domain}' AS DOMAIN, '{H.REQUIRED.name}' AS CHECK_NAME,
+    'PASS' AS STATUS, CAST(0 AS BIGINT) AS N_ISSUES, '{H.REQUIRED.passed}' AS DETAILS UNION ALL
+    {_absent(["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])}""",
+)
 def check_required_columns(t: OrderTrial) -> DataFrame:
     """Required columns of demographics and of the raw customer table."""
     return H.check_required_columns(t.spark, t.dm).unionByName(
@@ -156,8 +167,7 @@ def _checked_subjects(t: OrderTrial) -> DataFrame:
         t.adsl.select(
             "USUBJID", "TRT01PN", "DPTFL", "DSDECOD", "RFSTDTC", "RFENDTC", "SAFFL", "ITTFL",
             "COMPLPCT",
-        ),
-        "subjects",
+        )
     )
 
 

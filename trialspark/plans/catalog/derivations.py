@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from trialspark import functions as X, schema as S
 from trialspark.operators import rows as R
-from trialspark.operators.prep import model_frame
 from trialspark.operators.reshape import union_all
+from trialspark.operators.scoring import risk_table as risk_view, score
 from trialspark.plans.catalog.registry import query
 from trialspark.plans.order_trial import DRUG, HORIZON, REMOTE_SITES, STUDY, OrderTrial
 
@@ -215,7 +215,13 @@ def select_keep(t: OrderTrial) -> DataFrame:
     return R.drop_columns(kept, ["AGE"])
 
 
-@query("attach_labels")
+@query(
+    "attach_labels",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS COLUMN, '{S.LABELS[n]}' AS LABEL, count({n}) AS N_PRESENT FROM adsl"
+        for n in S.ADSL.fieldNames() if n in S.LABELS
+    ),
+)
 def attach_labels(t: OrderTrial) -> DataFrame:
     """Subjects per labelled column with a value, from the stored labels."""
     labels = R.column_labels(R.attach_labels(t.adsl))
@@ -265,22 +271,27 @@ def filter_tiers(t: OrderTrial) -> DataFrame:
     )
 
 
-@query("complete_cases", "SELECT * FROM frame")
+@query(
+    "complete_cases",
+    """SELECT USUBJID, SITEID, DAS28BL, DSDECOD, DCDT FROM adsl
+    WHERE DAS28BL IS NOT NULL AND DSDECOD IS NOT NULL AND DCDT IS NOT NULL""",
+)
 def complete_cases(t: OrderTrial) -> DataFrame:
-    return R.complete_cases(model_frame(t.adsl, keep_missing=True), S.FEATURES)
+    """Subjects with a baseline score and a disposition."""
+    columns = t.adsl.select("USUBJID", "SITEID", "DAS28BL", "DSDECOD", "DCDT")
+    return R.complete_cases(columns, ["DAS28BL", "DSDECOD", "DCDT"])
 
 
 @query(
     "adverse_event_propensity",
     """SELECT USUBJID, round(least(0.6::DOUBLE, 0.28::DOUBLE * (1 + TRT01PN * 0.18::DOUBLE)
       * (1 + greatest(0, (AGE - 45) * 0.008::DOUBLE))
-      * (1 + greatest(0, (DASCR - 4.5::DOUBLE) * 0.06::DOUBLE))), 8) AS PROB
-    FROM dm WHERE DASCR IS NOT NULL""",
+      * (1 + coalesce(greatest(0, (DASCR - 4.5::DOUBLE) * 0.06::DOUBLE), 0))), 8) AS PROB
+    FROM dm""",
 )
 def adverse_event_propensity(t: OrderTrial) -> DataFrame:
     prob = X.adverse_event_propensity(F.lit(0.28), c("TRT01PN"), c("AGE"), c("DASCR"))
-    known = t.dm.filter(c("DASCR").isNotNull())
-    return known.select("USUBJID", F.round(prob, 8).alias("PROB"))
+    return t.dm.select("USUBJID", F.round(prob, 8).alias("PROB"))
 
 
 @query("dropout_rule_score", "SELECT USUBJID, DROPOUT_PROB AS SCORE FROM scored")
@@ -304,6 +315,27 @@ def range_sql() -> str:
     return "concat_ws(';', " + ", ".join(parts) + ")"
 
 
+@query(
+    "risk_table",
+    """SELECT USUBJID AS "Subject ID", SITEID AS Site, TRT01P AS Treatment, AGE AS Age, SEX AS Sex, AENUM AS "N AEs",
+    AEMAXSEVN AS "Max Sev (N)", round(COMPLPCT, 1) AS "Compliance %", round(DROPOUT_PROB * 100, 1) AS "Dropout Prob %",
+    RISK_TIER AS "Risk Tier" FROM scored WHERE RISK_TIER IN ('High Risk', 'Moderate Risk')""",
+)
+def risk_table(t: OrderTrial) -> DataFrame:
+    """Displayed table of the subjects at moderate or high risk."""
+    return risk_view(t.scored, ["High Risk", "Moderate Risk"])
+
+
+@query(
+    "score_without_model",
+    """SELECT USUBJID, CAST(NULL AS DOUBLE) AS DROPOUT_PROB, CAST(NULL AS INTEGER) AS DROPOUT_PREDICTED,
+    'Unknown' AS RISK_TIER FROM adsl""",
+)
+def score_without_model(t: OrderTrial) -> DataFrame:
+    """All subjects while no model is fitted."""
+    return score(t.adsl.select("USUBJID"), None)
+
+
 @query(
     "validate_ranges",
     f"""SELECT USUBJID, REASONS, CASE WHEN REASONS = '' THEN 'valid' ELSE 'rejected' END AS VERDICT
@@ -340,8 +372,7 @@ def with_constants(t: OrderTrial) -> DataFrame:
 
 @query(
     "result_text",
-    "SELECT VSREFID, printf('%.2f', VSSTRESN) AS VSSTRESC FROM vs WHERE VSSTRESN IS NOT NULL",
+    "SELECT VSREFID, printf('%.2f', VSSTRESN) AS VSSTRESC FROM vs",
 )
 def result_text(t: OrderTrial) -> DataFrame:
-    known = t.vs.filter(c("VSSTRESN").isNotNull())
-    return known.select("VSREFID", X.result_text(c("VSSTRESN"), 2).alias("VSSTRESC"))
+    return t.vs.select("VSREFID", X.result_text(c("VSSTRESN"), 2).alias("VSSTRESC"))

@@ -9,7 +9,8 @@ from trialspark.operators.rows import population, round_numeric
 from trialspark.plans.catalog.registry import query
 from trialspark.plans.catalog.sources import TERM_VALUES
 from trialspark.plans.order_trial import ALT_TERMS, NEURO_GI_TERMS, OrderTrial
-from trialspark.sources.domains import term_dictionary
+from trialspark import schema as S
+from trialspark.sources.domains import TERM_KIND, term_entries
 
 
 @query(
@@ -31,7 +32,7 @@ def build_adae(t: OrderTrial) -> DataFrame:
     SELECT USUBJID, TRT01PN, AEDECOD, AEBODSYS, BASE_PROB, SEV_SEVERE_P FROM dm CROSS JOIN terms""",
 )
 def cross_with_dictionary(t: OrderTrial) -> DataFrame:
-    return R.cross_with_dictionary(t.dm.select("USUBJID", "TRT01PN"), term_dictionary(t.spark))
+    return R.cross_with_dictionary(t.dm.select("USUBJID", "TRT01PN"), term_entries(), TERM_KIND)
 
 
 @query(
@@ -59,23 +60,22 @@ def expand_visits(t: OrderTrial) -> DataFrame:
 
 @query(
     "expand_tests",
-    """, visits AS (SELECT USUBJID, v AS VISITNUM, DASCR, AGE, TRT01PN FROM dm CROSS JOIN range(0, 7) r(v)
-      WHERE DASCR IS NOT NULL),
+    """, visits AS (SELECT USUBJID, v AS VISITNUM, DASCR, AGE, TRT01PN FROM dm CROSS JOIN range(0, 7) r(v)),
     wide AS (SELECT USUBJID, VISITNUM, DASCR - VISITNUM * 0.125::DOUBLE * TRT01PN AS DAS,
       CAST(AGE % 28 AS DOUBLE) AS TJC, CAST((AGE + VISITNUM) % 28 AS DOUBLE) AS SJC FROM visits)
     SELECT USUBJID, CAST(VISITNUM AS INTEGER) AS VISITNUM,
       CASE VISITNUM WHEN 0 THEN 'SCREENING' ELSE 'WEEK ' || (VISITNUM * 4) END AS VISIT,
-      VSTESTCD, VSORRESU, VSSTRESN
-    FROM (SELECT USUBJID, VISITNUM, 'DAS28' AS VSTESTCD, 'score' AS VSORRESU, DAS AS VSSTRESN FROM wide UNION ALL
-      SELECT USUBJID, VISITNUM, 'TJC28', 'count', TJC FROM wide UNION ALL
-      SELECT USUBJID, VISITNUM, 'SJC28', 'count', SJC FROM wide)""",
+      VSTESTCD, VSORRESU, VSSTRESN, VSSTRESC
+    FROM (SELECT USUBJID, VISITNUM, 'DAS28' AS VSTESTCD, 'score' AS VSORRESU, DAS AS VSSTRESN,
+        CAST(round(CAST(CAST(DAS AS VARCHAR) AS DECIMAL(20, 17)), 1) AS DECIMAL(20, 1)) || '' AS VSSTRESC
+        FROM wide UNION ALL
+      SELECT USUBJID, VISITNUM, 'TJC28', 'count', TJC, printf('%.0f', TJC) FROM wide UNION ALL
+      SELECT USUBJID, VISITNUM, 'SJC28', 'count', SJC, printf('%.0f', SJC) FROM wide)""",
 )
 def expand_tests(t: OrderTrial) -> DataFrame:
-    """Three test records at each of seven visits."""
-    known = t.dm.filter(F.col("DASCR").isNotNull()).select(
-        "USUBJID", "RFSTDTC", "DASCR", "AGE", "TRT01PN"
-    )
-    visits = R.expand_visits(known, "RFSTDTC", 0, 6, prefix="VS")
+    """Three test records at each of seven visits, missing baseline scores included."""
+    people = t.dm.select("USUBJID", "RFSTDTC", "DASCR", "AGE", "TRT01PN")
+    visits = R.expand_visits(people, "RFSTDTC", 0, 6, prefix="VS")
     n = F.col("VISITNUM")
     wide = visits.select(
         "USUBJID", "VISITNUM", "VISIT",
@@ -84,12 +84,11 @@ def expand_tests(t: OrderTrial) -> DataFrame:
         ((F.col("AGE") + n) % 28).alias("SJC"),
     )
     tests = [
-        ("DAS28", "DAS28-CRP Disease Activity Score", "score", "DAS", 1),
-        ("TJC28", "Tender Joint Count (28 joints)", "count", "TJC", 0),
-        ("SJC28", "Swollen Joint Count (28 joints)", "count", "SJC", 0),
+        (code, name, unit, column, decimals)
+        for (code, name, unit, decimals), column in zip(S.VISIT_TESTS, ["DAS", "TJC", "SJC"])
     ]
     long = R.expand_tests(wide, tests)
-    return long.select("USUBJID", "VISITNUM", "VISIT", "VSTESTCD", "VSORRESU", "VSSTRESN")
+    return long.select("USUBJID", "VISITNUM", "VISIT", "VSTESTCD", "VSORRESU", "VSSTRESN", "VSSTRESC")
 
 
 @query(

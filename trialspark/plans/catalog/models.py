@@ -17,7 +17,7 @@ from trialspark.operators.tables import batch_risk_summary
 from trialspark.plans.catalog.derivations import range_sql
 from trialspark.plans.catalog.registry import query
 from trialspark.plans.catalog.sequences import (
-    CONTRIBUTIONS_SQL, METRICS_SQL, contributions, site_models,
+    CONTRIBUTIONS_SQL, METRICS_SQL, contributions, rule_models,
 )
 from trialspark.plans.order_trial import DRUG, REMOTE_SITES, STUDY, OrderTrial
 from trialspark.sources import models as store
@@ -43,7 +43,8 @@ PART_SQL = f"CASE WHEN {_hash(42)} < {SPLIT_LIMIT} THEN 'train' ELSE 'test' END"
 
 @query("stratified_split", f"SELECT USUBJID, DPTN, {PART_SQL} AS PART FROM frame")
 def stratified_split(t: OrderTrial) -> DataFrame:
-    return split.stratified_split(t.frame.select("USUBJID", "DPTN"))
+    """By hash only, without ranking."""
+    return split.stratified_split(t.frame.select("USUBJID", "DPTN"), exact=False)
 
 
 RANKED = """row_number() OVER (PARTITION BY DPTN ORDER BY {h}, USUBJID)"""
@@ -61,7 +62,8 @@ def stratified_split_exact(t: OrderTrial) -> DataFrame:
 
 @query("stratified_folds", f"SELECT USUBJID, DPTN, CAST({_hash(43)} % 5 AS INTEGER) AS FOLD FROM frame")
 def stratified_folds(t: OrderTrial) -> DataFrame:
-    return split.stratified_folds(t.frame.select("USUBJID", "DPTN"))
+    """By hash only, without ranking."""
+    return split.stratified_folds(t.frame.select("USUBJID", "DPTN"), exact=False)
 
 
 @query(
@@ -79,7 +81,7 @@ def stratified_folds_exact(t: OrderTrial) -> DataFrame:
     FROM (SELECT DPTN, {PART_SQL} AS PART FROM frame) GROUP BY PART""",
 )
 def split_summary(t: OrderTrial) -> DataFrame:
-    return round_numeric(split.split_summary(split.stratified_split(t.frame)), 6)
+    return round_numeric(split.split_summary(split.stratified_split(t.frame, exact=False)), 6)
 
 
 def _impute_sql() -> str:
@@ -132,8 +134,7 @@ def dummy_encode(t: OrderTrial) -> DataFrame:
 
 @query(
     "binary_metrics",
-    METRICS_SQL.replace("CASE WHEN SITEID < '2' THEN 'sites A' ELSE 'sites B' END", "'rule'")
-    + "SELECT * FROM metrics",
+    METRICS_SQL + "SELECT * REPLACE ('rule' AS MODEL) FROM metrics WHERE MODEL = 'additive rule'",
 )
 def binary_metrics(t: OrderTrial) -> DataFrame:
     return round_numeric(E.binary_metrics(t.outcome, model="rule"), 6)
@@ -182,7 +183,7 @@ def classification_report(t: OrderTrial) -> DataFrame:
     FROM metrics""",
 )
 def model_comparison(t: OrderTrial) -> DataFrame:
-    return round_numeric(E.model_comparison(site_models(t)), 6)
+    return round_numeric(E.model_comparison(rule_models(t)), 6)
 
 
 @query(

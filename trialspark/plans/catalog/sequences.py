@@ -73,18 +73,18 @@ def ordered(t: OrderTrial) -> DataFrame:
 
 
 METRICS_SQL = """
-, by_site AS (
-  SELECT CASE WHEN SITEID < '2' THEN 'sites A' ELSE 'sites B' END AS MODEL, DPTN, DROPOUT_PROB
-  FROM scored WHERE ITTFL = 'Y'),
+, judged AS (
+  SELECT 'additive rule' AS MODEL, DPTN, DROPOUT_PROB FROM scored WHERE ITTFL = 'Y' UNION ALL
+  SELECT 'missed doses', DPTN, least(1.0::DOUBLE, N_MISSED_DOSES * 0.25::DOUBLE) FROM scored WHERE ITTFL = 'Y'),
 ranked AS (
-  SELECT MODEL, DROPOUT_PROB, sum(DPTN) AS p, count(*) - sum(DPTN) AS q FROM by_site GROUP BY ALL),
+  SELECT MODEL, DROPOUT_PROB, sum(DPTN) AS p, count(*) - sum(DPTN) AS q FROM judged GROUP BY ALL),
 cum AS (SELECT *, sum(q) OVER (PARTITION BY MODEL ORDER BY DROPOUT_PROB) - q / 2.0::DOUBLE AS below FROM ranked),
 auc AS (SELECT MODEL, round(sum(p * below) / (CAST(sum(p) AS DOUBLE) * sum(q)), 6) AS ROC_AUC FROM cum GROUP BY MODEL),
 conf AS (
   SELECT MODEL, count(*) FILTER (WHERE DPTN = 1 AND DROPOUT_PROB >= 0.5::DOUBLE) AS tp,
     count(*) FILTER (WHERE DPTN = 0 AND DROPOUT_PROB >= 0.5::DOUBLE) AS fp,
     count(*) FILTER (WHERE DPTN = 1 AND DROPOUT_PROB < 0.5::DOUBLE) AS fn,
-    count(*) FILTER (WHERE DPTN = 0 AND DROPOUT_PROB < 0.5::DOUBLE) AS tn FROM by_site GROUP BY MODEL),
+    count(*) FILTER (WHERE DPTN = 0 AND DROPOUT_PROB < 0.5::DOUBLE) AS tn FROM judged GROUP BY MODEL),
 metrics AS (
   SELECT MODEL, ROC_AUC, round((tp + tn) / CAST(tp + tn + fp + fn AS DOUBLE), 6) AS ACCURACY,
     round(coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0), 6) AS F1
@@ -92,24 +92,22 @@ metrics AS (
 """
 
 
-def site_models(t: OrderTrial) -> dict[str, DataFrame]:
-    """The rule score judged on two groups of sites, in the place of two models."""
+def rule_models(t: OrderTrial) -> dict[str, DataFrame]:
+    """Two rules judged on the same subjects: the additive score, and a quarter for each missed dose."""
     scored = population(t.scored, "ITT")
-    return {
-        "sites A": scored.filter(F.col("SITEID") < "2"),
-        "sites B": scored.filter(F.col("SITEID") >= "2"),
-    }
+    missed = F.least(F.lit(1.0), F.col("N_MISSED_DOSES") * 0.25)
+    return {"additive rule": scored, "missed doses": scored.withColumn("DROPOUT_PROB", missed)}
 
 
-def site_metrics(t: OrderTrial) -> DataFrame:
+def rule_metrics(t: OrderTrial) -> DataFrame:
     return round_numeric(
-        G.union_all([binary_metrics(df, model=m) for m, df in site_models(t).items()]), 6
+        G.union_all([binary_metrics(df, model=m) for m, df in rule_models(t).items()]), 6
     )
 
 
 @query("best_model", METRICS_SQL + "SELECT * FROM metrics ORDER BY ROC_AUC DESC, MODEL LIMIT 1")
 def best_model(t: OrderTrial) -> DataFrame:
-    return G.best_model(site_metrics(t))
+    return G.best_model(rule_metrics(t))
 
 
 CONTRIBUTIONS_SQL = (

@@ -36,11 +36,18 @@ def write_domain(t: OrderTrial) -> DataFrame:
     return D.read_domain(t.spark, path)
 
 
-@query("require_inputs")
+INPUTS = ["customer", "orders", "lineitem", "part", "nation", "region", "events"]
+
+
+@query(
+    "require_inputs",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS DATASET, '{n}' AS DOMAIN, count(*) AS RECORDS FROM {n}" for n in INPUTS
+    ),
+)
 def require_inputs(t: OrderTrial) -> DataFrame:
     """Records per required input, once all inputs are known to exist."""
-    names = ["customer", "orders", "lineitem", "part", "nation", "region", "events"]
-    found = D.require_inputs(t.spark, {n: f"{t.folder}/{n}.parquet" for n in names})
+    found = D.require_inputs(t.spark, {n: f"{t.folder}/{n}.parquet" for n in INPUTS})
     frames = {n: t.spark.read.parquet(p) for n, p in found.items()}
     return dataset_inventory(frames, {})
 
@@ -96,7 +103,7 @@ def site_dictionary(t: OrderTrial) -> DataFrame:
 )
 def term_dictionary(t: OrderTrial) -> DataFrame:
     """Expected number of subjects per dictionary term."""
-    pairs = cross_with_dictionary(t.dm, D.term_dictionary(t.spark))
+    pairs = cross_with_dictionary(t.dm, D.term_entries(), D.TERM_KIND)
     expected = adverse_event_propensity(
         F.col("BASE_PROB"), F.col("TRT01PN"), F.col("AGE"), F.coalesce("DASCR", F.lit(4.5))
     )

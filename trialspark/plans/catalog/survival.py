@@ -40,6 +40,32 @@ def km_curve(t: OrderTrial) -> DataFrame:
     return round_numeric(V.km_curve(_input(t)), 8)
 
 
+@query(
+    "survival_summary",
+    KM_INPUT
+    + """, steps AS (SELECT TRT01P, DAYS, count(*) AS n, sum(EVENT) AS d FROM km GROUP BY TRT01P, DAYS),
+    risk AS (SELECT *, sum(n) OVER (PARTITION BY TRT01P ORDER BY DAYS DESC) AS r FROM steps),
+    curve AS (SELECT *, product((r - d) / CAST(r AS DOUBLE)) OVER (PARTITION BY TRT01P ORDER BY DAYS) AS s FROM risk)
+    SELECT TRT01P, CAST(sum(n) AS BIGINT) AS N, CAST(sum(d) AS BIGINT) AS N_EVENT,
+    CAST(sum(n - d) AS BIGINT) AS N_CENSOR, min(DAYS) FILTER (WHERE s <= 0.75 + 1e-12) AS Q25,
+    min(DAYS) FILTER (WHERE s <= 0.5 + 1e-12) AS MEDIAN, min(DAYS) FILTER (WHERE s <= 0.25 + 1e-12) AS Q75
+    FROM curve GROUP BY TRT01P""",
+)
+def survival_summary(t: OrderTrial) -> DataFrame:
+    return V.survival_summary(_input(t))
+
+
+@query(
+    "likelihood_ratio_test",
+    KM_INPUT
+    + """, rates AS (SELECT TRT01P, CAST(sum(EVENT) AS DOUBLE) AS d, CAST(sum(DAYS) AS DOUBLE) AS t FROM km GROUP BY TRT01P),
+    stat AS (SELECT 2 * (sum(d * ln(d / t)) - sum(d) * ln(sum(d) / sum(t))) AS x FROM rates)
+    SELECT '-2Log(LR)' AS TEST, round(x, 6) AS CHISQ, 2 AS DF, round(exp(-x / 2), 6) AS P_VALUE FROM stat""",
+)
+def likelihood_ratio_test(t: OrderTrial) -> DataFrame:
+    return round_numeric(V.likelihood_ratio_test(_input(t), ARMS), 6)
+
+
 @query(
     "at_risk_table",
     KM_INPUT

@@ -11,10 +11,16 @@ from trialspark.plans.order_trial import ALT_TERMS, NEURO_GI_TERMS, OrderTrial
 
 PCT = "avg(CASE WHEN DPTFL = 'Y' THEN 100.0::DOUBLE ELSE 0 END)"
 NDROP = "CAST(sum(CASE WHEN DPTFL = 'Y' THEN 1 ELSE 0 END) AS BIGINT)"
-BY_ARM = ", ".join(
-    f"count(DISTINCT CASE WHEN TRT01PN = {a} {{0}} THEN USUBJID END) AS {n}"
+ARM_SUMS = ", ".join(
+    f"CAST(sum(hit) FILTER (WHERE TRT01PN = {a}) AS BIGINT) AS {n}"
     for a, n in ((0, "N_PLC"), (1, "N_LOW"), (2, "N_HIGH"))
 )
+TERM_TABLE = f""", pairs AS (
+      SELECT AEBODSYS, AEDECOD, USUBJID, any_value(TRT01PN) AS TRT01PN, 1 AS hit FROM adae
+      WHERE TRTEMFL = 'Y' GROUP BY AEBODSYS, AEDECOD, USUBJID),
+    table_rows AS (SELECT AEBODSYS, AEDECOD, {ARM_SUMS}, count(*) AS N_TOTAL FROM pairs GROUP BY ALL),
+    counted AS (SELECT * REPLACE (coalesce(N_PLC, 0) AS N_PLC, coalesce(N_LOW, 0) AS N_LOW,
+      coalesce(N_HIGH, 0) AS N_HIGH) FROM table_rows)"""
 
 
 @query(
@@ -78,49 +84,40 @@ def arm_denominators(t: OrderTrial) -> DataFrame:
     return T.arm_denominators(t.adsl)
 
 
-def _overall(label: str, extra: str) -> str:
-    arms = BY_ARM.format(f"AND TRTEMFL = 'Y' {extra}")
-    return f"""SELECT '{label}' AS CATEGORY, {arms},
-    count(DISTINCT CASE WHEN TRTEMFL = 'Y' {extra} THEN USUBJID END) AS N_TOTAL FROM adae"""
-
-
 @query(
     "teae_overall",
-    " UNION ALL ".join(
-        [
-            _overall("Any TEAE", ""),
-            _overall("Any Serious TEAE", "AND AESER = 'Y'"),
-            _overall("Any TEAE Leading to Dropout", "AND DPTFL = 'Y'"),
-        ]
-    ),
+    f""", subject AS (
+      SELECT USUBJID, TRT01PN, bool_or(AESER = 'Y') AS serious, bool_or(DPTFL = 'Y') AS dropped FROM adae
+      WHERE TRTEMFL = 'Y' GROUP BY USUBJID, TRT01PN),
+    said AS (
+      SELECT TRT01PN, unnest(['Any TEAE', 'Any Serious TEAE', 'Any TEAE Leading to Dropout']) AS CATEGORY,
+        unnest([1, CAST(serious AS INTEGER), CAST(dropped AS INTEGER)]) AS hit FROM subject)
+    SELECT CATEGORY, {ARM_SUMS}, CAST(sum(hit) AS BIGINT) AS N_TOTAL FROM said GROUP BY CATEGORY""",
 )
 def teae_overall(t: OrderTrial) -> DataFrame:
-    return T.teae_overall(t.adae_unsequenced)
+    return T.teae_overall(t.ae, t.adsl)
 
 
 @query(
     "teae_by_term",
-    f"""SELECT AEBODSYS, AEDECOD, {BY_ARM.format("")}, count(DISTINCT USUBJID) AS N_TOTAL
-    FROM adae WHERE TRTEMFL = 'Y' GROUP BY AEBODSYS, AEDECOD
-    HAVING greatest(N_PLC, N_LOW, N_HIGH) >= 3""",
+    TERM_TABLE + " SELECT * FROM counted WHERE greatest(N_PLC, N_LOW, N_HIGH) >= 3",
 )
 def teae_by_term(t: OrderTrial) -> DataFrame:
-    return T.teae_by_term(t.adae_unsequenced)
+    return T.teae_by_term(t.ae, t.adsl)
 
 
 @query(
     "teae_by_term_percent",
-    f""", sizes AS (SELECT TRT01PN AS a, count(*) AS n FROM adsl WHERE SAFFL = 'Y' GROUP BY a)
-    SELECT AEBODSYS, AEDECOD, {BY_ARM.format("")}, count(DISTINCT USUBJID) AS N_TOTAL
-    FROM adae WHERE TRTEMFL = 'Y' GROUP BY AEBODSYS, AEDECOD
-    HAVING N_PLC * 100.0 >= 8.0 * (SELECT n FROM sizes WHERE a = 0)
+    TERM_TABLE
+    + """, sizes AS (SELECT TRT01PN AS a, count(*) AS n FROM adsl WHERE SAFFL = 'Y' GROUP BY a)
+    SELECT * FROM counted WHERE N_PLC * 100.0 >= 8.0 * (SELECT n FROM sizes WHERE a = 0)
       OR N_LOW * 100.0 >= 8.0 * (SELECT n FROM sizes WHERE a = 1)
       OR N_HIGH * 100.0 >= 8.0 * (SELECT n FROM sizes WHERE a = 2)""",
 )
 def teae_by_term_percent(t: OrderTrial) -> DataFrame:
     """Terms of at least 8% of some arm."""
     return T.teae_by_term(
-        t.adae_unsequenced, min_pct=8.0, denominators=T.arm_denominators(t.adsl)
+        t.ae, t.adsl, min_pct=8.0, denominators=T.arm_denominators(t.adsl)
     )
 
 
@@ -143,9 +140,9 @@ CATEGORICAL = ["SEX", "AGEGR1", "RACE", "DAS28GRP", "COMPLFL"]
 def _continuous_sql() -> str:
     parts = []
     for v in CONTINUOUS:
-        for arm, group in (("TRT01P", "GROUP BY TRT01P"), ("'All'", "")):
+        for arm, flag, group in (("TRT01P", "N", "GROUP BY TRT01P"), ("'All'", "Y", "")):
             parts.append(
-                f"""SELECT '{v}' AS VARIABLE, {arm} AS ARM, count({v}) AS N, round(avg({v}), 6) AS MEAN,
+                f"""SELECT '{v}' AS VARIABLE, '{flag}' AS OVERALL, {arm} AS ARM, count({v}) AS N, round(avg({v}), 6) AS MEAN,
                 round(stddev_samp({v}), 6) AS SD, round(median(CAST({v} AS DOUBLE)), 6) AS MEDIAN,
                 CAST(min({v}) AS DOUBLE) AS MIN, CAST(max({v}) AS DOUBLE) AS MAX FROM itt {group}"""
             )
@@ -200,12 +197,20 @@ def dropout_reasons(t: OrderTrial) -> DataFrame:
 
 @query(
     "kpis",
-    f"""SELECT count(*) AS N_SUBJECTS, round({PCT}, 6) AS PCT_DROPOUT, round(avg(COMPLPCT), 6) AS MEAN_COMPLIANCE,
-    round(avg(AENUM), 6) AS MEAN_AE FROM adsl WHERE REGION = 'EUROPE'""",
+    f"""SELECT coalesce(CHOSEN, 'all') AS CHOSEN, count(*) AS N_SUBJECTS, round({PCT}, 6) AS PCT_DROPOUT,
+    round(avg(COMPLPCT), 6) AS MEAN_COMPLIANCE, round(avg(AENUM), 6) AS MEAN_AE
+    FROM (SELECT *, REGION AS CHOSEN FROM adsl) GROUP BY GROUPING SETS ((CHOSEN), ())
+    HAVING coalesce(CHOSEN, 'all') IN ('all', 'EUROPE')""",
 )
 def kpis(t: OrderTrial) -> DataFrame:
-    chosen = optional_filters(t.adsl, {"SITEID": None, "TRT01P": None, "REGION": "EUROPE"})
-    return round_numeric(T.kpis(chosen), 6)
+    """Figures of all subjects and of one chosen region."""
+    chosen = [
+        T.kpis(optional_filters(t.adsl, {"SITEID": None, "TRT01P": None, "REGION": region})).select(
+            F.lit(region or "all").alias("CHOSEN"), "*"
+        )
+        for region in (None, "EUROPE")
+    ]
+    return round_numeric(chosen[0].unionByName(chosen[1]), 6)
 
 
 @query(

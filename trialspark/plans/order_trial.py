@@ -175,11 +175,11 @@ class OrderTrial:
 
     @cached_property
     def busy_subjects(self) -> LargeGroups | None:
-        """Subjects with so many events that their rows are split over tasks.
+        """Subjects with so many events that the numbering window splits their rows over tasks.
 
-        Counted before the join with part, which can only remove rows.
+        Counted before the join with part, which can only remove rows; only the numbering needs it.
         """
-        return large_groups(self.owned, ["USUBJID"], "AESTDTC")
+        return large_groups(self.owned, ["USUBJID"])
 
     @cached_property
     def ex(self) -> DataFrame:
@@ -233,13 +233,13 @@ class OrderTrial:
 
     @cached_property
     def adae(self) -> DataFrame:
-        return build_adae(self.ae_sequenced, self.adsl, large=self.busy_subjects, checked=True)
+        return build_adae(self.ae_sequenced, self.adsl)
 
     @cached_property
     def adae_unsequenced(self) -> DataFrame:
         """Event dataset for tables that do not list single events."""
         events = self.ae.withColumn("AESEQ", F.lit(None).cast("int"))
-        return build_adae(events, self.adsl, large=self.busy_subjects, checked=True)
+        return build_adae(events, self.adsl)
 
     @cached_property
     def itt(self) -> DataFrame:

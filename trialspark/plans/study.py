@@ -13,6 +13,7 @@ from trialspark.operators import (
 )
 from trialspark.operators.adam import build_adae, build_adsl
 from trialspark.operators.numbering import sequence_within
+from trialspark.operators.reshape import sample_subjects
 from trialspark.operators.rows import population
 from trialspark.operators.scoring import score
 from trialspark.sources import models
@@ -57,8 +58,8 @@ def study_tables(adsl: DataFrame, adae: DataFrame, strata: list[str]) -> dict[st
         "site_distribution": tables.site_distribution(itt),
         "demographics": tables.demographics_by_arm(itt),
         "arm_denominators": tables.arm_denominators(adsl),
-        "teae_overall": tables.teae_overall(adae),
-        "teae_by_term": tables.teae_by_term(adae),
+        "teae_overall": tables.teae_overall(adae, adsl),
+        "teae_by_term": tables.teae_by_term(adae, adsl),
         "teae_severity": tables.crosstab(emergent, "AESEV", "TRT01P"),
         "site_dropout": tables.site_summary(itt),
         "arm_dropout": tables.dropout_by_arm(itt),
@@ -76,8 +77,13 @@ def train_and_score(
     boost_grid=training.BOOST_GRID,
     folds: int = 5,
     orderings: int = 8,
+    background_rows: int = 20,
+    seed: int = 42,
 ) -> tuple[PipelineModel, dict[str, DataFrame]]:
-    """Tune both model types, keep the better one, score all subjects, explain the test rows."""
+    """Tune both model types, keep the better one, score all subjects, explain the test rows.
+
+    ``background_rows`` training subjects, drawn by a hash with ``seed``, are the background of the explanations.
+    """
     spark = adsl.sparkSession
     parts = split.stratified_folds(split.stratified_split(prep.model_frame(adsl)), folds=folds)
     parts = spark.read.parquet(write_domain(parts, f"{out}/model_frame"))
@@ -92,7 +98,7 @@ def train_and_score(
     model = searches[best].bestModel
     models.save_model(model, f"{out}/model")
     columns = ["USUBJID", *S.FEATURES]
-    background = train.select(columns).orderBy(F.md5("USUBJID")).limit(20)
+    background = sample_subjects(train.select(columns), background_rows, seed)
     contributions = explain.shapley_contributions(
         test.select(columns), model, background, orderings
     )

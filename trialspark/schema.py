@@ -11,6 +11,7 @@ def _struct(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in columns.items()])
 
 
+# Columns of the datasets, in order.
 DM = _struct(
     STUDYID=_S, DOMAIN=_S, USUBJID=_S, SUBJID=_S, SITEID=_S, COUNTRY=_S, REGION=_S,
     AGE=_I, AGEGR1=_S, SEX=_S, RACE=_S, ETHNIC=_S, HEIGHTBL=_D, WEIGHTBL=_D, BMIBL=_D,
@@ -58,6 +59,7 @@ VALIDATION_LOG = _struct(
     CHECK_ID=_S, DOMAIN=_S, CHECK_NAME=_S, STATUS=_S, N_ISSUES=_L, DETAILS=_S
 )
 
+# Descriptions of the datasets.
 DOMAIN_TEXT = {
     "DM": "Demographics",
     "AE": "Adverse Events",

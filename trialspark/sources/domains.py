@@ -12,6 +12,13 @@ from trialspark import schema as S
 from trialspark.functions import normalise_term
 from trialspark.sources.workspace import shared_folder  # noqa: F401
 
+# Missing text is written as \\N and empty text as "", so both come back as they were; spaces at either end,
+# quotes, backslashes and line breaks are kept.
+CSV_FORMAT = {
+    "header": True, "nullValue": "\\N", "escape": '"', "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
 RISK_COLUMNS = [
     "USUBJID", "SITEID", "TRT01P", "AGE", "SEX", "AENUM", "AEMAXSEVN", "COMPLPCT",
     "DROPOUT_PROB", "RISK_TIER",
@@ -21,12 +28,16 @@ RISK_COLUMNS = [
 def read_domain(
     spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None
 ) -> DataFrame:
-    """Typed dataset from CSV (with header; a schema is required) or Parquet."""
+    """Typed dataset from CSV (with header; a schema is required) or Parquet.
+
+    CSV is read as ``write_domain`` writes it; a value that does not fit its type is an error. Texts may
+    hold line breaks, so one task reads a whole CSV file.
+    """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV dataset needs a declared schema")
-        reader = spark.read.option("header", True).option("enforceSchema", False)
+        reader = spark.read.options(**CSV_FORMAT, enforceSchema=False, multiLine=True, mode="FAILFAST")
         return reader.schema(schema).csv(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
     return reader.format(fmt).load(path)
@@ -44,10 +55,7 @@ def write_domain(
         df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        # Empty text and missing text stay apart.
-        writer = writer.option("header", True).option("nullValue", "").option(
-            "emptyValue", '""'
-        )
+        writer = writer.options(**CSV_FORMAT, emptyValue='""')
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
@@ -84,11 +92,22 @@ def site_dictionary(spark: SparkSession) -> DataFrame:
     )
 
 
+TERM_KIND = T.StructType(
+    [
+        T.StructField("AEDECOD", T.StringType()), T.StructField("AEBODSYS", T.StringType()),
+        T.StructField("BASE_PROB", T.DoubleType()), T.StructField("SEV_SEVERE_P", T.DoubleType()),
+    ]
+)
+
+
+def term_entries() -> list[tuple]:
+    """Event terms with blanks instead of underscores, as plain rows."""
+    return [(a.replace("_", " "), b.replace("_", " "), p, q) for a, b, p, q in S.TERMS]
+
+
 def term_dictionary(spark: SparkSession) -> DataFrame:
     """Event terms with blanks instead of underscores."""
-    raw = spark.createDataFrame(
-        S.TERMS, "AEDECOD string, AEBODSYS string, BASE_PROB double, SEV_SEVERE_P double"
-    )
+    raw = spark.createDataFrame(S.TERMS, TERM_KIND)
     return raw.withColumns({c: normalise_term(raw[c]) for c in ("AEDECOD", "AEBODSYS")})
 
 

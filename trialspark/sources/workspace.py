@@ -1,31 +1,34 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Folders that all executors share, and intermediate tables that several branches of a plan read."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """New folder name under the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a test session) gets a local folder.
+    A session on one machine (master local[...]) without ``spark.checkpoint.dir`` gets a temporary folder.
+    On a cluster such a folder would be another one on every machine, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="trialspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, purpose: str = "settled") -> DataFrame:
-    """Write an intermediate result to the shared folder and read it from there.
+def settle(df: DataFrame) -> DataFrame:
+    """Keep an aggregated table that several branches of a plan read.
 
-    Used for aggregated tables that several branches of a plan need: the work above them runs
-    once, the plan below them stays small, and a lost executor costs no recomputation.
+    Spark computes it when it is first read, holds it in memory or on the executors' disks, and makes lost
+    parts anew from the plan; nothing is written to a shared folder and no job runs here.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
