@@ -98,7 +98,7 @@ def train_and_score(
     model = searches[best].bestModel
     models.save_model(model, f"{out}/model")
     columns = ["USUBJID", *S.FEATURES]
-    background = sample_subjects(train.select(columns), background_rows, seed)
+    background = sample_subjects(train.select(columns), background_rows, seed=seed)
     contributions = explain.shapley_contributions(
         test.select(columns), model, background, orderings
     )
