@@ -393,12 +393,18 @@ def find_spans(text: str | None, model: SemiMarkov) -> tuple[list[tuple[str, int
 
 
 def fit_pii(docs: DataFrame, text: str = "text", contexts: int = CONTEXT_TEXTS) -> SemiMarkov:
-    """Model trained on contexts from at most `contexts` texts, those with the smallest hashes: 200 words of each."""
-    rows = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull())
+    """Model trained on contexts from about `contexts` distinct texts, chosen by their hashes: 200 words of each.
+
+    A text is chosen if its hash falls below a share of the number of rows, and copies count once, so that no more
+    than about that many short rows reach the driver, however many documents and partitions there are.
+    """
+    share = min(1.0, contexts / max(1, docs.count()))
+    rows = docs.select(F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.col("t").isNotNull())
+    chosen = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
     words = F.split("t", " ")
-    place = F.pmod(F.xxhash64("t"), F.greatest(F.lit(1), F.size(words) - 200)).cast("int") + 1
-    sample = rows.orderBy(F.xxhash64("t"), "t").limit(contexts).select(F.slice(words, place, F.lit(200)).alias("w")).collect()
-    return train_pii([" ".join(r["w"]) for r in sample])
+    place = F.pmod("h", F.greatest(F.lit(1), F.size(words) - 200)).cast("int") + 1
+    sample = chosen.select("h", F.array_join(F.slice(words, place, F.lit(200)), " ").alias("w")).groupBy("h").agg(F.min("w").alias("w"))
+    return train_pii([r["w"] for r in sorted(sample.collect())])
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text", model: SemiMarkov | None = None) -> DataFrame:
