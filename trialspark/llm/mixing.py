@@ -158,7 +158,8 @@ def mix(
     spark = rows.sparkSession
     budget_ = spark.createDataFrame(budget, "pattern string, rounds int, rest long")
     few = len(budget) <= BROADCAST_PATTERNS
-    taken = _extra(rows, budget_, ["spot", key, "version"], few).join(budget_.select("pattern", "rounds"), "pattern")
+    rounds = budget_.select("pattern", "rounds")
+    taken = _extra(rows, budget_, ["spot", key, "version"], few).join(F.broadcast(rounds) if few else rounds, "pattern")
     return taken.withColumn("taken", F.least(F.lit(repeats), F.col("rounds") + F.col("extra"))).drop(
         "extra", "rounds", "spot", "pattern")
 
@@ -182,6 +183,8 @@ def mix_sources(
     target = capped_shares(sizes, {s: cycle[i % len(cycle)] for i, s in enumerate(order)}, repeats)
     told = rows.sparkSession.createDataFrame(
         [(s, sizes[s], target[s]) for s in order], "name string, source_size long, target double")
+    if len(order) <= BROADCAST_PATTERNS:
+        told = F.broadcast(told)
     mixed = mix(rows.withColumn("sources", F.array("source")), target, key, repeats, seed)
     return mixed.join(told, F.col("source").eqNullSafe(F.col("name"))).select(
         key, "version", "size", "source_size", "target", F.col("taken").alias("repeats"))
