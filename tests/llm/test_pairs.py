@@ -169,6 +169,56 @@ def test_masks_reach_two_substitutions_in_thirteen_words():
             for mask in C.MASKS for at in range(C.MIN_OVERLAP - len(mask) + 1))
 
 
+def accepted_patterns(n):
+    """All ways to substitute as many inner words of n as the rule allows."""
+    import itertools
+
+    allowed = n - -(-4 * n // 5)
+    return [[i not in gone for i in range(n)] for gone in itertools.combinations(range(1, n - 1), allowed)]
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_masks_reach_every_accepted_pattern(n):
+    masks = C.MASKS if n >= 11 else C.MASKS + C.short_masks(n)
+    for equal in accepted_patterns(n):
+        assert any(
+            all(m == "0" or equal[at + i] for i, m in enumerate(mask))
+            for mask in masks for at in range(n - len(mask) + 1))
+
+
+def test_masks_reach_accepted_patterns_of_any_length():
+    """The most equal words that n words can have without a hit, by dynamic programming, are under 80%."""
+    size = 1 << max(map(len, C.MASKS))
+    hit = np.any([(np.arange(size) & int(m, 2)) == int(m, 2) for m in C.MASKS], axis=0)
+    most = np.full(size, -10**6)
+    most[1] = 1
+    for n in range(2, 401):
+        after = np.full(size, -10**6)
+        for bit in (0, 1):
+            to = (np.arange(size) << 1 | bit) & (size - 1)
+            np.maximum.at(after, to[~hit[to]], most[~hit[to]] + bit)
+        most = after
+        assert n < 11 or 5 * most[1::2].max() < 4 * n
+
+
+def test_substitutions_in_items_of_every_short_length(spark):
+    rng = random.Random(12)
+    items = {n: some_words(rng, n) for n in (5, 6, 7, 8, 9, 10, 11, 12, 15)}
+    rows, want = [], set()
+    for n, item in items.items():
+        for equal in accepted_patterns(n):
+            body = [w if e else "other" for w, e in zip(item, equal)]
+            want.add((len(rows), n))
+            rows.append((len(rows), " ".join(some_words(rng, 4, "qrstuvwx") + body + some_words(rng, 4, "qrstuvwx"))))
+            spoilt = [i for i, e in enumerate(equal) if e and 0 < i < n - 1][0]
+            body[spoilt] = "other"
+            rows.append((len(rows), " ".join(body)))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in C.find_contamination(docs_of(spark, rows), bench).collect()}
+    near = {(i, n) for i, n in got if n == 15 and i % 2}  # 14 of the 15 words may still suffice
+    assert got - near == want and len(want) == 420
+
+
 def test_longest_overlap_against_all_stretches():
     rng = random.Random(4)
     for _ in range(300):

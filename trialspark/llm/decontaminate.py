@@ -8,6 +8,8 @@ stretch with enough equal words decides.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 
 from trialspark.llm.common import columns_free_of, settle
 
-#: Any 13 neighbouring words of which two are substituted are hit by one of these masks.
-MASKS = ("111101011", "11111011", "11001001111")
+#: Found by enumeration: every overlap of at least 11 words with 80% equal is hit by one of these masks.
+MASKS = ("1101111", "111010011", "11100100011", "110100111")
 MIN_OVERLAP = 13  # words; an item with fewer words must be met whole
 MIN_WORDS = 5  # items with fewer words say too little and match nothing
 MIN_SHARE = 0.8  # of equal words in an overlap
@@ -83,11 +85,22 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
         F.size("words") >= MIN_WORDS)
 
 
-def _masks_for(items: DataFrame) -> tuple[str, ...]:
-    """The fixed masks, and a full mask for each length of items shorter than the longest of them."""
+def short_masks(n: int, share: float = MIN_SHARE) -> tuple[str, ...]:
+    """Masks of n positions for every way to substitute as many inner words as `share` allows, unless a fixed mask hits it."""
+    out = []
+    for gone in itertools.combinations(range(1, n - 1), min(n - 2, n - math.ceil(share * n - 1e-9))):
+        mask = "".join("0" if i in gone else "1" for i in range(n))
+        if not any(all(m == "0" or e == "1" for m, e in zip(fixed, mask[at:]))
+                   for fixed in MASKS for at in range(n - len(fixed) + 1)):
+            out.append(mask)
+    return tuple(out)
+
+
+def _masks_for(items: DataFrame, share: float = MIN_SHARE) -> tuple[str, ...]:
+    """The fixed masks, and the masks of whole items for each length of items shorter than the longest of them."""
     longest = max(map(len, MASKS))
-    short = items.select(F.size("words").alias("n")).where(F.col("n") < longest).distinct().collect()  # at most 10 rows
-    return MASKS + tuple("1" * n for n in sorted(r["n"] for r in short))
+    short = items.select(F.size("words").alias("n")).where(F.col("n") < longest).distinct().collect()  # at most 6 rows
+    return MASKS + tuple(m for n in sorted(r["n"] for r in short) for m in short_masks(n, share))
 
 
 def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -96,7 +109,9 @@ def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
             row, at, hashes = [], [], []
             for i, words in enumerate(batch.column(2)):
                 tokens = np.asarray(words.values).view("u8")
-                for h, size in seed_hashes(tokens, masks):
+                for number, (h, size) in enumerate(seed_hashes(tokens, masks)):
+                    if number >= len(MASKS) and size != len(tokens):
+                        continue  # a mask of whole items of another length
                     row.append(np.full(len(h), i))
                     at.append(np.arange(len(h)))
                     hashes.append(h)
@@ -195,10 +210,11 @@ def find_contamination(
     equal_words, item_words, doc_start, item_start (in words from 0). Words are runs of letters, digits and
     underscores, lower-cased. Null and empty texts overlap nothing, nor do items of under five words; null
     keys stay null; repeated rows are one; of equally long overlaps the first in the document counts. Empty
-    tables give an empty result; other columns are not read.
+    tables give an empty result; other columns are not read. The masks reach every overlap for min_overlap from 11
+    and min_share from 0.8 up.
     """
     items = settle(_items(columns_free_of(benchmark, item, item_text), item, item_text), "items")
-    masks = _masks_for(items)
+    masks = _masks_for(items, min_share)
     seeds = settle(_item_seeds(items, masks), "seeds")
     regions = settle(_regions(columns_free_of(docs, key, text), key, text, masks, _filter_bits(seeds)), "regions")
     hits = regions.select("key", "version", "first", F.explode("hits").alias("h")).select(
