@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trialspark import schema as S
 from trialspark.operators import evaluate as E, explain, prep, split, training as M
 from trialspark.operators.scoring import score, score_by_rule
+from trialspark.plans.catalog import models as catalog
 from trialspark.sources import models as store
 from trialspark.sources.domains import shared_folder
 from trialspark.streaming.scoring import read_stream, scored_stream, write_scores
@@ -200,3 +201,20 @@ def test_stream_scores_equal_batch_scores(spark, frame, fitted):
         got = {r[0]: r[1:] for r in spark.read.parquet(out).select(pick).collect()}
         want = {r[0]: r[1:] for r in batch.select(pick).collect()}
         assert got == want
+
+
+@pytest.mark.parametrize("name", ["shapley_contributions", "shapley_importance"])
+def test_shapley_queries_explain_from_the_whole_background(spark, frame, fitted, monkeypatch, name):
+    """Both queries average over 20 background rows and 8 orderings, as the study does."""
+    asked = []
+
+    def recorded(df, model, background, orderings=8, **rest):
+        asked.append((background.count(), orderings))
+        return whole(df.limit(2), model, background, orderings, **rest)
+
+    whole = explain.shapley_contributions
+    monkeypatch.setattr(explain, "shapley_contributions", recorded)
+    monkeypatch.setattr(catalog, "parts", lambda t: (frame, frame))
+    monkeypatch.setattr(catalog, "forest", lambda train: fitted)
+    assert getattr(catalog, name)(None).count()
+    assert asked == [(20, 8)]

@@ -26,6 +26,7 @@ from trialspark.streaming import scoring as stream
 
 SMALL_FOREST = {"numTrees": [20], "maxDepth": [4, 6], "minInstancesPerNode": [5]}
 SMALL_BOOST = {"maxIter": [10], "maxDepth": [3], "stepSize": [0.05, 0.1]}
+BACKGROUND_ROWS, ORDERINGS = 20, 8  # as in plans/study.py: 160 paths for each subject
 SPLIT_LIMIT = int(0.70 * 2**32)
 
 
@@ -382,10 +383,10 @@ def model_record(t: OrderTrial) -> DataFrame:
 def shapley_contributions(t: OrderTrial) -> DataFrame:
     """Shapley values of every test subject and the gap to its prediction."""
     train, test = parts(t)
-    background = sample_subjects(train.select("USUBJID", *S.FEATURES), 2)
+    background = sample_subjects(train.select("USUBJID", *S.FEATURES), BACKGROUND_ROWS)
     subjects = test.select("USUBJID", *S.FEATURES)
     return explain.contribution_rows(
-        explain.shapley_contributions(subjects, forest(train), background, orderings=2)
+        explain.shapley_contributions(subjects, forest(train), background, ORDERINGS)
     )
 
 
@@ -393,8 +394,8 @@ def shapley_contributions(t: OrderTrial) -> DataFrame:
 def shapley_importance(t: OrderTrial) -> DataFrame:
     """Mean absolute Shapley value per feature over the test subjects."""
     train, test = parts(t)
-    background = sample_subjects(train.select("USUBJID", *S.FEATURES), 2)
+    background = sample_subjects(train.select("USUBJID", *S.FEATURES), BACKGROUND_ROWS)
     subjects = test.select("USUBJID", *S.FEATURES)
     return explain.global_importance(
-        explain.shapley_contributions(subjects, forest(train), background, orderings=2)
+        explain.shapley_contributions(subjects, forest(train), background, ORDERINGS)
     )
