@@ -218,3 +218,29 @@ def test_shapley_queries_explain_from_the_whole_background(spark, frame, fitted,
     monkeypatch.setattr(catalog, "forest", lambda train: fitted)
     assert getattr(catalog, name)(None).count()
     assert asked == [(20, 8)]
+
+
+def test_queries_fit_specifications_of_the_documented_grids():
+    assert catalog.FOREST_POINT in M.grid_points(M.FOREST_GRID)
+    assert catalog.BOOST_POINT in M.grid_points(M.BOOST_GRID)
+
+
+def test_model_queries_fit_at_full_size(frame, fitted, monkeypatch):
+    asked = []
+
+    def kept(train, classifier, settings, **rest):
+        asked.append(settings)
+        return fitted
+
+    monkeypatch.setattr(M, "refit_best", kept)
+    catalog.forest(frame)
+    for name, run in (("train_random_forest", catalog.train_random_forest), ("train_boosted_trees", catalog.train_boosted_trees)):
+        def searched(train, grid, folds):
+            asked.extend(M.grid_points(grid))
+            raise StopIteration
+
+        monkeypatch.setattr(M, name, searched)
+        monkeypatch.setattr(catalog, "parts", lambda t: (frame, frame))
+        with pytest.raises(StopIteration):
+            run(None)
+    assert asked == [catalog.FOREST_POINT, catalog.FOREST_POINT, catalog.BOOST_POINT]
