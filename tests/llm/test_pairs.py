@@ -119,6 +119,26 @@ def test_one_document_of_each_group_stays(spark):
         [(3, long_text), (9, "quite another text here"), (-1, "alone without key"), (2, "")])
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Against plain components, with keys that occur in several components and with null keys."""
+    rng = random.Random(14)
+    some = [t for t in texts() if t is None or len(t) < 5000]
+    rows = [(rng.choice([None, *range(12)]), t) for t in some * 2]
+    long_text = " ".join(f"word{i}" for i in range(200))
+    rows += [(None, long_text), (None, long_text + " more"), (1, "a b c d"), (1, "quite another text here"), (1, "a b c d")]
+    roots = plain_components([plain_print(t) for _, t in rows])
+    kept = [(r["doc_id"], r["text"]) for r in S.keep_one(docs_of(spark, rows)).collect()]
+    assert len(kept) == len(set(kept))
+    by_row = {}
+    for row, root in zip(rows, roots):
+        by_row[row] = root
+    assert sorted(by_row[r] for r in kept) == sorted(set(roots))
+    lowest = {}
+    for (i, _), root in zip(rows, roots):
+        lowest[root] = min(lowest.get(root, 99), 99 if i is None else i)
+    assert all(lowest[by_row[r]] == (99 if r[0] is None else r[0]) for r in kept)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert S.simhash_components(none).count() == S.keep_one(none).count() == 0

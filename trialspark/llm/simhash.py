@@ -228,41 +228,35 @@ def simhash_components(
     Repeated rows give repeated rows; an empty table gives an empty one; other columns are not read.
     """
     prints = settle(with_fingerprint(columns_free_of(docs, key, text), [key], text, shingle), "prints")
+    classes = _classes(prints, key, max_bits).select("fp", "component_id")
+    return prints.join(classes, "fp").select(
+        key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(prints: DataFrame, key: str, max_bits: int) -> DataFrame:
+    """fp, root (a fingerprint that stands for the component) and component_id of every distinct fingerprint."""
     distinct = settle(prints.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
     roots = connected_components(near_links(distinct.select("fp"), max_bits))
     classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return classes.join(lowest, "root").select("fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """docs without near-duplicates: of each component the row with its component_id stays.
+def keep_one(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
+) -> DataFrame:
+    """docs without near-duplicates: of each component one row stays, that with the smallest key and text hash.
 
-    Of several rows with that key the one with the smallest text hash stays, once; rows with a null key
-    stay only if their component has no other key, one row for each component's smallest fingerprint and text.
+    A null key comes after all others, so such a row stays only if its component has no other key. A key that
+    occurs in two components is chosen for each of them on its own. Of rows with one key and text one stays.
     """
-    marked = simhash_components(docs, key, text, **options)
-    chosen = (
-        marked.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key"), "fp").distinct()
-    )
-    kept = chosen.where(F.col("__key").isNotNull()).select("__key").distinct()
-    rows = docs.join(kept, docs[key] == kept["__key"], "left_semi")
-    nulls = docs.where(F.col(key).isNull())
-    one = F.row_number().over(_window(key, text))
-    rows = rows.withColumn("__n", one).where("__n = 1").drop("__n")
-    if nulls.isEmpty():
-        return rows
-    prints = with_fingerprint(nulls.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in nulls.columns])), ["__row"], text)
-    loose = chosen.where(F.col("__key").isNull()).join(prints, "fp").groupBy("fp").agg(F.min("__row").alias("__row"))
-    nulls = nulls.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in nulls.columns])).join(
-        loose.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
-    return rows.unionByName(nulls)
-
-
-def _window(key: str, text: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(F.xxhash64(text))
+    thin = columns_free_of(docs, key, text).select(
+        F.col(f"`{key}`").alias("__key"), F.xxhash64(F.col(f"`{text}`")).alias("__version"), F.col(f"`{text}`").alias("__text"))
+    prints = settle(with_fingerprint(thin, ["__key", "__version"], "__text", shingle), "prints")
+    roots = _classes(prints, "__key", max_bits).select("fp", "root")
+    first = F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__version")).alias("b")
+    chosen = prints.join(roots, "fp").groupBy("root").agg(first).select("b.__key", "b.__version").distinct()
+    marked = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
+    same = marked[f"`{key}`"].eqNullSafe(chosen["__key"]) & (marked["__hash"] == chosen["__version"])
+    return marked.join(chosen, same, "left_semi").dropDuplicates([key, "__hash"]).drop("__hash")
