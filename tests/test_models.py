@@ -244,3 +244,13 @@ def test_model_queries_fit_at_full_size(frame, fitted, monkeypatch):
         with pytest.raises(StopIteration):
             run(None)
     assert asked == [catalog.FOREST_POINT, catalog.FOREST_POINT, catalog.BOOST_POINT]
+
+
+def test_levels_gather_no_set_in_one_buffer(spark, monkeypatch):
+    monkeypatch.delattr(prep.F, "collect_set")
+    rows = [(i % 3, f"t{i % 2}", float(i % 4), None) for i in range(50)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "A int, B string, C double, D int")
+    known = prep.levels(df, ["B", "A", "C", "D"])
+    assert known == {"B": ["t0", "t1"], "A": [0, 1, 2], "C": [0.0, 1.0, 2.0, 3.0], "D": []}
+    assert len(prep.levels(spark.createDataFrame([(float("nan"),), (1.0,)], "C double"), ["C"])["C"]) == 2
+    assert prep.dummy_encode(df, ["B", "A"]).columns == ["C", "D", "B_t1", "A_1", "A_2"]

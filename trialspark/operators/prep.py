@@ -85,9 +85,27 @@ def standardise(
 
 
 def levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct non-null values of every column, from one pass; each becomes a literal of the plan."""
-    sets = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
-    return {c: list(sets[c]) for c in columns}
+    """Sorted distinct non-null values of every column, from one distinct over (column, value).
+
+    Each value becomes a literal and a column of the plan.
+    """
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    kinds = sorted({types[c] for c in columns})
+    values = [f"v{k}" for k in range(len(kinds))]
+    cells = [
+        F.struct(
+            F.lit(i).alias("at"),
+            *[(F.col(c) if types[c] == k else F.lit(None).cast(k)).alias(v) for k, v in zip(kinds, values)],
+        )
+        for i, c in enumerate(columns)
+    ]
+    rows = df.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+    rows = rows.where(" or ".join(f"{v} is not null" for v in values))  # not a number is a value
+    out: dict[str, list] = {c: [] for c in columns}
+    for r in rows.distinct().orderBy("at", *values).collect():
+        c = columns[r["at"]]
+        out[c].append(r[values[kinds.index(types[c])]])
+    return out
 
 
 def dummy_encode(
