@@ -51,6 +51,22 @@ def test_automaton_equals_edit_distance():
             assert kind == ("misspelled" if any(distance(word, w) <= n for w, n in allowed.items() if n) else ""), word
 
 
+def test_quotations_have_no_longest_length():
+    pattern = re.compile(
+        r'"[^"\n]+"|“[^”\n]+”|«[^»\n]+»|„[^“”\n]+[“”]|‘[^’\n]+’|(?<!\w)\'[^\'\n]+\'(?!\w)')
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("\"“”«»„‘’'\n ab") for _ in range(rng.randint(0, 40)))
+        assert X.quotations(text) == [m.span() for m in pattern.finditer(text)]
+    scan = X.Scanner(X.LexiconAutomaton(["idiot"], [])).features
+    f = lambda text: dict(zip(X.FEATURES, scan(text)))
+    filler = "plain " * 75
+    for a, b in ('""', "“”", "«»", "„“", "‘’", "''"):
+        assert f(f"{a}{filler}idiot {filler}{b} it read")["exact"] == 0
+        aimed = f(f"{a}{filler}{b} you are an idiot {a}short{b}")
+        assert aimed["exact"] > 0 and aimed["mentioned"] == 0
+
+
 def test_quotation_is_told_from_abuse():
     scan = X.Scanner(X.LexiconAutomaton(X.BASE_TERMS, []))
     f = lambda t: dict(zip(X.FEATURES, scan.features(t)))

@@ -43,9 +43,9 @@ AIMED = frozenset(
     "du dich dein ihr sie er eres es usted tú".split()
 )
 TOKEN = re.compile(r"[\w@$]+")
-QUOTED = re.compile(
-    r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]|‘[^’\n]{1,400}’|(?<!\w)\'[^\'\n]{1,80}\'(?!\w)'
-)
+WORDLY = re.compile(r"\w")
+MARK = re.compile("[\"“”«»„‘’'\n]")
+CLOSING = {'"': '"', "“": "”", "«": "»", "„": "“”", "‘": "’", "'": "'"}  # marks that end what a mark begins
 DIGIT_LETTERS = str.maketrans("013457@$", "oleastas")
 WINDOW = 6  # words looked at on either side of a hit
 MENTION_REACH = 3  # a reporting word stands at most so many words before the term
@@ -166,6 +166,24 @@ def term_kind(automaton: LexiconAutomaton, word: str) -> str:
     return kind
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Spans of quotations of any length, from left to right; a mark pairs with the next closing one on its line."""
+    marks = [(m.start(), m.group()) for m in MARK.finditer(text)]
+    ends, following = [], {}
+    for at, mark in reversed(marks):
+        if mark == "\n":
+            following = {}
+        ends.append(min((following[c] for c in CLOSING.get(mark, "") if c in following), default=-1))
+        following[mark] = at
+    out, free = [], 0
+    for (at, mark), end in zip(marks, reversed(ends)):
+        if at < free or end <= at + 1 or mark == "'" and (at and WORDLY.match(text, at - 1) or WORDLY.match(text, end + 1)):
+            continue
+        free = end + 1
+        out.append((at, free))
+    return out
+
+
 class Scanner:
     """Context features of texts; remembers which words are no hits."""
 
@@ -188,7 +206,7 @@ class Scanner:
             self.clean = set()
         if not found:
             return (0.0,) * len(FEATURES)
-        quoted = [m.span() for m in QUOTED.finditer(low)]
+        quoted = quotations(low)
         spans = [m.span() for m in TOKEN.finditer(low)]
         count: Counter[str] = Counter()
         forms: set[str] = set()
