@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("mixing", mixing),
 ]
 
-#: Learned scores and searches over bits are beyond SQL; the tests hold each stage against a plain version.
+#: Learned scores and searches over bits are beyond SQL; the tests hold the first three stages against plain versions
+#: (toxicity against the predictions of op2), the last two only by traits of their rows.
 ORACLE_SQL: str | None = None
 
 
