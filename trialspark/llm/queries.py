@@ -12,9 +12,11 @@ from trialspark.llm import chat, warc
 from trialspark.llm.common import shared_dir, table
 from trialspark.llm.decontaminate import find_contamination
 from trialspark.llm.mixing import mix_sources
+from trialspark.llm.phrases import mine_collocations
 from trialspark.llm.pii import KINDS, find_pii
 from trialspark.llm.quality import quality_fold, score_quality
 from trialspark.llm.simhash import simhash_components
+from trialspark.llm.spelling import spelling_forms
 from trialspark.llm.substring import remove_repeats
 from trialspark.llm.topk import top_k
 from trialspark.llm.toxicity import score_toxicity, toxic_fold
@@ -120,6 +122,90 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY rank <= 5
 """
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of each language."""
+    return mine_collocations(table(spark, folder, "documents"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS n FROM (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM listed, range(1, 5) AS t(k) WHERE len(w) >= k) GROUP BY ALL
+), whole AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM grams WHERE k = 1 GROUP BY lang
+), often AS (
+  SELECT lang, k, phrase, n, string_split(phrase, ' ') AS w FROM grams WHERE n >= 30
+), cuts AS (
+  SELECT lang, k, phrase, n AS a, w, unnest(range(1, k)) AS c FROM often WHERE k > 1
+), scored AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.c, l.n AS l, r.n AS r, CAST(2000000::HUGEINT * x.a // (l.n + r.n) AS BIGINT) AS score
+  FROM cuts x JOIN often l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.c], ' ')
+  JOIN often r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.c + 1:], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inner_ AS (
+  SELECT lang, n AS longer, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+    SELECT lang, n, w, k, m, unnest(range(1, k - m + 2)) AS i FROM often, range(2, 4) AS t(m) WHERE m < k)
+), held AS (
+  SELECT lang, phrase, max(longer) AS longer FROM inner_ GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank,
+  s.phrase, s.a, s.l, s.r, whole.n, s.score
+FROM lowest s JOIN whole ON whole.lang = s.lang LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+WHERE h.longer IS NULL OR 100 * h.longer < 80 * s.a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words with the form that they are a variant of."""
+    return spelling_forms(table(spark, folder, "documents"))
+
+
+OP13_SQL = """
+WITH runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), low AS (
+  SELECT translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, id, count(*) AS c FROM runs GROUP BY ALL
+), steps AS (
+  SELECT list(r ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i, range(4)),
+    lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS r FROM range(16) AS t(i))
+), hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(x), 2), lambda p: [
+    instr('0123456789ABCDEF', x[p + 1]) - 1, instr('0123456789ABCDEF', x[p]) - 1]))),
+    lambda r, b: xor(r >> 4, steps[(xor(r, b) & 15) + 1])), 4294967295) AS h
+  FROM (SELECT run, c, hex(encode(id || ':' || run)) AS x FROM low), steps
+), told AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c
+  FROM hashed
+), words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM told WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+), less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min({'m': -m, 'near': near}) AS best FROM near GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * n THEN best.near END AS form,
+    CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n FROM words LEFT JOIN best USING (word)
+), chain AS (
+  WITH RECURSIVE walk AS (
+    SELECT word, word AS root, form AS next FROM forms
+    UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN forms f ON f.word = w.next
+  ) SELECT word, root FROM walk WHERE next IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN chain USING (word)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -131,5 +217,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
+    "op11_phrases": op11_phrases,
+    "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op10_topk": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op10_topk": OP10_SQL, "op11_phrases": OP11_SQL, "op13_spelling": OP13_SQL}
