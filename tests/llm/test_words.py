@@ -55,11 +55,11 @@ def phrase_rows(seed=3):
     return rows + [rows[0], rows[0], (None, "new york city", "en"), (7, None, "en"), (8, "", None), (9, " ,\t. ", "zz")]
 
 
-@pytest.mark.parametrize("chunk", [40, 1_000_000])
-def test_phrases(spark, monkeypatch, chunk):
-    monkeypatch.setattr(P, "CHUNK", chunk)
+@pytest.mark.parametrize("chunk, hashes", [(40, 30), (1_000_000, 1_000_000)])
+def test_phrases(spark, monkeypatch, chunk, hashes):
+    monkeypatch.setattr(P, "GROUP_HASHES", hashes)
     rows = phrase_rows()
-    got = sorted(tuple(r) for r in P.mine_collocations(docs_of(spark, rows), least=4, keep=25).collect())
+    got = sorted(tuple(r) for r in P.mine_collocations(docs_of(spark, rows), least=4, keep=25, chunk=chunk).collect())
     assert got == sorted(plain_phrases(rows, 4, 4, 25)) and len(got) > 40
 
 
@@ -71,6 +71,21 @@ def test_phrases_that_the_sample_missed(spark, monkeypatch):
     assert got == sorted(plain_phrases(rows, 4, 4, 2000))
 
 
+def test_words_with_one_code_are_numbered_again(spark, monkeypatch):
+    """By the first seed many words share a code."""
+    from types import SimpleNamespace
+
+    def weak(text, seed=0, digest=P.xxhash.xxh64_intdigest):
+        if seed in (0, 1):  # the language's part
+            return seed + 2
+        return digest(text, seed) % 5 if seed == 2 else digest(text, seed)
+
+    monkeypatch.setattr(P, "xxhash", SimpleNamespace(xxh64_intdigest=weak))
+    rows = [(i, t, "en") for i, t, _ in phrase_rows(7)]
+    got = sorted(tuple(r) for r in P.mine_collocations(docs_of(spark, rows), least=4).collect())
+    assert got == sorted(plain_phrases(rows, 4, 4, 2000))
+
+
 def test_phrases_of_a_full_filter(spark, monkeypatch):
     """A filter that says yes to all counts more, with the same result."""
     rows = phrase_rows(6)

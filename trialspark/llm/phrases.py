@@ -1,19 +1,22 @@
 """Phrase collocations by Toivonen's method.
 
-A sample of the documents proposes phrases: those that reach a lowered count in it. A full pass counts the proposed
-phrases and their negative border exactly, that is every phrase of which both parts without the last and without the
-first word were proposed. A phrase of the border that turns out frequent was missed by the sample; then a further
-pass counts what it opens, until nothing new is frequent. Proposals travel as a filter of bits: a false hit only
-counts one more phrase, so the counts stay exact and the filter never grows.
+The texts are read once and written as word numbers. A sample of the documents proposes phrases: those that reach a
+lowered count in it. A full pass counts the proposed phrases and their negative border, that is every phrase of which
+both parts without the last and without the first word were proposed: first by 64-bit hashes, which never count too
+little, then, for the hashes that are frequent, exactly by their words. A phrase of the border that turns out frequent
+was missed by the sample; then a further pass counts what it opens, until nothing new is frequent. Sets of phrases
+travel as filters of bits: a false hit only counts one more phrase, so the counts stay exact and the filters never grow.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,62 +27,100 @@ MIN_COUNT = 30
 KEEP = 2_000  # phrases reported for each language
 SHARE = 4  # every fourth document, by a hash, is in the sample
 INSIDE_PERCENT = 80  # a phrase goes if a longer one that holds it has so many percent of its count
-FILTER_BITS = 26  # 8 MB, whatever the number of proposals
-CHUNK = 1_000_000  # words counted together in a task
-VOCABULARY = 500_000  # words remembered in a task
+FILTER_BITS = 26  # 8 MB, whatever the number of phrases
+CHUNK = 400_000  # words numbered and counted together in a task
+GROUP_HASHES = 1_000_000  # about so many hashes of all chunks are counted together
 BREAK = 0
 PARTS = 32  # groups merged at a time on the way to the first rows of a language
 CODE = np.uint64(0x9E3779B97F4A7C15)
-PIECES = str.maketrans({
-    **{chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)}, **dict.fromkeys(".,;:!?\n\v\f\r", " \n "), "\t": " "})
+PIECES = bytes.maketrans(b".,;:!?\n\v\f\r\t", b"\n" * 10 + b" ")
+TOKENS = "sample int, ids binary, codes binary, lang string, word string, n long"
+
+
+class _Chunk:
+    """Whole texts as word numbers with breaks between their pieces. Words are UTF-8."""
+
+    def __init__(self, seed: int):
+        self.seed, self.size = seed, 0
+        self.known: dict[str, _Words] = {}
+        self.ids: list[np.ndarray] = []
+        self.langs, self.words = [""], [b"\n"]
+
+    def add(self, lang: str, text: bytes) -> None:
+        if lang not in self.known:
+            self.known[lang] = _Words(lang, self.langs, self.words)
+        words = list(filter(None, text.lower().translate(PIECES).replace(b"\n", b" \n ").split(b" ")))  # lower() knows A-Z only
+        words.append(b"\n")
+        self.ids.append(np.fromiter(map(self.known[lang].__getitem__, words), "u4", len(words)))
+        self.size += len(words)
+
+    def rows(self, sample: int) -> pa.RecordBatch:
+        """One row with the numbers and the codes of their words, and one row for each word with its count."""
+        ids = np.concatenate(self.ids)
+        codes = _word_codes(self.langs, self.words, self.seed)
+        codes[BREAK] = 0
+        some = pa.nulls(len(codes) - 1, pa.binary())
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(codes), sample, "i4")), pa.concat_arrays([pa.array([ids.tobytes()], pa.binary()), some]),
+            pa.concat_arrays([pa.array([codes.tobytes()], pa.binary()), some]), pa.array(self.langs, pa.string()),
+            pa.array([None, *self.words[1:]], pa.binary()).cast(pa.string()), pa.array(np.bincount(ids, minlength=len(codes)))],
+            names=[c.split()[0] for c in TOKENS.split(", ")])
+
+
+def _word_codes(langs: list[str], words: list[bytes], seed: int) -> np.ndarray:
+    starts = {g: xxhash.xxh64_intdigest(g, seed) for g in set(langs)}
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, map(starts.__getitem__, langs)), "u8", len(words))
 
 
 class _Words(dict):
-    """Numbers of the words of one language; all languages share the lists of names and codes."""
+    """Numbers of the words of one language; all languages of a chunk share the lists of words and their languages."""
 
-    def __init__(self, lang: str, names: list[str], codes: list[int]):
-        super().__init__({"\n": BREAK})
-        self.names, self.codes, self.start = names, codes, xxhash.xxh64_intdigest(lang)
+    def __init__(self, lang: str, langs: list[str], words: list[bytes]):
+        super().__init__({b"\n": BREAK})
+        self.lang, self.langs, self.words = lang, langs, words
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self.names)
-        self.names.append(word)
-        self.codes.append(xxhash.xxh64_intdigest(word, self.start))
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.langs.append(self.lang)
+        self.words.append(word)
         return number
 
 
-def _texts(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[str], np.ndarray, dict[int, str]]]:
-    """Chunks of whole texts: word numbers with breaks between pieces, where each language begins, names, codes."""
-    names: list[str] = []
-    codes: list[int] = []
-    known: dict[str, _Words] = {}
-    held: list[tuple[str, list[int]]] = []
-    size = 0
-
-    def out():
-        held.sort(key=lambda h: h[0])
-        ids = np.fromiter((i for _, numbers in held for i in (*numbers, BREAK)), "i8")
-        begins = np.cumsum([0, *(len(numbers) + 1 for _, numbers in held[:-1])])
-        return ids, begins, [lang for lang, _ in held], np.array(codes, "u8"), names
+def _numbered(docs: DataFrame, key: str, text: str, lang: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """(tokens, vocabulary): sample, ids, codes of chunks of texts; lang, word, code, n of all words.
 
-    for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            lang = lang.as_py()
-            if lang not in known:
-                if not names:
-                    names.append("\n")
-                    codes.append(0)
-                known[lang] = _Words(lang, names, codes)
-            numbers = list(map(known[lang].__getitem__, filter(None, text.as_py().translate(PIECES).split(" "))))
-            held.append((lang, numbers))
-            size += len(numbers)
-            if size >= chunk:
-                yield out()
-                held, size = [], 0
-                if len(names) > VOCABULARY:
-                    names, codes, known = [], [], {}
-    if held:
-        yield out()
+    A code tells a word and its language. Two words with one code, or a code like that of a break, would spoil the counts:
+    then all is numbered again by another hash.
+    """
+    rows = docs.select(
+        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
+        (F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(SHARE)) == 0).cast("int").alias("sample"))
+    for seed in itertools.count():
+        def run(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            open_ = [_Chunk(seed), _Chunk(seed)]
+            for batch in batches:
+                for lang_, text_, sample in zip(*batch.columns):
+                    sample = sample.as_py()
+                    open_[sample].add(lang_.as_py(), text_.as_py())
+                    if open_[sample].size >= chunk:
+                        yield open_[sample].rows(sample)
+                        open_[sample] = _Chunk(seed)
+            for sample, held in enumerate(open_):
+                if held.size:
+                    yield held.rows(sample)
+
+        written = settle(rows.mapInArrow(run, TOKENS), "tokens")
+
+        def coded(batches: Iterator[pa.RecordBatch], seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(_word_codes(
+                        batch.column(0).to_pylist(), batch.column(1).to_pylist(), seed).view("i8"))], names=[*batch.schema.names, "code"])
+
+        words = written.where("word IS NOT NULL").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        vocabulary = settle(words.mapInArrow(coded, "lang string, word string, n long, code long"), "words")
+        if vocabulary.groupBy("code").agg(F.count("*").alias("m")).where("m > 1 OR code = 0").isEmpty():
+            return written.where("ids IS NOT NULL").select("sample", "ids", "codes"), vocabulary
 
 
 class _Filter:
@@ -98,48 +139,21 @@ def _longer(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * CODE
 
 
-def _counted(ids: np.ndarray, codes: np.ndarray, most: int, proposed: _Filter | None, before: _Filter | None, only: int | None):
-    """(words, places, hashes, counts) of the different phrases of a chunk that this pass counts; places are first ones.
+def _levels(word: np.ndarray, most: int, proposed: _Filter, before: _Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For 1 to `most` words the places and hashes of the phrases that this pass counts; word: codes, 0 at breaks.
 
-    Single words are counted unless an earlier pass (before) did; a longer phrase if both its parts without an end
-    are proposed, and were not both before. only: phrases of that many words alone.
+    All single words, and a longer phrase if both its parts without an end are proposed and were not both before.
     """
-    width = np.int64(len(codes))
-    h, ok = codes[ids], ids != BREAK
-    at = np.flatnonzero(ok)
-    for k in range(1, most + 1):
-        if k > 1:
-            both = ok[:-1] & ok[1:]
-            if proposed is not None:
-                yes = ok.copy()
-                yes[ok] = proposed(h[ok])
-                open_ = yes[:-1] & yes[1:]
-            else:
-                open_ = both
-            if before is not None:
-                old = ok.copy()
-                old[ok] = before(h[ok])
-                new = open_ & ~(old[:-1] & old[1:])
-            else:
-                new = open_
-            h = _longer(h[:-1], codes[ids[k - 1:]])
-            ok = open_  # a longer phrase needs open parts only
-            at = np.flatnonzero(new)
-        elif before is not None:
-            continue
-        if only is not None and k != only:
-            continue
-        rank = ids[at]
-        for j in range(1, k):
-            rank = np.unique(rank * width + ids[at + j], return_inverse=True)[1]
-        _, first, n = np.unique(rank, return_index=True, return_counts=True)
-        yield k, at[first], h[at[first]], n
-
-
-def _prepared(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(SHARE)).alias("part"))
+    at = np.flatnonzero(word)
+    h = word[at]
+    yield 1, at, h
+    for k in range(2, most + 1):
+        yes = proposed(h)
+        old = before(h) if before is not None else np.zeros(len(h), bool)
+        pair = np.flatnonzero((at[1:] == at[:-1] + 1) & yes[1:] & yes[:-1])
+        new = ~(old[pair] & old[pair + 1])
+        at, h = at[pair], _longer(h[pair], word[at[pair] + k - 1])
+        yield k, at[new], h[new]
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
@@ -153,68 +167,126 @@ def _bits(hashes: DataFrame) -> np.ndarray:
     return out.view("u1")
 
 
-def _proposed(docs: DataFrame, most: int, least: int) -> np.ndarray:
-    """Filter of the phrases of fewer than `most` words that the sample holds at least `least` times, level by level."""
-    sample = docs.where(F.col("part") == 0).select("lang", "text")
-    context = docs.sparkSession.sparkContext
-    bits = np.zeros(1 << (FILTER_BITS - 3), "u1")
-    for k in range(1, most):
-        shared = context.broadcast(bits)
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers and codes of the words of each chunk."""
+    for batch in batches:
+        for ids, codes in zip(batch.column("ids"), batch.column("codes")):
+            yield np.frombuffer(ids.as_buffer(), "u4"), np.frombuffer(codes.as_buffer(), "u8")
 
-        def run(batches: Iterator[pa.RecordBatch], k: int = k, shared=shared) -> Iterator[pa.RecordBatch]:
-            for ids, _, _, codes, _ in _texts(batches, CHUNK):
-                for _, _, h, n in _counted(ids, codes, k, _Filter(shared.value), None, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view("i8")), pa.array(n)], names=["h", "n"])
 
-        counts = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        bits = bits | _bits(counts.where(F.col("n") >= least))
-    return bits
+def _hash_counts(
+    tokens: DataFrame, sizes: tuple[int, ...], least: int, groups: int, proposed: Broadcast, before: Broadcast | None
+) -> np.ndarray:
+    """Filter of the hashes of phrases of `sizes` words that this pass meets at least `least` times.
 
+    Hashes are dealt to groups, a power of two, by their first bits; a chunk sends its sorted hashes of a group as one
+    row, of each the next 32 bits and the count.
+    """
+    first = groups.bit_length() - 1
+    kind = np.min_scalar_type(least)  # a count beyond the threshold says no more than the threshold
 
-def _pass(docs: DataFrame, most: int, least: int, proposed: np.ndarray, before: np.ndarray | None) -> DataFrame:
-    """lang, phrase, words, h, n of the frequent phrases that this pass counts; words 0 holds all words of a language."""
-    context = docs.sparkSession.sparkContext
-    shared, earlier = context.broadcast(proposed), None if before is None else context.broadcast(before)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, codes in _codes(batches):
+            found = [h for k, _, h in _levels(codes[ids], max(sizes), _Filter(proposed.value), before and _Filter(before.value))
+                     if k in sizes]
+            h, n = np.unique(np.concatenate(found), return_counts=True)
+            group = (h >> np.uint64(64 - first)).astype("i8") if first else np.zeros(len(h), "i8")
+            low = ((h << np.uint64(first)) >> np.uint64(32)).astype("u4")
+            n = np.minimum(n, least).astype(kind)
+            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(h) else []
+            ends = [*begin[1:], len(h)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(group[begin] if len(h) else group), pa.array([low[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()),
+                pa.array([n[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary())], names=["part", "low", "n"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        low = np.concatenate([np.frombuffer(x.as_buffer(), "u4") for x in table["low"]])
+        n = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table["n"]])
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order].astype("i8")
+        begin = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        often = low[begin[np.add.reduceat(n, begin) >= least]].astype("u8")
+        part = np.uint64(table["part"][0].as_py())
+        h = (often << np.uint64(32 - first)) | (part << np.uint64(64 - first) if first else np.uint64(0))
+        return pa.table({"h": h.view("i8")})
+
+    rows = tokens.mapInArrow(run, "part long, low binary, n binary")
+    return _bits(rows.groupBy("part").applyInArrow(counted, "h long"))
+
+
+def _pass(tokens: DataFrame, most: int, least: int, groups: int, proposed: Broadcast, before: Broadcast | None) -> DataFrame:
+    """phrase (array of codes), h, n of the frequent phrases of 2 words or more that this pass counts."""
+    often = _hash_counts(tokens, tuple(range(2, most + 1)), least, groups, proposed, before)
+    wanted = tokens.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, begins, langs, codes, names in _texts(batches, CHUNK):
-            kinds = pa.array(langs).dictionary_encode()
-            of = lambda at: kinds.take(pa.array(np.searchsorted(begins, at, "right") - 1)).cast(pa.string())
-            if before is None:
-                words = np.add.reduceat((ids != BREAK).astype("i8"), begins)
-                yield rows(kinds.cast(pa.string()), [""] * len(langs), 0, np.zeros(len(langs), "u8"), words)
-            for k, at, h, n in _counted(ids, codes, most, _Filter(shared.value), earlier and _Filter(earlier.value), None):
-                if len(at):
-                    joined = map(" ".join, zip(*([names[i] for i in ids[at + j].tolist()] for j in range(k))))
-                    yield rows(of(at), list(joined), k, h, n)
-
-    def rows(langs: pa.Array, phrases: list[str], k: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [langs, pa.array(phrases, pa.string()), pa.array(np.full(len(n), k, "i4")), pa.array(h.view("i8")), pa.array(n)],
-            names=["lang", "phrase", "words", "h", "n"])
-
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, words int, h long, n long")
-    return settle(counted.groupBy("lang", "phrase", "words").agg(F.min("h").alias("h"), F.sum("n").alias("n")).where(
-        (F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+        for ids, codes in _codes(batches):
+            width = np.int64(len(codes))
+            for k, at, h in _levels(codes[ids], most, _Filter(proposed.value), before and _Filter(before.value)):
+                keep = np.flatnonzero(_Filter(wanted.value)(h)) if k > 1 else []
+                if not len(keep):
+                    continue
+                at, h = at[keep], h[keep]
+                rank = ids[at].astype("i8")
+                for j in range(1, k):
+                    rank = np.unique(rank * width + ids[at + j], return_inverse=True)[1]
+                _, first, n = np.unique(rank, return_index=True, return_counts=True)
+                phrase = codes[ids[at[first][:, None] + np.arange(k)]].view("i8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="i4") * k), pa.array(phrase.ravel())),
+                     pa.array(h[first].view("i8")), pa.array(n)], names=["phrase", "h", "n"])
+
+    counted = tokens.mapInArrow(run, "phrase array<long>, h long, n long")
+    out = settle(counted.groupBy("phrase", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+    wanted.destroy()  # it lies on every executor's disk
+    return out
 
 
 def frequent_phrases(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_WORDS, least: int = MIN_COUNT,
-) -> DataFrame:
-    """lang, phrase, words, n: all phrases of 1 to `most` words that occur at least `least` times in a language, exactly.
+    chunk: int = CHUNK,
+) -> tuple[DataFrame, DataFrame]:
+    """(phrases, totals): lang, phrase, words, n of all phrases of 1 to `most` words that occur at least `least` times; lang, n.
 
-    The row with no words gives the number of words of the language. The lowered count of the sample is half of
-    what it would hold of a phrase that is just frequent; what it misses is found by further passes, at most `most`.
+    The lowered count of the sample is half of what it would hold of a phrase that is just frequent; what it misses is found by
+    further passes, at most `most`.
     """
-    docs = _prepared(docs, key, text, lang)
-    proposed = _proposed(docs, most, max(1, least // (2 * SHARE)))
-    found = _pass(docs, most, least, proposed, None)
-    while True:
-        more = proposed | _bits(found.where((F.col("words") > 0) & (F.col("words") < most)))
-        if np.array_equal(more, proposed):
-            return found.drop("h")
-        found = found.unionByName(_pass(docs, most, least, more, proposed))
-        proposed = more
+    tokens, vocabulary = _numbered(docs, key, text, lang, chunk)
+    size = vocabulary.agg(F.sum("n")).first()[0] or 0
+    groups = min(1 << 31, 1 << max(0, -(-size * most // GROUP_HASHES) - 1).bit_length())
+    proposed = _proposed(tokens, most, max(1, least // (2 * SHARE)), groups)
+    often = vocabulary.where(F.col("n") >= least)
+    found, before, context = None, None, tokens.sparkSession.sparkContext
+    while most > 1:
+        now = context.broadcast(proposed)
+        more = _pass(tokens, most, least, groups, now, before)
+        if before:
+            before.destroy()
+        found = found.unionByName(more) if found else more
+        opened = found.where(F.size("phrase") < most).select("h").union(often.select("code"))
+        before, wider = now, proposed | _bits(opened)
+        if np.array_equal(wider, proposed):
+            before.destroy()
+            break
+        proposed = wider
+    single = often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
+    totals = vocabulary.groupBy("lang").agg(F.sum("n").alias("n"))
+    if found is None:
+        return single, totals
+    parts = found.select("phrase", "n", F.posexplode("phrase").alias("place", "code")).join(often.select("lang", "word", "code"), "code")
+    texts = parts.groupBy("phrase", "n").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    return texts.select("lang", F.array_join("w.word", " ").alias("phrase"), F.size("w").alias("words"), "n").union(single), totals
+
+
+def _proposed(tokens: DataFrame, most: int, least: int, groups: int) -> np.ndarray:
+    """Filter of the phrases of fewer than `most` words that the sample holds at least `least` times, level by level."""
+    sample = tokens.where("sample = 1")
+    bits = np.zeros(1 << (FILTER_BITS - 3), "u1")
+    for k in range(1, most):
+        now = tokens.sparkSession.sparkContext.broadcast(bits)
+        bits = bits | _hash_counts(sample, (k,), least, groups, now, None)
+        now.destroy()
+    return bits
 
 
 def first_rows(rows: DataFrame, group: str, order: list[Column], unique: str, keep: int, rows_a_task: int = 100_000) -> DataFrame:
@@ -234,7 +306,7 @@ def first_rows(rows: DataFrame, group: str, order: list[Column], unique: str, ke
 
 def mine_collocations(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_WORDS, least: int = MIN_COUNT,
-    keep: int = KEEP, inside_percent: int = INSIDE_PERCENT,
+    keep: int = KEEP, inside_percent: int = INSIDE_PERCENT, chunk: int = CHUNK,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the `keep` best phrases of 2 to `most` words of each language.
 
@@ -245,7 +317,8 @@ def mine_collocations(
     repeated rows are counted each; words of any length are kept whole. An empty table gives an empty result; other
     columns are not read.
     """
-    found = settle(frequent_phrases(docs, key, text, lang, most, least), "frequent")
+    found, totals = frequent_phrases(docs, key, text, lang, most, least, chunk)
+    found = settle(found, "frequent")
     candidates = found.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     split = F.split("phrase", " ")
     cuts = candidates.withColumn("w", split).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
@@ -267,5 +340,4 @@ def mine_collocations(
     stay = settle(scored.join(inside, ["lang", "phrase"], "left").where(~F.coalesce(covered, F.lit(False))).select(
         "lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), "scored")
     best = first_rows(stay, "lang", [F.desc("score"), F.desc("a"), F.asc("phrase")], "phrase", keep)
-    words = found.where("words = 0").select("lang", "n")  # one row a language
-    return best.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
