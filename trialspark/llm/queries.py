@@ -15,6 +15,7 @@ from trialspark.llm.mixing import mix_sources
 from trialspark.llm.phrases import mine_collocations
 from trialspark.llm.pii import KINDS, find_pii
 from trialspark.llm.quality import quality_fold, score_quality
+from trialspark.llm.sharding import kd_shards
 from trialspark.llm.simhash import simhash_components
 from trialspark.llm.spelling import spelling_forms
 from trialspark.llm.substring import remove_repeats
@@ -163,6 +164,65 @@ QUALIFY rank <= 2000
 """
 
 
+def op12_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in eight shards of near-equal bytes."""
+    return kd_shards(table(spark, folder, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP12_SQL = """
+WITH steps AS (
+  SELECT list(r ORDER BY i) AS steps FROM (SELECT i, list_reduce(list_prepend(i, range(4)),
+    lambda r, k: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END) AS r FROM range(16) AS t(i))
+), summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(x), 2), lambda p: [
+    instr('0123456789ABCDEF', x[p + 1]) - 1, instr('0123456789ABCDEF', x[p]) - 1]))),
+    lambda r, b: xor(r >> 4, steps[(xor(r, b) & 15) + 1])), 4294967295) AS crc
+  FROM (SELECT doc_id, lang, source, n_chars, hex(encode(coalesce(text, ''))) AS x FROM documents), steps
+), told AS (
+  SELECT doc_id, CAST(length(x) // 2 + 1 AS BIGINT) AS size, crc,
+    CAST('0x' || substr(md5(concat_ws(':', doc_id, crc)), 1, 10) AS BIGINT) AS h, CAST(n_chars AS DOUBLE) AS x2,
+    CAST(CAST('0x' || rpad(hex(encode(substr(lang, 1, 6))), 12, '0') AS BIGINT) AS DOUBLE) AS x0,
+    CAST(CAST('0x' || rpad(hex(encode(substr(source, 1, 6))), 12, '0') AS BIGINT) AS DOUBLE) AS x1 FROM summed
+), level0 AS (
+  SELECT doc_id, size, crc, h, 1 AS node, 0 AS first, 8 AS leaves,
+    coalesce(CAST(floor((x0 - min(x0) OVER ()) / (max(x0) OVER () - min(x0) OVER ()) * 1048574) AS BIGINT) + 1, 0) AS c0,
+    coalesce(CAST(floor((x1 - min(x1) OVER ()) / (max(x1) OVER () - min(x1) OVER ()) * 1048574) AS BIGINT) + 1, 0) AS c1,
+    coalesce(CAST(floor((x2 - min(x2) OVER ()) / (max(x2) OVER () - min(x2) OVER ()) * 1048574) AS BIGINT) + 1, 0) AS c2 FROM told
+), cells0 AS (
+  SELECT node, max(first) AS first, max(leaves) AS leaves, sum(size) AS bytes, list_max([
+    {'w': max(c0) - min(c0), 'i': 0}, {'w': max(c1) - min(c1), 'i': -1}, {'w': max(c2) - min(c2), 'i': -2}]).i AS dim FROM level0 GROUP BY node
+), level1 AS (
+  SELECT * EXCLUDE (node, first, leaves, bytes, dim, upto), leaves // 2 AS leaves,
+    2 * node + CASE WHEN 2 * (bytes // 2 - upto + size) >= size THEN 0 ELSE 1 END AS node,
+    first + CASE WHEN 2 * (bytes // 2 - upto + size) >= size THEN 0 ELSE leaves // 2 END AS first
+  FROM (SELECT l.*, c.bytes, c.dim, sum(l.size) OVER (PARTITION BY l.node ORDER BY [l.c0, l.c1, l.c2][1 - c.dim], l.h, l.doc_id) AS upto
+    FROM level0 l JOIN cells0 c USING (node))
+), cells1 AS (
+  SELECT node, max(first) AS first, max(leaves) AS leaves, sum(size) AS bytes, list_max([
+    {'w': max(c0) - min(c0), 'i': 0}, {'w': max(c1) - min(c1), 'i': -1}, {'w': max(c2) - min(c2), 'i': -2}]).i AS dim FROM level1 GROUP BY node
+), level2 AS (
+  SELECT * EXCLUDE (node, first, leaves, bytes, dim, upto), leaves // 2 AS leaves,
+    2 * node + CASE WHEN 2 * (bytes // 2 - upto + size) >= size THEN 0 ELSE 1 END AS node,
+    first + CASE WHEN 2 * (bytes // 2 - upto + size) >= size THEN 0 ELSE leaves // 2 END AS first
+  FROM (SELECT l.*, c.bytes, c.dim, sum(l.size) OVER (PARTITION BY l.node ORDER BY [l.c0, l.c1, l.c2][1 - c.dim], l.h, l.doc_id) AS upto
+    FROM level1 l JOIN cells1 c USING (node))
+), cells2 AS (
+  SELECT node, max(first) AS first, max(leaves) AS leaves, sum(size) AS bytes, list_max([
+    {'w': max(c0) - min(c0), 'i': 0}, {'w': max(c1) - min(c1), 'i': -1}, {'w': max(c2) - min(c2), 'i': -2}]).i AS dim FROM level2 GROUP BY node
+), level3 AS (
+  SELECT * EXCLUDE (node, first, leaves, bytes, dim, upto), leaves // 2 AS leaves,
+    2 * node + CASE WHEN 2 * (bytes // 2 - upto + size) >= size THEN 0 ELSE 1 END AS node,
+    first + CASE WHEN 2 * (bytes // 2 - upto + size) >= size THEN 0 ELSE leaves // 2 END AS first
+  FROM (SELECT l.*, c.bytes, c.dim, sum(l.size) OVER (PARTITION BY l.node ORDER BY [l.c0, l.c1, l.c2][1 - c.dim], l.h, l.doc_id) AS upto
+    FROM level2 l JOIN cells2 c USING (node))
+)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(first AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY first ORDER BY h, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM level3
+"""
+
+
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Words with the form that they are a variant of."""
     return spelling_forms(table(spark, folder, "documents"))
@@ -218,6 +278,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_topk": op10_topk,
     "op11_phrases": op11_phrases,
+    "op12_sharding": op12_sharding,
     "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op5_chat": OP5_SQL, "op10_topk": OP10_SQL, "op11_phrases": OP11_SQL, "op13_spelling": OP13_SQL}
+ORACLES: dict[str, str] = {
+    "op5_chat": OP5_SQL, "op10_topk": OP10_SQL, "op11_phrases": OP11_SQL, "op12_sharding": OP12_SQL,
+    "op13_spelling": OP13_SQL,
+}
