@@ -1,13 +1,17 @@
 """Split, preparation, evaluation, training, scoring, explanation."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from trialspark import schema as S
-from trialspark.operators import evaluate as E, explain, prep, split, training as M
+from trialspark.operators import evaluate as E, explain, prep, split, training as M, trees
 from trialspark.operators.scoring import score, score_by_rule
 from trialspark.plans.catalog import models as catalog
 from trialspark.sources import models as store
@@ -154,7 +158,7 @@ def test_saved_model_scores_the_same(spark, frame, fitted):
 
 def test_shapley_values_sum_to_prediction(frame, fitted):
     subjects = frame.limit(40)
-    result = explain.shapley_contributions(subjects, fitted, frame.limit(3), orderings=3)
+    result = explain.shapley_contributions(subjects, fitted, frame.limit(3))
     probs = {r["USUBJID"]: r["DROPOUT_PROB"] for r in score(subjects, fitted).collect()}
     rows = result.collect()
     assert len(rows) == 40
@@ -205,19 +209,74 @@ def test_stream_scores_equal_batch_scores(spark, frame, fitted):
 
 @pytest.mark.parametrize("name", ["shapley_contributions", "shapley_importance"])
 def test_shapley_queries_explain_from_the_whole_background(spark, frame, fitted, monkeypatch, name):
-    """Both queries average over 20 background rows and 8 orderings, as the study does."""
+    """Both queries average over 20 background rows, as the study does."""
     asked = []
 
-    def recorded(df, model, background, orderings=8, **rest):
-        asked.append((background.count(), orderings))
-        return whole(df.limit(2), model, background, orderings, **rest)
+    def recorded(df, model, background, **rest):
+        asked.append(background.count())
+        return whole(df.limit(2), model, background, **rest)
 
     whole = explain.shapley_contributions
     monkeypatch.setattr(explain, "shapley_contributions", recorded)
     monkeypatch.setattr(catalog, "parts", lambda t: (frame, frame))
     monkeypatch.setattr(catalog, "forest", lambda train: fitted)
     assert getattr(catalog, name)(None).count()
-    assert asked == [(20, 8)]
+    assert asked == [20]
+
+
+def by_enumeration(score, x, background):
+    """Shapley values from all coalitions; a coalition's value is the mean score over the background."""
+    n = len(x)
+    value = [np.mean([score([x[j] if s >> j & 1 else b[j] for j in range(n)]) for b in background]) for s in range(1 << n)]
+    out = []
+    for j in range(n):
+        out.append(sum(
+            math.factorial(s.bit_count()) * math.factorial(n - s.bit_count() - 1) / math.factorial(n)
+            * (value[s | 1 << j] - value[s]) for s in range(1 << n) if not s >> j & 1))
+    return value[0], value[-1], out
+
+
+@pytest.mark.parametrize("kind", ["forest", "boosted"])
+def test_shapley_values_equal_enumeration(spark, monkeypatch, kind):
+    """Six features, a forest (probability) and boosted trees (margin), with few cells in a task at a time."""
+    rng = np.random.default_rng(4)
+    rows = [[f"s{i}", *map(float, rng.integers(0, 6, 6)), 0.0] for i in range(120)]
+    for r in rows:
+        r[-1] = float(r[1] * r[2] + r[3] > 9 + r[4] * (r[5] > 2))
+    names = [f"F{j}" for j in range(6)]
+    df = spark.createDataFrame(rows, ", ".join(["K string", *[f"{n} double" for n in names], "y double"]))
+    learner = (RandomForestClassifier(labelCol="y", numTrees=7, maxDepth=5, seed=1) if kind == "forest"
+               else GBTClassifier(labelCol="y", maxIter=5, maxDepth=3, seed=1))
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(df)
+    monkeypatch.setattr(trees, "CELLS", 500)
+    leaves, background = trees.model_leaves(model), [r[1:7] for r in rows[:9]]
+
+    def plain(x):
+        inside = leaves.masks(np.array([x]))[0] == leaves.full
+        return leaves.value[inside].sum()
+
+    got = {r["K"]: r for r in trees.leaf_shapley(
+        trees.prepared(df, model, ["K"]), leaves, trees.prepared(df.limit(9), model, []), "K", 6).collect()}
+    assert len(got) == 120
+    for r in rows[::12]:
+        base, score_, phi = by_enumeration(plain, r[1:7], background)
+        mine = got[r[0]]
+        assert mine["BASE_VALUE"] == pytest.approx(base, abs=1e-9) and mine["PREDICTION"] == pytest.approx(score_, abs=1e-9)
+        assert mine["PHI"] == pytest.approx(phi, abs=1e-9)
+    sizes = [3, 5]
+    parts = {r["K"]: r["SCORES"] for r in trees.prefix_scores(trees.prepared(df, model, ["K"]), leaves, ["K"], sizes).collect()}
+    for r in rows[::12]:
+        inside = leaves.masks(np.array([r[1:7]]))[0] == leaves.full
+        assert parts[r[0]] == pytest.approx([leaves.value[inside & (leaves.tree < n)].sum() for n in sizes])
+    whole = {r["K"]: r["probability"][1] for r in model.transform(df).collect()}
+    for k, r in got.items():
+        p = r["PREDICTION"] if kind == "forest" else 1 / (1 + math.exp(-2 * r["PREDICTION"]))
+        assert p == pytest.approx(whole[k], abs=1e-9)
+
+
+def test_sampled_contributions_sum_to_prediction(frame, fitted):
+    for r in explain.sampled_contributions(frame.limit(5), fitted, frame.limit(2), orderings=2).collect():
+        assert r["BASE_VALUE"] + sum(c["CONTRIBUTION"] for c in r["CONTRIBUTIONS"]) == pytest.approx(r["PREDICTION"])
 
 
 def test_queries_fit_specifications_of_the_documented_grids():

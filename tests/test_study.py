@@ -76,7 +76,7 @@ def test_study(spark, paths, tmp_path):
     result = run_study(
         spark, paths, str(tmp_path / "out"), r"^ST-\d{3}-\d{3}$",
         forest_grid={"numTrees": [5], "maxDepth": [3]},
-        boost_grid={"maxIter": [2], "maxDepth": [2]}, folds=2, orderings=1,
+        boost_grid={"maxIter": [2], "maxDepth": [2]}, folds=2,
     )
     assert result["ADSL"].count() == 280
     status = {r["CHECK_ID"]: (r["STATUS"], r["N_ISSUES"]) for r in result["validation_log"].collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialspark import schema as S
 from trialspark.functions import indicator
+from trialspark.operators import trees
 from trialspark.operators.reshape import union_all
 from trialspark.operators.scoring import probabilities
 
@@ -52,6 +53,28 @@ def importance_contributions(
 
 
 def shapley_contributions(
+    df: DataFrame,
+    model: PipelineModel,
+    background: DataFrame,
+    features: Sequence[str] = S.FEATURES,
+    key: str = "USUBJID",
+) -> DataFrame:
+    """Exact Shapley values of a fitted tree ensemble, against the rows of ``background``.
+
+    A forest is explained on the scale of the probability, boosted trees on that of the margin. The base value plus the
+    contributions equals the prediction. ``key`` identifies a row of ``df``; background rows with a missing feature
+    count with the value that the model fills in.
+    """
+    names = list(features)
+    inputs = trees.prepared(df, model, [key])
+    found = trees.leaf_shapley(
+        inputs, trees.model_leaves(model), trees.prepared(background, model, []), key, len(names))
+    own = df.select(key, F.array(*[F.col(f).cast("double") for f in names]).alias("__own"))
+    records = [_record(f, F.col("__own")[j], F.col("PHI")[j]) for j, f in enumerate(names)]
+    return found.join(own, key).select(key, "BASE_VALUE", "PREDICTION", F.array(*records).alias("CONTRIBUTIONS"))
+
+
+def sampled_contributions(
     df: DataFrame,
     model: PipelineModel,
     background: DataFrame,
@@ -60,7 +83,7 @@ def shapley_contributions(
     features: Sequence[str] = S.FEATURES,
     key: str = "USUBJID",
 ) -> DataFrame:
-    """Shapley values of the predicted probability, sampled over feature orderings.
+    """Shapley values of the predicted probability of any model, sampled over feature orderings.
 
     Along one ordering the features of a background row are replaced one by one by those of
     the subject, and every change of the prediction is credited to the feature replaced. All

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from trialspark import schema as S
-from trialspark.operators import evaluate as E, explain, prep, split, training as M
+from trialspark.operators import evaluate as E, explain, prep, split, training as M, trees
 from trialspark.operators.reshape import sample_subjects
 from trialspark.operators.rows import round_numeric, validate_ranges, valid_rows
 from trialspark.operators.scoring import score
@@ -27,7 +27,7 @@ from trialspark.streaming import scoring as stream
 # One point of FOREST_GRID and one of BOOST_GRID.
 FOREST_POINT = {"numTrees": 200, "maxDepth": 6, "minInstancesPerNode": 5}
 BOOST_POINT = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 1.0}
-BACKGROUND_ROWS, ORDERINGS = 20, 8  # as in plans/study.py: 160 paths for each subject
+BACKGROUND_ROWS = 20  # as in plans/study.py
 SPLIT_LIMIT = int(0.70 * 2**32)
 
 
@@ -253,7 +253,11 @@ def scored_stream(t: OrderTrial) -> DataFrame:
     )
 
 
-# Queries below fit models. Spark's tree learners have no SQL counterpart.
+TEST_SQL = f"""SELECT * FROM (SELECT *, CASE WHEN {RANKED.format(h=_hash(42))}
+  <= floor(count(*) OVER (PARTITION BY DPTN) * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS PART FROM frame)"""
+
+
+# Queries below fit models. Spark's tree learners have no SQL counterpart; SQL states what must hold of their results.
 
 
 def parts(t: OrderTrial) -> tuple[DataFrame, DataFrame]:
@@ -335,7 +339,10 @@ def score_summary(t: OrderTrial) -> DataFrame:
     return batch_risk_summary(score(test, forest(train)))
 
 
-@query("save_load_model")
+@query(
+    "save_load_model",
+    f"SELECT count(*) AS N, 0.0::DOUBLE AS GAP FROM ({TEST_SQL}) WHERE PART = 'test'",
+)
 def save_load_model(t: OrderTrial) -> DataFrame:
     """Rows scored by a model and by its saved copy, with the largest difference."""
     train, test = parts(t)
@@ -378,23 +385,77 @@ def model_record(t: OrderTrial) -> DataFrame:
     return read_domain(t.spark, path)
 
 
-@query("shapley_contributions")
-def shapley_contributions(t: OrderTrial) -> DataFrame:
-    """Shapley values of every test subject and the gap to its prediction."""
+def explained(t: OrderTrial) -> tuple[DataFrame, DataFrame]:
+    """Exact Shapley values of the test subjects for the fitted forest, and those subjects with its scores."""
     train, test = parts(t)
-    background = sample_subjects(train.select("USUBJID", *S.FEATURES), BACKGROUND_ROWS)
+    model, background = forest(train), sample_subjects(train.select("USUBJID", *S.FEATURES), BACKGROUND_ROWS)
     subjects = test.select("USUBJID", *S.FEATURES)
-    return explain.contribution_rows(
-        explain.shapley_contributions(subjects, forest(train), background, ORDERINGS)
-    )
+    return explain.shapley_contributions(subjects, model, background), score(subjects, model)
+
+
+@query("shapley_contributions")
+def shapley_contributions(t: OrderTrial) -> DataFrame:
+    """Shapley values of every test subject."""
+    return explain.contribution_rows(explained(t)[0])
 
 
 @query("shapley_importance")
 def shapley_importance(t: OrderTrial) -> DataFrame:
     """Mean absolute Shapley value per feature over the test subjects."""
-    train, test = parts(t)
-    background = sample_subjects(train.select("USUBJID", *S.FEATURES), BACKGROUND_ROWS)
-    subjects = test.select("USUBJID", *S.FEATURES)
-    return explain.global_importance(
-        explain.shapley_contributions(subjects, forest(train), background, ORDERINGS)
-    )
+    return explain.global_importance(explained(t)[0])
+
+
+@query(
+    "shapley_additivity",
+    f"""SELECT USUBJID, {len(S.FEATURES)}::BIGINT AS FEATURES, CAST({' + '.join(S.FEATURES)} AS DOUBLE) AS VALUE_SUM,
+    0.0::DOUBLE AS GAP, 0.0::DOUBLE AS SCORE_GAP FROM ({TEST_SQL}) WHERE PART = 'test'""",
+)
+def shapley_additivity(t: OrderTrial) -> DataFrame:
+    """For every test subject what base value and contributions miss of the prediction, and this of the forest's own score."""
+    values, scored = explained(t)
+    sums = explain.contribution_rows(values).groupBy("USUBJID", "BASE_VALUE", "PREDICTION").agg(
+        F.count(F.lit(1)).alias("FEATURES"), F.sum("VALUE").alias("VALUE_SUM"), F.sum("CONTRIBUTION").alias("__sum"))
+    return sums.join(scored.select("USUBJID", "DROPOUT_PROB"), "USUBJID").select(
+        "USUBJID", "FEATURES", "VALUE_SUM",
+        F.round(F.abs(F.col("BASE_VALUE") + F.col("__sum") - F.col("PREDICTION")), 9).alias("GAP"),
+        F.round(F.abs(F.col("PREDICTION") - F.col("DROPOUT_PROB")), 9).alias("SCORE_GAP"))
+
+
+# Two small trees over four features, as (tree, value, bounds of features by position); SQL states the same trees.
+TREE_FEATURES = ["AGE", "COMPLPCT", "AENUM", "DAS28BL"]
+INF = float("inf")
+FIXED_LEAVES = [
+    (0, 0.10, {0: (-INF, 50.0), 1: (-INF, 80.0)}), (0, 0.30, {0: (-INF, 50.0), 1: (80.0, INF)}),
+    (0, 0.05, {0: (50.0, INF), 2: (-INF, 3.0)}), (0, 0.45, {0: (50.0, INF), 2: (3.0, INF)}),
+    (1, 0.20, {3: (-INF, 5.5), 0: (-INF, 40.0)}), (1, 0.02, {3: (-INF, 5.5), 0: (40.0, 60.0)}),
+    (1, 0.40, {3: (-INF, 5.5), 0: (60.0, INF)}), (1, 0.33, {3: (5.5, INF), 1: (-INF, 90.0), 2: (-INF, 6.0)}),
+    (1, 0.12, {3: (5.5, INF), 1: (-INF, 90.0), 2: (6.0, INF)}), (1, 0.01, {3: (5.5, INF), 1: (90.0, INF)}),
+]
+
+
+def _fixed_trees_sql() -> str:
+    """Every coalition of the four features against every background row, weighted as Shapley values are."""
+    x = [f"CASE WHEN s & {1 << j} <> 0 THEN x.{f} ELSE b.{f} END" for j, f in enumerate(TREE_FEATURES)]
+    first = f"""CASE WHEN {x[0]} <= 50 THEN CASE WHEN {x[1]} <= 80 THEN 0.10 ELSE 0.30 END
+      ELSE CASE WHEN {x[2]} <= 3 THEN 0.05 ELSE 0.45 END END"""
+    second = f"""CASE WHEN {x[3]} <= 5.5 THEN CASE WHEN {x[0]} <= 40 THEN 0.20 WHEN {x[0]} <= 60 THEN 0.02 ELSE 0.40 END
+      ELSE CASE WHEN {x[1]} > 90 THEN 0.01 WHEN {x[2]} <= 6 THEN 0.33 ELSE 0.12 END END"""
+    one = "CASE WHEN s & {b} <> 0 THEN v * w_in ELSE -v * w_out END"
+    cells = ", ".join(
+        f"round(sum({one.format(b=1 << j)}), 9) + 0.0 AS PHI_{f}" for j, f in enumerate(TREE_FEATURES))
+    return f"""SELECT USUBJID, {cells}, round(sum(v) FILTER (WHERE s = 15), 9) AS PREDICTION FROM (
+      SELECT x.USUBJID, s, CAST(avg({first} + {second}) AS DOUBLE) AS v,
+        [0, 6, 2, 2, 6][bit_count(s) + 1] / 24.0::DOUBLE AS w_in, [6, 2, 2, 6, 0][bit_count(s) + 1] / 24.0::DOUBLE AS w_out
+      FROM frame x, (SELECT * FROM frame ORDER BY md5('42' || USUBJID), USUBJID LIMIT {BACKGROUND_ROWS}) b, range(16) AS t(s)
+      GROUP BY x.USUBJID, s) GROUP BY USUBJID"""
+
+
+@query("shapley_fixed_trees", _fixed_trees_sql())
+def shapley_fixed_trees(t: OrderTrial) -> DataFrame:
+    """Exact Shapley values of two stated trees for all subjects."""
+    x = F.array(*[F.col(f).cast("double") for f in TREE_FEATURES]).alias("__x")
+    rows, background = t.frame.select("USUBJID", x), sample_subjects(t.frame, BACKGROUND_ROWS).select(x)
+    values = trees.leaf_shapley(rows, trees.Leaves(FIXED_LEAVES), background, "USUBJID", len(TREE_FEATURES))
+    return values.select(
+        "USUBJID", *[(F.round(F.col("PHI")[j], 9) + 0.0).alias(f"PHI_{f}") for j, f in enumerate(TREE_FEATURES)],
+        F.round("PREDICTION", 9).alias("PREDICTION"))

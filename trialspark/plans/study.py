@@ -76,7 +76,6 @@ def train_and_score(
     forest_grid=training.FOREST_GRID,
     boost_grid=training.BOOST_GRID,
     folds: int = 5,
-    orderings: int = 8,
     background_rows: int = 20,
     seed: int = 42,
 ) -> tuple[PipelineModel, dict[str, DataFrame]]:
@@ -99,9 +98,7 @@ def train_and_score(
     models.save_model(model, f"{out}/model")
     columns = ["USUBJID", *S.FEATURES]
     background = sample_subjects(train.select(columns), background_rows, seed=seed)
-    contributions = explain.shapley_contributions(
-        test.select(columns), model, background, orderings
-    )
+    contributions = explain.shapley_contributions(test.select(columns), model, background)
     return model, {
         "split_summary": split.split_summary(parts),
         "cv_results": training.cv_results(spark, searches["Random Forest"], "Random Forest")
