@@ -2,14 +2,13 @@
 
 A seed is a fixed mask over neighbouring words: positions marked 0 are ignored, so that a substituted word
 under such a position does not spoil the hash. Hashes of all seeds of the test items are joined to those of
-the documents; around every hit, document and item are laid over each other without gaps, and the longest
-stretch with enough equal words decides.
+the documents; around every hit, document and item are laid over each other without gaps. An item counts that is met
+whole, with enough equal words wherever they stand, and of a long one also a long stretch with enough equal words.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 import re
 from collections.abc import Iterator
 
@@ -23,10 +22,10 @@ from trialspark.llm.common import columns_free_of, settle
 
 #: Found by enumeration: every overlap of at least 11 words with 80% equal is hit by one of these masks.
 MASKS = ("1101111", "111010011", "11100100011", "110100111")
-MIN_OVERLAP = 13  # words; an item with fewer words must be met whole
-MIN_WORDS = 5  # items with fewer words say too little and match nothing
+MIN_OVERLAP = 13  # words; an item with no more words must be met whole
+MIN_WORDS = 5  # items with fewer words say too little and match nothing, unless asked for
+SHORT_WEIGHT = 5  # words that a mask of a whole short item compares, if the share leaves so many
 MIN_SHARE = 0.8  # of equal words in an overlap
-PAD = 32  # words kept on either side of the hits of a document
 FILTER_BITS = 26  # a filter of 2^26 bits (8 MB, whatever the number of items) goes to every task
 WORD = re.compile(r"\w+")
 CODE = np.uint64(0x9E3779B97F4A7C15)
@@ -70,7 +69,7 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return h >> np.uint64(64 - FILTER_BITS)
 
 
-def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+def _items(benchmark: DataFrame, item: str, text: str, min_words: int) -> DataFrame:
     """Distinct items (item, item_text as a number, tokens) with enough words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -82,25 +81,37 @@ def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     kind = benchmark.schema[item].dataType.simpleString()
     frame = benchmark.select(F.col(item).alias("item"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
     return frame.distinct().mapInArrow(run, f"item {kind}, version long, words array<long>").where(
-        F.size("words") >= MIN_WORDS)
+        F.size("words") >= max(1, min_words))
 
 
 def short_masks(n: int, share: float = MIN_SHARE) -> tuple[str, ...]:
-    """Masks of n positions for every way to substitute as many inner words as `share` allows, unless a fixed mask hits it."""
-    out = []
-    for gone in itertools.combinations(range(1, n - 1), min(n - 2, n - math.ceil(share * n - 1e-9))):
-        mask = "".join("0" if i in gone else "1" for i in range(n))
-        if not any(all(m == "0" or e == "1" for m, e in zip(fixed, mask[at:]))
+    """Masks of n positions that hit every way to substitute as many words as `share` allows, the first and last included.
+
+    Ways that a fixed mask hits need none. Of all masks that ignore the same number of positions, the one that hits
+    most of the ways left is taken, until none is left.
+    """
+    gone = int(n * (1 - share) + 1e-9)
+    left = set()
+    for out in itertools.combinations(range(n), gone):
+        if not any(all(m == "0" or at + i not in out for i, m in enumerate(fixed))
                    for fixed in MASKS for at in range(n - len(fixed) + 1)):
-            out.append(mask)
-    return tuple(out)
+            left.add(frozenset(out))
+    ignored = n - min(SHORT_WEIGHT, n - gone)
+    choices, masks = [frozenset(c) for c in itertools.combinations(range(n), ignored)] if left else [], []
+    while left:
+        best = max(choices, key=lambda c: sum(way <= c for way in left))
+        left = {way for way in left if not way <= best}
+        masks.append("".join("0" if i in best else "1" for i in range(n)))
+    return tuple(masks)
 
 
-def _masks_for(items: DataFrame, share: float = MIN_SHARE) -> tuple[str, ...]:
-    """The fixed masks, and the masks of whole items for each length of items shorter than the longest of them."""
-    longest = max(map(len, MASKS))
-    short = items.select(F.size("words").alias("n")).where(F.col("n") < longest).distinct().collect()  # at most 6 rows
-    return MASKS + tuple(m for n in sorted(r["n"] for r in short) for m in short_masks(n, share))
+def _masks_for(lengths: list[int], share: float = MIN_SHARE) -> tuple[str, ...]:
+    """The fixed masks, and the masks of whole items for each length up to 13.
+
+    Of an item of 14 or more words, 80% equal, at least 12 are left between the first and the last equal word, so that
+    a fixed mask hits it.
+    """
+    return MASKS + tuple(m for n in lengths if n <= MIN_OVERLAP for m in short_masks(n, share))
 
 
 def _item_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -137,8 +148,12 @@ def _filter_bits(seeds: DataFrame) -> np.ndarray:
     return out.view("u1")
 
 
-def _regions(docs: DataFrame, key: str, text: str, masks: tuple[str, ...], bits: np.ndarray) -> DataFrame:
-    """Parts of documents with possible hits: key, version, first (index of the first word), words, hits."""
+def _regions(docs: DataFrame, key: str, text: str, masks: tuple[str, ...], bits: np.ndarray, pad: int) -> DataFrame:
+    """Parts of documents with possible hits: key, version, first (index of the first word), words, hits.
+
+    pad words on either side of the hits are in the part; as many as the longest item has, so that an item laid
+    over any hit lies inside.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     kind = docs.schema[key].dataType.simpleString()
     frame = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("version"), F.col(text).alias("text"))
@@ -176,9 +191,9 @@ def _regions(docs: DataFrame, key: str, text: str, masks: tuple[str, ...], bits:
             return
         order = np.argsort(at, kind="stable")
         at, seeds, ends = at[order], seeds[order], np.maximum.accumulate(ends[order])
-        cuts = np.flatnonzero(at[1:] - ends[:-1] > 2 * PAD) + 1
+        cuts = np.flatnonzero(at[1:] - ends[:-1] > 2 * pad) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(at)]):
-            yield max(0, int(at[a]) - PAD), min(len(tokens), int(ends[b - 1]) + PAD), at[a:b], seeds[a:b]
+            yield max(0, int(at[a]) - pad), min(len(tokens), int(ends[b - 1]) + pad), at[a:b], seeds[a:b]
 
     return frame.mapInArrow(
         run, f"key {kind}, version long, first long, words array<long>, hits array<struct<at: long, seed: long>>")
@@ -200,23 +215,35 @@ def longest_overlap(equal: np.ndarray, need: int, share: float = MIN_SHARE) -> t
     return best if best and best[1] - best[0] >= need else None
 
 
+def overlap_of(equal: np.ndarray, whole: int, min_overlap: int, share: float = MIN_SHARE) -> tuple[int, int] | None:
+    """The overlap of a document with an item of `whole` words laid over it; equal tells of the positions that both have."""
+    if len(equal) == whole and equal.sum() >= share * whole - 1e-9:
+        return 0, whole
+    return longest_overlap(equal, min_overlap, share) if whole > min_overlap else None
+
+
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-    item_text: str = "text", min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE,
+    item_text: str = "text", min_overlap: int = MIN_OVERLAP, min_share: float = MIN_SHARE, min_words: int = MIN_WORDS,
 ) -> DataFrame:
     """One row per document and test item that overlap: the longest overlap of the two.
 
     Columns: key, version (xxhash64 of the text, tells apart rows with one key), item, overlap_words,
     equal_words, item_words, doc_start, item_start (in words from 0). Words are runs of letters, digits and
-    underscores, lower-cased. Null and empty texts overlap nothing, nor do items of under five words; null
-    keys stay null; repeated rows are one; of equally long overlaps the first in the document counts. Empty
-    tables give an empty result; other columns are not read. The masks reach every overlap for min_overlap from 11
-    and min_share from 0.8 up.
+    underscores, lower-cased. The overlap is the whole item if it lies over words of the document of which min_share are
+    equal; else, of an item with more than min_overlap words, the longest such stretch of min_overlap words or more that
+    begins and ends with equal words. Null and empty texts overlap nothing, nor do items of fewer than min_words words (1 to 4 words must be met
+    verbatim, where asked for); null keys stay null; repeated rows are one; of equally long overlaps the first in the document
+    counts. Empty tables give an empty result; other columns are not read. The masks reach every overlap for min_overlap
+    from 11 and min_share from 0.8 up.
     """
-    items = settle(_items(columns_free_of(benchmark, item, item_text), item, item_text), "items")
-    masks = _masks_for(items, min_share)
+    items = settle(_items(columns_free_of(benchmark, item, item_text), item, item_text, min_words), "items")
+    size = F.size("words")
+    lengths = sorted(r["n"] for r in items.select(size.alias("n")).where(size <= MIN_OVERLAP).distinct().collect())  # 13 rows at most
+    longest = items.agg(F.max(size)).first()[0] or 0
+    masks = _masks_for(lengths, min_share)
     seeds = settle(_item_seeds(items, masks), "seeds")
-    regions = settle(_regions(columns_free_of(docs, key, text), key, text, masks, _filter_bits(seeds)), "regions")
+    regions = settle(_regions(columns_free_of(docs, key, text), key, text, masks, _filter_bits(seeds), longest), "regions")
     hits = regions.select("key", "version", "first", F.explode("hits").alias("h")).select(
         "key", "version", "first", F.col("h.at").alias("at"), F.col("h.seed").alias("seed"))
     lined = hits.join(seeds.withColumnRenamed("version", "item_version"), "seed").select(
@@ -237,7 +264,7 @@ def find_contamination(
                 shift = shift.as_py() - first.as_py()  # index in words of the item's first word
                 a, b = max(0, shift), min(len(words), shift + len(other))
                 equal = words[a:b] == other[a - shift:b - shift]
-                found = longest_overlap(equal, min(min_overlap, len(other)), min_share)
+                found = overlap_of(equal, len(other), min_overlap, min_share)
                 if found:
                     row.append(r)
                     out.append((found[1] - found[0], int(equal[found[0]:found[1]].sum()), len(other),
