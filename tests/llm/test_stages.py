@@ -45,3 +45,18 @@ def test_first_stages_keep_what_plain_versions_keep(spark):
     items = [w for w in items if len(w) >= C.MIN_WORDS]
     clean = [r for r in given["decontamination"] if not any(plain_overlaps(C._tokens(r[1], codes), w) for w in items)]
     assert kept["decontamination"] == sorted(clean, key=lambda r: r[0])
+
+
+def test_stages_keep_columns_with_clashing_names(spark, tmp_path):
+    """Columns called as the stages' own ones come through unchanged; `repeats` is the mix's."""
+    names = ["__text", "__features", "__hash", "__key", "__version", "version", "fp", "size", "pattern", "repeats", "__low"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + i)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.settle(stage(spark, docs, FOLDER), name)
+    assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", *names}
+    rows = docs.collect()
+    assert len(rows) > 50
+    for r in rows:
+        assert all(r[n] == r["doc_id"] * 100 + i for i, n in enumerate(names) if n != "repeats") and 1 <= r["repeats"] <= 3

@@ -358,6 +358,42 @@ def test_mix_comes_near_its_targets(spark):
     assert M.mix_sources(df.limit(0)).count() == M.take_mix(df.limit(0)).count() == 0
 
 
+def test_equal_rows_do_not_exceed_the_mix(spark):
+    """A third of the rows are equal; the words that are taken of them are those of the mix."""
+    rows = [(i, "w " * (i % 9 + 1), "ab"[i % 2]) for i in range(60)] + [(7, "same four words here", "a")] * 30
+    df = spark.createDataFrame([(*r, 5, 1, "x") for r in rows], "doc_id long, text string, source string, repeats int, __low int, __place string")
+    planned = sum(r["size"] * r["repeats"] for r in M.mix_sources(df).collect())
+    alike = [r["repeats"] for r in M.mix_sources(df).collect() if r["doc_id"] == 7 and r["size"] == 4]
+    kept = M.take_mix(df).collect()
+    assert sum(len(r["text"].split()) * r["repeats"] for r in kept) == planned
+    assert len(set(alike)) == 2 and sorted(r["repeats"] for r in kept if "same" in r["text"]) == sorted(x for x in alike if x)
+
+
+def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_PATTERNS", 3)
+    rows = [(i, "a b", f"s{i}") for i in range(4)]
+    with pytest.raises(ValueError, match="more than 3 sources"):
+        M.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert M.mix_sources(spark.createDataFrame(rows[:3], "doc_id long, text string, source string")).count() == 3
+
+
+def test_many_sources_need_no_search():
+    n = 50_000
+    given = M.route([10] * n, [[i] for i in range(n)], [i % 40 for i in range(n)], 3)
+    assert all(g == [min(30, i % 40)] for i, g in enumerate(given))
+
+
+def test_misspelled_words_of_any_length_and_a_fresh_start(monkeypatch):
+    long_word = "abcdefghij" * 6
+    automaton = X.LexiconAutomaton([long_word, "rascal"], [])
+    assert automaton.match(long_word[:30] + long_word[31:]) == "misspelled" and automaton.match(long_word[:-3]) == ""
+    words = ["".join(random.Random(i).choices("rascalx", k=6)) for i in range(400)]
+    told = [automaton.match(w) for w in words]
+    monkeypatch.setattr(X, "KEPT_STEPS", 20)
+    again = X.LexiconAutomaton([long_word, "rascal"], [])
+    assert [again.match(w) for w in words] == told and "misspelled" in told and again.steps < 60
+
+
 def test_seeded_order_does_not_depend_on_parts(spark):
     """The parts into which documents are dealt give the same choice as one sort."""
     df = spark.createDataFrame([(i, " ".join(["w"] * (i % 9 + 1)), "ab"[i % 2]) for i in range(400)], "doc_id long, text string, source string")

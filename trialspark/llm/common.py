@@ -42,6 +42,14 @@ def columns_free_of(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in wanted])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df is called so, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest node of every connected component: (node, root) for each node of edges (a, b).
 

@@ -11,15 +11,17 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from trialspark.llm.common import settle
+from trialspark.operators.selection import CUT, cut_points
 
 MAX_REPEATS = 3
 SEED = 20_240_601
 DIGIT_BITS = 12  # documents are dealt to 2^12 parts of the seeded order, twice, before any are sorted
 BROADCAST_PATTERNS = 10_000  # tables of so many rows are broadcast; longer ones are joined as they are
+MAX_PATTERNS = 200_000  # patterns and sources come to the driver; more are refused
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,10 +47,53 @@ def capped_shares(sizes: Mapping[str | None, int], weights: Mapping[str | None,
     return target
 
 
+def bounded(table: DataFrame, most: int, what: str) -> list[Row]:
+    """All rows of a table that has `most` rows at most; one row more is an error, not a reason to cut."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}; they meet on the driver")
+    return rows
+
+
 def route(tokens: list[int], members: list[list[int]], quotas: list[int], repeats: int) -> list[list[int]]:
     """Tokens that each pattern gives to each of its sources: a cheapest flow that fills the quotas as far as can be.
 
-    The n-th reading of a pattern costs n - 1 a token. Successive cheapest paths; every path fills an edge.
+    Patterns that share no source, directly or over others, do not compete, so every such group has a flow of its own;
+    a pattern alone with one source gives what the source asks for and the pattern has.
+    """
+    group = list(range(len(tokens)))
+
+    def top(p: int) -> int:
+        while group[p] != p:
+            group[p] = group[group[p]]
+            p = group[p]
+        return p
+
+    holder: dict[int, int] = {}
+    for p, sources in enumerate(members):
+        for s in sources:
+            group[top(p)] = top(holder.setdefault(s, p))
+    groups: dict[int, list[int]] = {}
+    for p in range(len(tokens)):
+        groups.setdefault(top(p), []).append(p)
+    given: list[list[int]] = [[] for _ in tokens]
+    for patterns in groups.values():
+        if len(patterns) == 1 and len(members[patterns[0]]) == 1:
+            p = patterns[0]
+            given[p] = [min(tokens[p] * repeats, quotas[members[p][0]])]
+            continue
+        sources = sorted({s for p in patterns for s in members[p]})
+        at = {s: i for i, s in enumerate(sources)}
+        flow = cheapest_flow([tokens[p] for p in patterns], [[at[s] for s in members[p]] for p in patterns], [quotas[s] for s in sources], repeats)
+        for p, out in zip(patterns, flow):
+            given[p] = out
+    return given
+
+
+def cheapest_flow(tokens: list[int], members: list[list[int]], quotas: list[int], repeats: int) -> list[list[int]]:
+    """The flow of one group of patterns. The n-th reading of a pattern costs n - 1 a token.
+
+    Successive cheapest paths; every path fills an edge.
     """
     start, end, first_source = 0, 1, 2 + len(tokens)
     to: list[int] = []
@@ -138,13 +183,13 @@ def mix(
     """rows (key, version, sources, size) with `taken`, the times each document is read, 0 to repeats.
 
     sources is an array of source names. The patterns and their token totals come to the driver, one row for each
-    set of sources that occurs; documents never do. An empty array is in no quota and never taken.
+    set of sources that occurs and MAX_PATTERNS at most, beyond which this raises; documents never do. An empty array is in no quota and never taken.
     """
     import json
 
     rows = rows.withColumn("pattern", pattern_of(F.col("sources"))).withColumn(
         "spot", F.xxhash64(F.lit(seed), F.col(key), F.col("version")))
-    sums = {r["pattern"]: r["n"] for r in rows.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    sums = {r["pattern"]: r["n"] for r in bounded(rows.groupBy("pattern").agg(F.sum("size").alias("n")), MAX_PATTERNS, "patterns")}
     names = sorted(quotas, key=lambda s: (s is None, s or ""))
     index = {s: i for i, s in enumerate(names)}
     patterns = sorted(sums)
@@ -168,9 +213,9 @@ def mix_sources(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[int, ...] = (1, 2, 3),
     repeats: int = MAX_REPEATS, seed: int = SEED,
 ) -> DataFrame:
-    """Mix of documents with one source each: key, version, size, source_size, target, repeats.
+    """Mix of documents with one source each: key, version, of (the source), size, source_size, target, repeats.
 
-    version is xxhash64 of the text. Sources, in the order of their code points with null last, weigh the numbers of
+    version is xxhash64 of the text. More than MAX_PATTERNS sources are refused. Sources, in the order of their code points with null last, weigh the numbers of
     `cycle` in turn; their targets share all words, and none exceeds `repeats` times its source. A null or empty text
     has size 0 and is read as often as its source's rounds, which adds nothing. Null keys and repeated rows are
     documents like any other. An empty table gives an empty result; other columns are not read.
@@ -178,7 +223,7 @@ def mix_sources(
     rows = settle(docs.select(
         F.col(key), F.xxhash64(text).alias("version"), F.col(source).cast("string").alias("source"),
         word_count(text).alias("size")), "sizes")
-    sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    sizes = {r["source"]: r["n"] for r in bounded(rows.groupBy("source").agg(F.sum("size").alias("n")), MAX_PATTERNS, "sources")}
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     target = capped_shares(sizes, {s: cycle[i % len(cycle)] for i, s in enumerate(order)}, repeats)
     told = rows.sparkSession.createDataFrame(
@@ -187,13 +232,34 @@ def mix_sources(
         told = F.broadcast(told)
     mixed = mix(rows.withColumn("sources", F.array("source")), target, key, repeats, seed)
     return mixed.join(told, F.col("source").eqNullSafe(F.col("name"))).select(
-        key, "version", "size", "source_size", "target", F.col("taken").alias("repeats"))
+        key, "version", F.col("name").alias("of"), "size", "source_size", "target", F.col("taken").alias("repeats"))
 
 
 def take_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options: int) -> DataFrame:
-    """docs that the mix takes, with `repeats`, the times each is to be read."""
-    marked = mix_sources(docs, key, text, source, **options).where("repeats > 0").select(
-        F.col(key).alias("__key"), F.col("version").alias("__version"), F.col("repeats")).groupBy("__key", "__version").agg(
-        F.max("repeats").alias("repeats"))
-    same = docs[key].eqNullSafe(marked["__key"]) & (F.xxhash64(docs[text]) == marked["__version"])
-    return docs.join(marked, same).drop("__key", "__version")
+    """docs that the mix takes, with `repeats`, the times each is to be read; a column of that name is replaced.
+
+    Of rows that are equal in key, text and source some may be read once more than the others, so that the mix takes
+    no word more than planned.
+    """
+    docs = docs.drop("repeats")
+    p = "__"
+    while any(c.startswith(p) for c in docs.columns):
+        p += "_"
+    alike = mix_sources(docs, key, text, source, **options).groupBy(
+        F.col(key).alias(p + "key"), F.col("version").alias(p + "version"), F.col("of").alias(p + "of")).agg(
+        F.min("repeats").alias(p + "low"), F.max("repeats").alias("repeats"),
+        (F.sum("repeats") - F.min("repeats") * F.count("*")).cast("long").alias(p + "more"))
+    alike = settle(alike.where("repeats > 0"), "mix")
+    same = docs[key].eqNullSafe(alike[p + "key"]) & (F.xxhash64(docs[text]) == alike[p + "version"]) & (
+        docs[source].cast("string").eqNullSafe(alike[p + "of"]))
+    even = docs.join(alike.where(F.col(p + "more") == 0), same).select(*docs.columns, "repeats")
+    odd = alike.where(F.col(p + "more") > 0)  # some of their rows are read once more
+    if odd.isEmpty():
+        return even
+    split = settle(docs.join(odd, same).withColumn(p + "place", F.monotonically_increasing_id()).withColumn(
+        p + "group", F.xxhash64(p + "key", p + "version", p + "of")), "alike")
+    more = split.groupBy(p + "group").agg(F.max(p + "more").alias(p + "more"))
+    cut = cut_points(split, [p + "group"], p + "place", more, p + "more", few=False).select(p + "group", CUT)
+    told = split.join(cut, p + "group").withColumn(
+        "repeats", (F.col(p + "low") + (F.col(p + "place") < F.col(CUT)).cast("int")).cast("int")).where("repeats > 0")
+    return even.unionByName(told.select(even.columns))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import columns_free_of, connected_components, settle
+from trialspark.llm.common import columns_free_of, connected_components, free_name, settle
 
 SEED = 42  # of XXH64
 SHINGLE = 3
@@ -257,6 +257,7 @@ def keep_one(
     roots = _classes(prints, "__key", max_bits).select("fp", "root")
     first = F.min(F.struct(F.col("__key").isNull().alias("none"), "__key", "__version")).alias("b")
     chosen = prints.join(roots, "fp").groupBy("root").agg(first).select("b.__key", "b.__version").distinct()
-    marked = docs.withColumn("__hash", F.xxhash64(F.col(f"`{text}`")))
-    same = marked[f"`{key}`"].eqNullSafe(chosen["__key"]) & (marked["__hash"] == chosen["__version"])
-    return marked.join(chosen, same, "left_semi").dropDuplicates([key, "__hash"]).drop("__hash")
+    version = free_name(docs, "__hash")
+    marked = docs.withColumn(version, F.xxhash64(F.col(f"`{text}`")))
+    same = marked[f"`{key}`"].eqNullSafe(chosen["__key"]) & (marked[version] == chosen["__version"])
+    return marked.join(chosen, same, "left_semi").dropDuplicates([key, version]).drop(version)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialspark.llm.common import columns_free_of, settle
+from trialspark.llm.common import columns_free_of, free_name, settle
 from trialspark.llm.labelled import MAX_TRAIN, fold, training_rows
 
 # Common English insults that need no evidence from labels.
@@ -51,6 +51,7 @@ WINDOW = 6  # words looked at on either side of a hit
 MENTION_REACH = 3  # a reporting word stands at most so many words before the term
 STEMS = range(3, 9)  # lengths of the stems that are counted
 KEPT_WORDS = 500_000  # words a task remembers before it starts anew
+KEPT_STEPS = 500_000  # transitions of the automaton that a task remembers before it starts anew
 FEATURES = ("exact", "misspelled", "mentioned", "aimed", "density", "forms", "more_forms", "crowding")
 
 
@@ -75,9 +76,14 @@ class LexiconAutomaton:
             self._add(word, -1, "form")
         for word in stems:
             self._add(word, -1, "exact")
+        self._start()
+
+    def _start(self) -> None:
+        """Forget all states but the first; they are made anew when a word asks for them."""
         self.states = {self._close({(0, 0, "")}): 0}
         self.members = list(self.states)
         self.moves: list[dict[str, int]] = [{}]
+        self.steps = 0
 
     def _add(self, word: str, edits: int, stem: str) -> None:
         node = 0
@@ -127,6 +133,7 @@ class LexiconAutomaton:
             self.members.append(state)
             self.moves.append({})
         self.moves[at][letter] = self.states[state]
+        self.steps += 1
         return self.states[state]
 
     def match(self, word: str) -> str:
@@ -144,8 +151,10 @@ class LexiconAutomaton:
             return "exact"
         if kind:
             return kind
-        if len(word) < 4 or len(word) > 40 or word in self.exceptions:
+        if len(word) < 4 or word in self.exceptions:  # a word of 5 letters has 4 after its one edit
             return ""
+        if self.steps > KEPT_STEPS:
+            self._start()
         at = 0
         for letter in word:
             step = self.moves[at].get(letter)
@@ -194,6 +203,8 @@ class Scanner:
         low = (text or "").lower()
         words = TOKEN.findall(low)
         distinct = set(words)
+        if len(self.hits) > KEPT_WORDS:
+            self.hits = {}
         for word in distinct - self.clean:
             if word not in self.hits:
                 kind = term_kind(self.automaton, word)
@@ -231,10 +242,12 @@ class Scanner:
         )
 
 
-def with_features(docs: DataFrame, key: list[str], text: str, automaton: LexiconAutomaton) -> DataFrame:
-    """key columns and `__features`, an array of doubles, for every row."""
-    frame = docs.select(*key, F.col(f"`{text}`").alias("__text"))
-    schema = T.StructType([*frame.schema.fields[:-1], T.StructField("__features", T.ArrayType(T.DoubleType()))])
+def with_features(
+    docs: DataFrame, key: list[str], text: str, automaton: LexiconAutomaton, name: str = "__features"
+) -> DataFrame:
+    """key columns and a column of features, an array of doubles, for every row."""
+    frame = docs.select(*key, F.col(f"`{text}`").alias(name))
+    schema = T.StructType([*frame.schema.fields[:-1], T.StructField(name, T.ArrayType(T.DoubleType()))])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +262,7 @@ def with_features(docs: DataFrame, key: list[str], text: str, automaton: Lexicon
 
 def _terms(text: str) -> set[str]:
     """Words (marked =) and stems (marked ^) of a text."""
-    words = {w for w in TOKEN.findall(text.lower()) if 3 <= len(w) <= 40 and w.isalpha()}
+    words = {w for w in TOKEN.findall(text.lower()) if w.isalpha()}
     return {"=" + w for w in words} | {"^" + w[:n] for w in words for n in STEMS if len(w) >= n}
 
 
@@ -332,15 +345,15 @@ def mine_lexicon(
 
 
 class ToxicityModel:
-    """Lexicon automaton and weights of the context features."""
+    """Lexicon automaton and weights of the context features; no weight is negative, so a mention lowers no score."""
 
     def __init__(self, automaton: LexiconAutomaton, weights: list[float], intercept: float):
         self.automaton, self.weights, self.intercept = automaton, weights, intercept
 
-    def score(self) -> Column:
+    def score(self, features: str = "__features") -> Column:
         total = F.lit(self.intercept)
         for i, weight in enumerate(self.weights):
-            total = total + F.col("__features")[i] * weight
+            total = total + F.col(features)[i] * weight
         return 1 / (1 + F.exp(-total))
 
 
@@ -385,8 +398,9 @@ def drop_toxic(
     rows = training_rows(columns_free_of(docs, key, text), labels, label, held_out, key, text, max_train)
     model = fit_toxicity(rows, key)
     names = [f"`{c}`" for c in docs.columns]
-    marked = with_features(docs, names, text, model.automaton)
-    return marked.where(model.score() < threshold).select(*names)
+    features = free_name(docs, "__features")
+    marked = with_features(docs, names, text, model.automaton, features)
+    return marked.where(model.score(features) < threshold).select(*names)
 
 
 def score_toxicity(
