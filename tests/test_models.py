@@ -144,6 +144,47 @@ def test_cross_validation(spark, frame):
     assert auc > 0.6
 
 
+def test_points_that_differ_in_size_share_a_fit(spark, frame):
+    """The prefix of boosted trees is the smaller ensemble itself; its metrics equal those of a search of its own."""
+    train = split.stratified_folds(frame, folds=2)
+    grid = {"maxIter": [2, 4], "maxDepth": [2], "stepSize": [0.1], "subsamplingRate": [0.8]}
+    both = M.train_boosted_trees(train, grid, folds=2)
+    assert both.fits == 3 and [p["maxIter"] for p in both.points] == [2, 4]
+    for i, n in enumerate((2, 4)):
+        alone = M.train_boosted_trees(train, {**grid, "maxIter": [n]}, folds=2)
+        assert alone.metrics[0] == pytest.approx(both.metrics[i], abs=1e-9)
+    forests = M.train_random_forest(train, {"numTrees": [3, 6], "maxDepth": [2, 3]}, folds=2)
+    assert forests.fits == 5 and len(forests.bestModel.stages[-1].trees) in (3, 6)
+    row = M.cv_results(spark, forests, "Random Forest").where("IS_BEST = 'Y'").first()
+    assert row["MEAN_ROC_AUC"] == max(m["MEAN_ROC_AUC"] for m in forests.metrics) and row["SD_F1"] >= 0
+
+
+def test_fold_fills_equal_medians_and_modes_of_the_other_folds(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, rng.choice([None, 1.0, 2.0, 7.5, 9.0]), rng.choice([None, 1, 2, 2, 3])) for i in range(101)]
+    found = prep.fold_imputation_values(spark.createDataFrame(rows, "f int, a double, c int"), ["a"], ["c"], "f", 3)
+    for k in (None, 0, 1, 2):
+        a = [r[1] for r in rows if r[0] != k and r[1] is not None]
+        c = [r[2] for r in rows if r[0] != k and r[2] is not None]
+        assert found[k] == {"a": float(np.median(a)), "c": min(set(c), key=lambda v: (-c.count(v), v))}
+
+
+def test_grouped_metrics_equal_those_of_each_group(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.randrange(9) / 8, int(rng.random() < 0.4)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "g string, DROPOUT_PROB double, DPTN int")
+    got = {r["g"]: r.asDict() for r in E.grouped_metrics(df, ["g"]).collect()}
+    for g in "ab":
+        want = E.binary_metrics(df.where(F.col("g") == g)).first()
+        assert all(got[g][m] == pytest.approx(want[m]) for m in ("ROC_AUC", "ACCURACY", "F1"))
+
+
+def test_largest_least_gain_of_the_design_still_splits(frame):
+    most = 10 ** M.BOOST_RANGES["minInfoGain"][1]
+    model = M.refit_best(frame, M.boosted_trees(), {"maxIter": 2, "maxDepth": 3, "minInfoGain": most})
+    assert all(t.numNodes > 1 for t in model.stages[-1].trees)
+
+
 def test_importance_finds_the_drivers(spark, fitted):
     top = [r["FEATURE"] for r in M.feature_importance(spark, fitted, 4).collect()]
     assert "AENUM" in top and "COMPLPCT" in top
@@ -249,7 +290,7 @@ def test_shapley_values_equal_enumeration(spark, monkeypatch, kind):
                else GBTClassifier(labelCol="y", maxIter=5, maxDepth=3, seed=1))
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), learner]).fit(df)
     monkeypatch.setattr(trees, "CELLS", 500)
-    leaves, background = trees.model_leaves(model), [r[1:7] for r in rows[:9]]
+    leaves, background = trees.model_leaves(spark, model), [r[1:7] for r in rows[:9]]
 
     def plain(x):
         inside = leaves.masks(np.array([x]))[0] == leaves.full

@@ -68,7 +68,7 @@ def shapley_contributions(
     names = list(features)
     inputs = trees.prepared(df, model, [key])
     found = trees.leaf_shapley(
-        inputs, trees.model_leaves(model), trees.prepared(background, model, []), key, len(names))
+        inputs, trees.model_leaves(df.sparkSession, model), trees.prepared(background, model, []), key, len(names))
     own = df.select(key, F.array(*[F.col(f).cast("double") for f in names]).alias("__own"))
     records = [_record(f, F.col("__own")[j], F.col("PHI")[j]) for j, f in enumerate(names)]
     return found.join(own, key).select(key, "BASE_VALUE", "PREDICTION", F.array(*records).alias("CONTRIBUTIONS"))

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from trialspark import schema as S
 from trialspark.functions import indicator
-from trialspark.operators.quantiles import exact_median, most_frequent
+from trialspark.operators.quantiles import exact_median, median_of_counts, most_frequent
 from trialspark.operators.reshape import pivot_long
 from trialspark.operators.rows import complete_cases, population
+from trialspark.sources.workspace import settle
 
 
 def model_frame(
@@ -36,6 +37,31 @@ def imputation_values(
     return medians.unionByName(modes)
 
 
+def fold_imputation_values(
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fold: str, folds: int
+) -> dict[int | None, dict[str, float | None]]:
+    """For each fold the fills of the rows outside it, and under None those of all rows; exact medians and modes.
+
+    Values are counted once, per feature, value and fold; the counts outside a fold are all counts less its own.
+    """
+    def outside(columns: Sequence[str]) -> DataFrame:
+        long = pivot_long(df, [fold], columns).filter(F.col("VALUE").isNotNull())
+        own = [F.sum(indicator(F.col(fold) == k)).alias(f"n{k}") for k in range(folds)]
+        counts = long.groupBy("FEATURE", "VALUE").agg(F.count(F.lit(1)).alias("all"), *own)
+        parts = [F.struct(F.lit(k).alias("K"), (F.col("all") - F.col(f"n{k}")).cast("long").alias("N")) for k in range(folds)]
+        parts.append(F.struct(F.lit(-1).alias("K"), F.col("all").cast("long").alias("N")))
+        return settle(counts.select("FEATURE", "VALUE", F.explode(F.array(*parts)).alias("p")).select(
+            "FEATURE", "VALUE", "p.K", "p.N").filter(F.col("N") > 0))
+
+    medians = median_of_counts(outside(numeric), ["K", "FEATURE"], "FILL")
+    most = F.min(F.struct((-F.col("N")).alias("n"), "VALUE"))
+    modes = outside(categorical).groupBy("K", "FEATURE").agg(most["VALUE"].alias("FILL"))
+    out: dict[int | None, dict[str, float | None]] = {k: {} for k in (None, *range(folds))}
+    for r in medians.unionByName(modes).collect():  # a row per fold and feature
+        out[None if r["K"] < 0 else r["K"]][r["FEATURE"]] = r["FILL"]
+    return out
+
+
 def impute(
     df: DataFrame,
     numeric: Sequence[str] = S.NUMERIC_FEATURES,

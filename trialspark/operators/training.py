@@ -1,20 +1,30 @@
-"""Dropout model training with Spark ML: candidates, grids, cross-validation, choice."""
+"""Dropout model training with Spark ML: candidates, grids, cross-validation, choice.
+
+A search shares its fits. Grid points that differ only in the number of trees or rounds are prefixes of one ensemble,
+so each fold fits the largest of them once, and running sums of the trees' outputs give the scores of all. Rows are
+prepared once for each fold, with exact medians and modes of its training part.
+"""
 
 from __future__ import annotations
 
 import itertools
 import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trialspark import schema as S
+from trialspark.operators import trees
+from trialspark.operators.evaluate import grouped_metrics
+from trialspark.operators.prep import fold_imputation_values, imputation_values
+from trialspark.operators.reshape import union_all
 
 # Search grids. An unlimited tree depth becomes 30, the deepest Spark allows.
 FOREST_GRID = {
@@ -28,9 +38,10 @@ BOOST_GRID = {
     "maxIter": [200, 400], "maxDepth": [3, 5, 7], "stepSize": [0.05, 0.1],
     "subsamplingRate": [0.8, 1.0],
 }
-# Ranges of the space-filling boosting design (log10 for the last two).
+# Ranges of the space-filling boosting design (log10 for the last two). The least gain is not fixed: a gain
+# is here the drop in variance of residuals, at most 1 for the first tree and less later, so its range ends at 0.01.
 BOOST_RANGES = {
-    "maxIter": (100, 500), "maxDepth": (3, 7), "stepSize": (-3, -1), "minInfoGain": (-5, 0),
+    "maxIter": (100, 500), "maxDepth": (3, 7), "stepSize": (-3, -1), "minInfoGain": (-6, -2),
 }
 
 FEATURES_COL, WEIGHT_COL = "features", "WEIGHT"
@@ -68,22 +79,34 @@ def with_balanced_weights(df: DataFrame, target: str = "DPTN") -> DataFrame:
 
 
 def preparation_stages(
+    fills: Mapping[str, float | None],
     numeric: Sequence[str] = S.NUMERIC_FEATURES,
     categorical: Sequence[str] = S.CATEGORICAL_FEATURES,
     features: Sequence[str] = S.FEATURES,
 ) -> list:
-    """Impute medians and modes, then assemble. Trees need no scaling."""
+    """Fill in the given values, then assemble. Trees need no scaling."""
     def filled(names):
         return [f"{n}__filled" for n in names]
 
+    def text(value: float | None) -> str:
+        return "CAST(NULL AS DOUBLE)" if value is None else f"CAST('{float(value)!r}' AS DOUBLE)"
+
+    cells = ", ".join(
+        f"coalesce(CAST(`{n}` AS DOUBLE), {text(fills.get(n))}) AS `{f}`"
+        for n, f in zip([*numeric, *categorical], filled([*numeric, *categorical]))
+    )
     return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled(numeric),
-                relativeError=0.001),
-        Imputer(strategy="mode", inputCols=list(categorical), outputCols=filled(categorical)),
+        SQLTransformer(statement=f"SELECT *, {cells} FROM __THIS__"),
         VectorAssembler(inputCols=filled(features), outputCol=FEATURES_COL),
     ]
 
 
+def fitted_stages(train: DataFrame) -> list:
+    """Preparation with the exact medians and modes of the training rows."""
+    found = imputation_values(train, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES).collect()
+    return preparation_stages({r["FEATURE"]: r["FILL"] for r in found})
+
+
 def random_forest(target: str = "DPTN", seed: int = 42, weighted: bool = True, max_bins: int = 32):
     """Forest; numeric features are cut into at most ``max_bins`` bins at sampled quantiles."""
     forest = RandomForestClassifier(
@@ -97,19 +120,82 @@ def boosted_trees(target: str = "DPTN", seed: int = 42, max_bins: int = 32):
     return GBTClassifier(labelCol=target, featuresCol=FEATURES_COL, seed=seed, maxBins=max_bins)
 
 
-def _tune(
-    train: DataFrame, classifier, points: Sequence[Mapping], target: str, fold: str, folds: int,
-    parallelism: int, seed: int,
-) -> CrossValidatorModel:
-    maps = [{classifier.getParam(k): v for k, v in point.items()} for point in points]
-    search = CrossValidator(
-        estimator=Pipeline(stages=[*preparation_stages(), classifier]),
-        estimatorParamMaps=maps or ParamGridBuilder().build(),
-        # All distinct scores count: the default would reduce them to a thousand.
-        evaluator=BinaryClassificationEvaluator(labelCol=target, metricName="areaUnderROC", numBins=0),
-        numFolds=folds, foldCol=fold, parallelism=parallelism, seed=seed,
-    )
-    return search.fit(train)
+@dataclass(frozen=True)
+class Search:
+    """Grid points with mean and spread of their metrics over the folds, and the best refitted on all rows."""
+
+    points: list[dict]
+    metrics: list[dict[str, float]]
+    best: int
+    bestModel: PipelineModel
+    fits: int
+
+
+def _sizes(points: Sequence[Mapping], size: str, default: int) -> list[tuple[dict, dict[int, int]]]:
+    """Other settings, and for each the ensemble sizes wanted with the number of their point."""
+    out: list[tuple[dict, dict[int, int]]] = []
+    for i, point in enumerate(points):
+        rest = {k: v for k, v in point.items() if k != size}
+        for settings, sizes in out:
+            if settings == rest and point.get(size, default) not in sizes:
+                sizes[point.get(size, default)] = i
+                break
+        else:
+            out.append((rest, {point.get(size, default): i}))
+    return out
+
+
+def _search(
+    train: DataFrame, classifier, size: str, points: Sequence[Mapping], target: str, fold: str, folds: int,
+    parallelism: int, weighted: bool,
+) -> Search:
+    points = [dict(p) for p in points] or [{}]
+    forest = size == "numTrees"
+    groups = _sizes(points, size, classifier.getOrDefault(size))
+    fills = fold_imputation_values(train, S.NUMERIC_FEATURES, S.CATEGORICAL_FEATURES, fold, folds)
+    rows: list[dict] = []
+    for k in range(folds):
+        stages = preparation_stages(fills[k])
+        ready = Pipeline(stages=stages).fit(train.limit(0)).transform(train)
+        keep = [target, fold, FEATURES_COL, *([WEIGHT_COL] if weighted else [])]
+        ready = ready.select(*keep).repartition(train.sparkSession.sparkContext.defaultParallelism)
+        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+        held = ready.filter(F.col(fold) == k).select(F.col(target).alias("__y"), FEATURES_COL)
+
+        def scores(group: tuple[dict, dict[int, int]]) -> DataFrame:
+            settings, sizes = group
+            wanted = {**settings, size: max(sizes)}
+            model = classifier.copy({classifier.getParam(n): v for n, v in wanted.items()}).fit(ready.filter(F.col(fold) != k))
+            whole = PipelineModel([model])
+            cuts = sorted(sizes)
+            out = trees.prefix_scores(trees.prepared(held, whole, ["__y"]), trees.model_leaves(train.sparkSession, whole), ["__y"], cuts)
+            s = F.col("SCORES")
+            each = [
+                F.struct(F.lit(sizes[n]).alias("POINT"),
+                         (s[i] * (max(cuts) / n) if forest else 1 / (1 + F.exp(-2 * s[i]))).alias("P"))
+                for i, n in enumerate(cuts)
+            ]
+            return out.select("__y", F.explode(F.array(*each)).alias("e")).select("__y", "e.POINT", "e.P")
+
+        with ThreadPool(min(parallelism, len(groups))) as pool:
+            scored = pool.map(inheritable_thread_target(train.sparkSession)(scores), groups)
+        found = grouped_metrics(union_all(scored), ["POINT"], "__y", "P")
+        rows += [r.asDict() for r in found.collect()]  # a row per point
+        ready.unpersist()
+    metrics = []
+    for i in range(len(points)):
+        own = [r for r in rows if r["POINT"] == i]
+        told = {}
+        for m in ("ROC_AUC", "ACCURACY", "F1"):
+            values = [r[m] for r in own if r[m] is not None]
+            told[f"MEAN_{m}"] = float(np.mean(values)) if values else float("nan")
+            told[f"SD_{m}"] = float(np.std(values)) if values else float("nan")
+        metrics.append(told)
+    best = int(np.nanargmax([m["MEAN_ROC_AUC"] for m in metrics])) if any(
+        m["MEAN_ROC_AUC"] == m["MEAN_ROC_AUC"] for m in metrics) else 0
+    chosen = classifier.copy({classifier.getParam(n): v for n, v in points[best].items()})
+    model = Pipeline(stages=[*preparation_stages(fills[None]), chosen]).fit(train)
+    return Search(points, metrics, best, model, folds * len(groups) + 1)
 
 
 def train_random_forest(
@@ -121,12 +207,12 @@ def train_random_forest(
     parallelism: int = 4,
     seed: int = 42,
     balanced: bool = True,
-) -> CrossValidatorModel:
+) -> Search:
     """Random forest chosen by cross-validated ROC AUC over the grid."""
     data = with_balanced_weights(train, target) if balanced else train
-    return _tune(
-        data, random_forest(target, seed, balanced), grid_points(grid), target, fold, folds,
-        parallelism, seed,
+    return _search(
+        data, random_forest(target, seed, balanced), "numTrees", grid_points(grid), target, fold,
+        folds, parallelism, balanced,
     )
 
 
@@ -138,34 +224,27 @@ def train_boosted_trees(
     folds: int = 5,
     parallelism: int = 4,
     seed: int = 42,
-) -> CrossValidatorModel:
+) -> Search:
     """Gradient-boosted trees chosen by cross-validated ROC AUC over the grid."""
-    return _tune(
-        train, boosted_trees(target, seed), grid_points(grid), target, fold, folds, parallelism,
-        seed,
+    return _search(
+        train, boosted_trees(target, seed), "maxIter", grid_points(grid), target, fold, folds,
+        parallelism, False,
     )
 
 
-def _settings(cv: CrossValidatorModel) -> list[dict]:
-    return [
-        {p.name: v for p, v in point.items()} for point in cv.getEstimatorParamMaps()
-    ]
-
-
-def cv_results(spark: SparkSession, cv: CrossValidatorModel, model: str) -> DataFrame:
-    """One row per grid point: settings as JSON text, mean AUC, and whether it is the best."""
-    best = int(np.argmax(cv.avgMetrics))
+def cv_results(spark: SparkSession, search: Search, model: str) -> DataFrame:
+    """One row per grid point: settings as JSON text, mean and spread of three metrics, and whether it is the best."""
+    names = [f"{s}_{m}" for m in ("ROC_AUC", "ACCURACY", "F1") for s in ("MEAN", "SD")]
     rows = [
-        (model, i, json.dumps(point, sort_keys=True), float(auc), "Y" if i == best else "N")
-        for i, (point, auc) in enumerate(zip(_settings(cv), cv.avgMetrics))
+        (model, i, json.dumps(point, sort_keys=True), *(told[n] for n in names), "Y" if i == search.best else "N")
+        for i, (point, told) in enumerate(zip(search.points, search.metrics))
     ]
-    return spark.createDataFrame(
-        rows, "MODEL string, POINT int, SETTINGS string, MEAN_AUC double, IS_BEST string"
-    )
+    columns = ", ".join(f"{n} double" for n in names)
+    return spark.createDataFrame(rows, f"MODEL string, POINT int, SETTINGS string, {columns}, IS_BEST string")
 
 
-def best_settings(cv: CrossValidatorModel) -> dict:
-    return _settings(cv)[int(np.argmax(cv.avgMetrics))]
+def best_settings(search: Search) -> dict:
+    return search.points[search.best]
 
 
 def refit_best(
@@ -174,7 +253,7 @@ def refit_best(
     """Fit one specification on all training rows."""
     data = with_balanced_weights(train, target) if weighted else train
     chosen = classifier.copy({classifier.getParam(k): v for k, v in settings.items()})
-    return Pipeline(stages=[*preparation_stages(), chosen]).fit(data)
+    return Pipeline(stages=[*fitted_stages(train), chosen]).fit(data)
 
 
 def feature_importance(
