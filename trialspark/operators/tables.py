@@ -15,6 +15,7 @@ from trialspark.functions import indicator, iso_date, recode, treatment_emergent
 from trialspark.operators.quantiles import median_of_counts, value_counts
 from trialspark.operators.reshape import pivot_long, union_all
 from trialspark.operators.skew import same
+from trialspark.sources.workspace import settle
 
 
 def _rate(flag: str = "DPTFL"):
@@ -153,19 +154,22 @@ def teae_by_term(
 
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     """Two-way counts with overall, row and column percentages; null levels are left out."""
-    cells = (
+    cells = settle(
         df.filter(F.col(row).isNotNull() & F.col(column).isNotNull())
         .groupBy(row, column)
         .agg(F.count(F.lit(1)).alias("N"))
     )
 
-    def percent(*within: str):
-        # Windows over the cells: one row per pair of levels, however long the data.
-        return F.col("N") * 100.0 / F.sum("N").over(Window.partitionBy(*within))
+    share = F.col("N") * 100.0
+
+    def within(level: str):
+        return share / F.sum("N").over(Window.partitionBy(level))
 
+    # The total is one number, not a window that would bring all cells into one task.
+    whole = cells.agg(F.sum("N").alias("n")).scalar()
     return cells.select(
-        row, column, "N", percent().alias("PCT"), percent(row).alias("PCT_ROW"),
-        percent(column).alias("PCT_COL"),
+        row, column, "N", (share / whole).alias("PCT"), within(row).alias("PCT_ROW"),
+        within(column).alias("PCT_COL"),
     )
 
 
