@@ -372,6 +372,26 @@ def load_model(t: OrderTrial) -> DataFrame:
     return scored.select("USUBJID", "DROPOUT_PROB", "DROPOUT_PREDICTED", "RISK_TIER")
 
 
+@query(
+    "scored_stream_model",
+    f"""SELECT count(*) AS N, 0.0::DOUBLE AS GAP, 0::BIGINT AS OTHER_TIER
+    FROM ({TEST_SQL}) WHERE PART = 'test' AND {range_sql()} = ''""",
+)
+def scored_stream_model(t: OrderTrial) -> DataFrame:
+    """Test subjects streamed from a folder and scored by the fitted forest, held against their scores in batch."""
+    train, test = parts(t)
+    model, rows = forest(train), test.select("USUBJID", *S.FEATURES)
+    arrivals = stream.read_stream(t.spark, write_domain(rows, shared_folder(t.spark, "arrivals")), rows.schema)
+    out = shared_folder(t.spark, "scores")
+    stream.write_scores(
+        stream.scored_stream(arrivals, model), out, shared_folder(t.spark, "scoring-state")).awaitTermination()
+    told = read_domain(t.spark, out).select("USUBJID", F.col("DROPOUT_PROB").alias("P"), F.col("RISK_TIER").alias("T"))
+    return told.join(score(rows, model), "USUBJID").agg(
+        F.count(F.lit(1)).alias("N"),
+        F.coalesce(F.max(F.abs(F.col("P") - F.col("DROPOUT_PROB"))), F.lit(0.0)).alias("GAP"),
+        F.count(F.when(F.col("T") != F.col("RISK_TIER"), 1)).alias("OTHER_TIER"))
+
+
 @query("model_record")
 def model_record(t: OrderTrial) -> DataFrame:
     """Register row of the better of two models, appended to a table and read back."""
