@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from trialspark import schema as S
 from trialspark.functions import normalise_term
+from trialspark.sources.csv_records import read_csv
 from trialspark.sources.workspace import shared_folder  # noqa: F401
 
 # Missing text is written as \\N and empty text as "", so both come back as they were; spaces at either end,
@@ -26,17 +27,21 @@ RISK_COLUMNS = [
 
 
 def read_domain(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str | None = None,
+    whole_files: bool = False,
 ) -> DataFrame:
     """Typed dataset from CSV (with header; a schema is required) or Parquet.
 
-    CSV is read as ``write_domain`` writes it; a value that does not fit its type is an error. Texts may
-    hold line breaks, so one task reads a whole CSV file.
+    CSV is read as ``write_domain`` writes it; a value that does not fit its type is an error. Texts may hold line
+    breaks, and many tasks read one file. That needs quotes to come in pairs, as in every file where texts with
+    quotes are quoted; ``whole_files`` reads others, and files whose lines end by a carriage return alone, one task a file.
     """
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
         if schema is None:
             raise ValueError("a CSV dataset needs a declared schema")
+        if not whole_files:
+            return read_csv(spark, path, schema, CSV_FORMAT)
         reader = spark.read.options(**CSV_FORMAT, enforceSchema=False, multiLine=True, mode="FAILFAST")
         return reader.schema(schema).csv(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
