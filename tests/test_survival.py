@@ -108,3 +108,49 @@ def test_likelihood_ratio(spark):
     want = 2 * (2 * math.log(2 / 4) + math.log(1 / 8) - 3 * math.log(3 / 12))
     assert (row["CHISQ"], row["DF"]) == (pytest.approx(want), 1)
     assert V.likelihood_ratio_test(df.filter("TRT01P = 'A'"), ["A", "B"]).first()["CHISQ"] is None
+
+
+def test_quartile_limits_and_mean_by_hand(spark):
+    # A: events at 1, 2, 4, 5, one censored at 3 and one at 6. B: all have the event. C: no event. D: a single one.
+    rows = [("A", 1, 1), ("A", 2, 1), ("A", 3, 0), ("A", 4, 1), ("A", 5, 1), ("A", 6, 0),
+            ("B", 2, 1), ("B", 2, 1), ("B", 6, 1), ("C", 9, 0), ("D", 3, 1), ("D", 5, 0), ("A", None, 1)]
+    df = spark.createDataFrame(rows, "TRT01P string, DAYS int, EVENT int")
+    got = {r["TRT01P"]: r for r in V.restricted_mean(df).collect()}
+    s = [5 / 6, 4 / 6, 4 / 9, 2 / 9]  # after 1, 2, 4, 5
+    areas = [s[0] + 2 * s[1] + s[2], 2 * s[1] + s[2], s[2], 0]  # from each event to 5
+    var = 4 / 3 * sum(a * a / (n * (n - 1)) for a, n in zip(areas, [6, 5, 3, 2]))
+    assert got["A"]["UNTIL"] == 5 and got["A"]["MEAN"] == pytest.approx(1 + areas[0])
+    assert got["A"]["SE"] == pytest.approx(math.sqrt(var))
+    assert got["B"]["MEAN"] == pytest.approx((2 + 2 + 6) / 3)  # without censoring the plain mean
+    assert got["B"]["SE"] == pytest.approx(math.sqrt(3 / 2 * (4 / 3) ** 2 * 2 / (3 * 1)))
+    assert (got["C"]["MEAN"], got["D"]["MEAN"], got["D"]["SE"]) == (None, 3.0, None)
+
+    def end(s, g, sign):
+        return s ** math.exp(sign * 1.959963984540054 * math.sqrt(g) / abs(math.log(s)))
+
+    g = np.cumsum([1 / (n * (n - 1)) for n in (6, 5, 3, 2)])
+    times = [1, 2, 4, 5]
+    limits = {(r["TRT01P"], r["PERCENT"]): r for r in V.survival_quartiles(df).collect()}
+    assert len(limits) == 12
+    for percent, left in ((25, 0.75), (50, 0.5), (75, 0.25)):
+        first = lambda values: next((t for t, v in zip(times, values) if v <= left), None)
+        row = limits["A", percent]
+        assert row["ESTIMATE"] == first(s)
+        assert row["LOWER"] == first([end(x, v, 1) for x, v in zip(s, g)])
+        assert row["UPPER"] == first([end(x, v, -1) for x, v in zip(s, g)])
+        assert all(limits["C", percent][c] is None for c in ("ESTIMATE", "LOWER", "UPPER"))
+    assert (limits["B", 50]["ESTIMATE"], limits["B", 50]["UPPER"]) == (2, None)
+
+
+def test_mean_is_the_same_when_strata_are_split(spark):
+    rows = [("A", i % 97, int(i % 3 > 0)) for i in range(400)] + [("B", i % 31, int(i % 2 > 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "TRT01P string, DAYS int, EVENT int")
+    whole = sorted(map(tuple, V.restricted_mean(df).collect()))
+    parted = sorted(map(tuple, V.restricted_mean(df, min_rows=10, slices=8).collect()))
+    assert [x[:2] for x in whole] == [x[:2] for x in parted]
+    assert np.allclose([x[2:] for x in whole], [x[2:] for x in parted])
+
+
+def test_no_rows_give_no_quartiles_and_no_mean(spark):
+    none = spark.createDataFrame([], "TRT01P string, DAYS int, EVENT int")
+    assert V.restricted_mean(none).collect() == [] and V.survival_quartiles(none).collect() == []

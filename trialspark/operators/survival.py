@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -105,6 +106,59 @@ def survival_summary(
     )
 
 
+def survival_quartiles(
+    df: DataFrame, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P", level: float = 0.95, **limits
+) -> DataFrame:
+    """Quartiles of the survival time per stratum with confidence limits: PERCENT, ESTIMATE, LOWER, UPPER.
+
+    The limits are the first times at which the lower and the upper end of the log-log band of the curve are at most
+    0.75, 0.5 or 0.25. The band exists where survival is below 1 and has a standard error. What is not reached is null.
+    """
+    z = NormalDist().inv_cdf(0.5 + level / 2)
+    s = F.col("SURVIVAL")
+    width = F.exp(F.lit(z) * F.col("SE") / (s * F.abs(F.log(s))))
+    banded = km_curve(df, time, event, stratum, **limits).withColumns(
+        {"__low": F.when(s < 1, F.pow(s, width)), "__high": F.when(s < 1, F.pow(s, 1 / width))})
+    percents = {25: 0.75, 50: 0.5, 75: 0.25}
+    curves = {"ESTIMATE": "SURVIVAL", "LOWER": "__low", "UPPER": "__high"}
+    wide = banded.groupBy(stratum).agg(*[
+        F.min(F.when(F.col(c) <= left + 1e-12, F.col(time))).alias(f"__{name}{p}")
+        for p, left in percents.items() for name, c in curves.items()
+    ])
+    rows = F.array(*[
+        F.struct(F.lit(p).alias("PERCENT"), *[F.col(f"__{name}{p}").alias(name) for name in curves]) for p in percents
+    ])
+    return wide.select(stratum, F.explode(rows).alias("r")).select(stratum, "r.*")
+
+
+def restricted_mean(
+    df: DataFrame, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P", **limits
+) -> DataFrame:
+    """Mean survival time per stratum up to its last event: UNTIL, MEAN, SE.
+
+    The area under the curve, and the standard error with the factor events / (events - 1). Both come from one running
+    total of time times drop: the area right of an event is what that total still gains, plus what is left at the end,
+    minus time times survival there. Without an event the mean is null, with a single one the standard error.
+    """
+    d, n, s, t = (F.col(c).cast("double") for c in ("N_EVENT", "N_RISK", "SURVIVAL", time))
+    events = km_curve(df, time, event, stratum, **limits).filter("N_EVENT > 0")
+    # Events that leave nobody at risk end the curve; the rest of the mass falls there.
+    falls = events.withColumn("__fall", F.when(n > d, s * d / (n - d) * t).otherwise(F.lit(0.0)))
+    summed = running(falls, [stratum], time, {"__upto": F.col("__fall")}, group_totals={"__all": "__upto"}, **limits)
+    ends = settle(events.groupBy(stratum).agg(
+        F.max(time).alias("UNTIL"), F.coalesce(F.min(F.when(n > d, s)), F.lit(1.0)).alias("__left"),
+        F.sum("N_EVENT").alias("__events")))
+    left = F.col("__left") * F.col("UNTIL")
+    area = F.col("__all") - F.col("__upto") + left - t * s
+    told = summed.join(ends, stratum).groupBy(stratum, "UNTIL", "__left", "__events", "__all").agg(
+        F.sum(F.when(n > d, area * area * d / (n * (n - d)))).alias("__var"))
+    factor = F.try_divide(F.col("__events").cast("double"), F.col("__events") - 1.0)
+    known = told.select(stratum, "UNTIL", (F.col("__all") + left).alias("MEAN"),
+                        F.sqrt(F.coalesce("__var", F.lit(0.0)) * factor).alias("SE"))
+    strata = _complete(df, time, event, stratum).select(stratum).distinct()
+    return strata.join(known, stratum, "left")
+
+
 def likelihood_ratio_test(
     df: DataFrame, strata: Sequence, time: str = "DAYS", event: str = "EVENT", stratum: str = "TRT01P"
 ) -> DataFrame:

@@ -55,6 +55,42 @@ def survival_summary(t: OrderTrial) -> DataFrame:
     return V.survival_summary(_input(t))
 
 
+BANDED = (
+    KM_INPUT
+    + """, steps AS (SELECT TRT01P, DAYS, count(*) AS n, sum(EVENT) AS d FROM km GROUP BY TRT01P, DAYS),
+    risk AS (SELECT *, sum(n) OVER (PARTITION BY TRT01P ORDER BY DAYS DESC) AS r FROM steps),
+    curve AS (SELECT *, product((r - d) / CAST(r AS DOUBLE)) OVER w AS s,
+      sum(d / nullif(CAST(r AS DOUBLE) * (r - d), 0)) OVER w AS g, bool_or(r = d) OVER w AS dead
+      FROM risk WINDOW w AS (PARTITION BY TRT01P ORDER BY DAYS))"""
+)
+
+
+@query(
+    "survival_quartiles",
+    BANDED
+    + """, band AS (SELECT *, CASE WHEN s < 1 AND NOT dead THEN exp(1.959963984540054 * sqrt(g) / abs(ln(s))) END AS w FROM curve),
+    levels(PERCENT, keep) AS (VALUES (25, 0.75), (50, 0.5), (75, 0.25))
+    SELECT TRT01P, CAST(PERCENT AS INTEGER) AS PERCENT, min(DAYS) FILTER (WHERE s <= keep + 1e-12) AS ESTIMATE,
+    min(DAYS) FILTER (WHERE pow(s, w) <= keep + 1e-12) AS LOWER, min(DAYS) FILTER (WHERE pow(s, 1 / w) <= keep + 1e-12) AS UPPER
+    FROM band CROSS JOIN levels GROUP BY TRT01P, PERCENT""",
+)
+def survival_quartiles(t: OrderTrial) -> DataFrame:
+    return V.survival_quartiles(_input(t))
+
+
+@query(
+    "restricted_mean",
+    BANDED
+    + """, events AS (SELECT *, lead(DAYS) OVER w AS following FROM curve WHERE d > 0 WINDOW w AS (PARTITION BY TRT01P ORDER BY DAYS)),
+    areas AS (SELECT *, coalesce(sum(s * (following - DAYS)) OVER (PARTITION BY TRT01P ORDER BY DAYS DESC), 0) AS a FROM events)
+    SELECT TRT01P, max(DAYS) AS UNTIL, round(min(DAYS) + max(a), 5) AS MEAN,
+    round(sqrt(coalesce(sum(a * a * d / nullif(CAST(r AS DOUBLE) * (r - d), 0)), 0) * sum(d) / nullif(sum(d) - 1, 0)), 5) AS SE
+    FROM areas GROUP BY TRT01P""",
+)
+def restricted_mean(t: OrderTrial) -> DataFrame:
+    return round_numeric(V.restricted_mean(_input(t)), 5)
+
+
 @query(
     "likelihood_ratio_test",
     KM_INPUT
