@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trialspark.llm import decontaminate as C, simhash as S, substring as B
 from trialspark.llm.common import connected_components
@@ -312,7 +313,7 @@ def plain_repeats(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_segments": 1, "shard_words": 50}])
+@pytest.mark.parametrize("options", [{}, {"hot_segments": 1, "shard_words": 50}, {"hot_segments": 2}, {"hot_segments": 4}])
 def test_repeated_passages(spark, options):
     rng = random.Random(9)
     window = 13
@@ -332,6 +333,41 @@ def test_repeated_passages(spark, options):
     assert got == plain_repeats(rows, window) and any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("limit", [1, 2, 29, 30, 2000])
+def test_common_core_with_many_repeated_surroundings(spark, limit):
+    """30 different passages hold one common line; each stands in two or three documents, in part or whole."""
+    rng = random.Random(4)
+    window, line = 20, some_words(rng, 12, "k")
+    rows = []
+    for p in range(30):
+        passage = some_words(rng, 15, "abcdefgh") + line + some_words(rng, 15, "abcdefgh")
+        for copy in range(2 + p % 2):
+            a, b = rng.randint(0, 10), rng.randint(32, 42)
+            rows.append((len(rows), " ".join(some_words(rng, 6, "xyz") + passage[a:b] + some_words(rng, 6, "xyz"))))
+    rng.shuffle(rows)
+    docs = docs_of(spark, rows)
+    got = B.remove_repeats(docs, window=window, hot_segments=limit)
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got.collect())
+    assert got == plain_repeats(rows, window) and sum(r[2] > 0 for r in got) >= 30
+
+
+def test_windows_of_a_crowded_core_are_dealt_apart(spark):
+    rng = random.Random(5)
+    line = [f"l{i}" for i in range(12)]
+    bodies = [" ".join([f"a{i}", f"b{i}", *line, f"c{i}"]).encode() for i in range(50)]
+    one = spark.createDataFrame([(9, i, 2, 0, 1, bytearray(b)) for i, b in enumerate(bodies)],
+                                "core long, part long, part_windows long, first long, last long, body binary")
+    crowded = B._crowded(one, 49, "part")
+    assert crowded.where("hot").count() == 50 and B._crowded(one, 50, "part").where("hot").count() == 0
+    each = B._windows(crowded, 14)
+    assert each.count() == 100 and each.select("mark").distinct().count() == 100
+    assert {bytes(r["body"]) for r in each.where("place = 1").collect()} == {b.split(b" ", 1)[1] for b in bodies}
+    told = sorted(tuple(r) for r in B._told(one, 14, 100, 49).collect())
+    assert told == sorted(tuple(r) for r in B._told(one, 14, 100, 50).select("core", "part", "part_windows", "from", "to", "least").withColumn(
+        "from", F.explode(F.sequence("from", F.col("to") - 1))).withColumn("to", F.col("from") + 1).collect())
+    assert len(told) == 100
+
+
 def test_backward_search_against_counting():
     rng = random.Random(6)
     pieces = [np.array([rng.randint(1, 3) for _ in range(rng.randint(4, 30))]) for _ in range(25)]

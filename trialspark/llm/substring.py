@@ -23,9 +23,10 @@ from trialspark.llm.common import settle
 WINDOW = 50
 CORE = 12  # words of a core
 LONGEST_RUN = 64  # windows of a segment
-HOT_SEGMENTS = 2_000  # a core with more distinct segments is cut to its repeated windows before it is indexed
+HOT_SEGMENTS = 2_000  # a core with more distinct segments is cut to its repeated windows, one with more runs of these to windows
 SHARD_WORDS = 300_000  # words of one index
 FILTER_BITS = 26  # 8 MB, whatever the size of the corpus
+SALTS = 32  # tasks over which the rows of one core are spread where hot cores are marked
 LAST = (1 << 63) - 1  # stands for a null document id, which is larger than all others
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -251,6 +252,18 @@ def _bodies(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         run, "core long, content long, windows long, first long, last long, body binary, marks array<long>")
 
 
+def _crowded(rows: DataFrame, limit: int, content: str) -> DataFrame:
+    """rows with hot: whether their core has more than `limit` of them.
+
+    The table of hot cores is at most SALTS / limit of the rows, so a copy for each salt costs little, and no task
+    gets all rows of a core.
+    """
+    hot = rows.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(
+        "core", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hot"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(content), F.lit(SALTS)).cast("int"))
+    return salted.join(hot, ["core", "salt"], "left").drop("salt").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
 def _trim(hot: DataFrame, window: int) -> DataFrame:
     """Hot segments cut to runs of windows whose hash stands in more than one document.
 
@@ -280,11 +293,49 @@ def _trim(hot: DataFrame, window: int) -> DataFrame:
     return hot.drop("marks").join(kept, keys).mapInArrow(run, f"{longs}, body binary")
 
 
+def _windows(runs: DataFrame, window: int) -> DataFrame:
+    """Every window of the runs: core, part, part_windows, first, last of the run; place, mark (a hash), body of the window."""
+    names = ["core", "part", "part_windows", "first", "last", "place", "mark", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, n = r["body"].split(), r["part_windows"]
+                marks = hasher.groups(hasher.prefix(words), np.arange(n), window).view("i8")
+                columns = [pa.array(np.full(n, r[k]), pa.int64()) for k in names[:5]]
+                bodies = pa.array([b" ".join(words[i:i + window]) for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n)), pa.array(marks), bodies], names=names)
+
+    return runs.select(*names[:5], "body").mapInArrow(run, ", ".join(f"{n} long" for n in names[:7]) + ", body binary")
+
+
+def _told(one: DataFrame, window: int, shard_words: int, hot_segments: int) -> DataFrame:
+    """core, part, part_windows, from, to, least of distinct runs.
+
+    Cores that still have many runs are cut to single windows, which are dealt by their own hash: equal windows meet,
+    and no shard has to hold a whole core.
+    """
+    one = settle(_crowded(one, hot_segments, "part"), "runs")
+    names, back = {"part": "content", "part_windows": "windows"}, {"content": "part", "windows": "part_windows"}
+    told = _searched(one.where(~F.col("hot")).withColumnsRenamed(names), window, shard_words).withColumnsRenamed(back)
+    many = one.where("hot")
+    if many.isEmpty():
+        return told
+    each = settle(_windows(many, window), "windows")
+    alone = each.groupBy("core", "mark").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body"))
+    pieces = alone.withColumnsRenamed({"core": "content", "mark": "core"}).withColumn("windows", F.lit(1).cast("long"))
+    found = _searched(pieces, window, shard_words).select(
+        F.col("content").alias("core"), F.col("core").alias("mark"), "least")
+    return told.unionByName(each.drop("body").join(found, ["core", "mark"]).select(
+        "core", "part", "part_windows", F.col("place").alias("from"), (F.col("place") + 1).alias("to"), "least"))
+
+
 def _searched(pieces: DataFrame, window: int, shard_words: int) -> DataFrame:
     """Runs of windows and the smallest document that has them: core, content, windows, from, to, least.
 
-    pieces: core, content, windows, first, last, body. All pieces of a core meet in one shard; a shard's index is
-    searched by all its pieces.
+    pieces: core, content, windows, first, last, body. All pieces of a core meet in one shard, `hot_segments` at most;
+    a shard's index is searched by all its pieces.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -334,8 +385,7 @@ def repeated_words(
     keys = ["core", "content", "windows"]
     distinct = found.groupBy(*keys).agg(F.min(F.struct("doc", "version", "start")).alias("at"), F.max("doc").alias("last"))
     distinct = settle(distinct.select(*keys, "at.doc", "at.version", "at.start", "last"), "distinct")
-    hot = distinct.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > hot_segments).select("core", F.lit(True).alias("hot"))
-    wanted = distinct.join(hot, "core", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = _crowded(distinct, hot_segments, "content")
     bodies = settle(_bodies(texts, wanted, window), "bodies")
     answers = _searched(bodies.where(F.col("marks").isNull()), window, shard_words)
     many = bodies.where(F.col("marks").isNotNull())
@@ -343,8 +393,7 @@ def repeated_words(
         parts = settle(_trim(many, window), "parts")
         one = parts.groupBy("core", "part", "part_windows").agg(
             F.min("first").alias("first"), F.max("last").alias("last"), F.min("body").alias("body"))
-        told = _searched(one.withColumnsRenamed({"part": "content", "part_windows": "windows"}), window, shard_words)
-        told = told.withColumnsRenamed({"content": "part", "windows": "part_windows"})
+        told = _told(one, window, shard_words, hot_segments)
         answers = answers.unionByName(parts.select(*keys, "place", "part", "part_windows").join(
             told, ["core", "part", "part_windows"]).select(
             *keys, (F.col("from") + F.col("place")).alias("from"), (F.col("to") + F.col("place")).alias("to"), "least"))
