@@ -45,6 +45,18 @@ def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP4_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+led AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS least FROM payloads)
+SELECT page_id, strlen(html) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (
+    (CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least THEN least END AS refers_to
+FROM led
+"""
+
+
 def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations and one whose texts hold the marks of another template."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -282,6 +294,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {
-    "op5_chat": OP5_SQL, "op10_topk": OP10_SQL, "op11_phrases": OP11_SQL, "op12_sharding": OP12_SQL,
+    "op4_warc": OP4_SQL, "op5_chat": OP5_SQL, "op10_topk": OP10_SQL, "op11_phrases": OP11_SQL, "op12_sharding": OP12_SQL,
     "op13_spelling": OP13_SQL,
 }
