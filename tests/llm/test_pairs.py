@@ -314,7 +314,8 @@ def plain_repeats(rows, window):
 
 
 @pytest.mark.parametrize("options", [{}, {"hot_segments": 1, "shard_words": 50}, {"hot_segments": 2}, {"hot_segments": 4}])
-def test_repeated_passages(spark, options):
+def test_repeated_passages(spark, monkeypatch, options):
+    monkeypatch.setattr(B, "HOT_WINDOWS", options.get("hot_segments", 256))
     rng = random.Random(9)
     window = 13
     passage, line = some_words(rng, 40), some_words(rng, 5)

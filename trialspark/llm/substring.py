@@ -26,7 +26,8 @@ LONGEST_RUN = 64  # windows of a segment
 HOT_SEGMENTS = 2_000  # a core with more distinct segments is cut to its repeated windows, one with more runs of these to windows
 SHARD_WORDS = 300_000  # words of one index
 FILTER_BITS = 26  # 8 MB, whatever the size of the corpus
-SALTS = 32  # tasks over which the rows of one core are spread where hot cores are marked
+HOT_WINDOWS = 256  # a window in more segments of a hot core is common
+SALTS = 32  # tasks over which the rows of one hot core, or with one common window, are spread
 LAST = (1 << 63) - 1  # stands for a null document id, which is larger than all others
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -273,8 +274,14 @@ def _trim(hot: DataFrame, window: int) -> DataFrame:
     """
     keys = ["core", "content", "windows"]
     each = hot.select(*keys, "first", "last", F.posexplode("marks").alias("place", "mark"))
-    often = each.groupBy("core", "mark").agg(F.min("first").alias("a"), F.max("last").alias("b")).where("a < b").select("core", "mark")
-    kept = each.join(often, ["core", "mark"]).groupBy(*keys).agg(F.sort_array(F.collect_list("place")).alias("places"))
+    counted = each.groupBy("core", "mark").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.count("*").alias("n"))
+    often = counted.where("a < b").select("core", "mark", F.expr(f"n > {HOT_WINDOWS}").alias("common"))
+    # Rows with a common window first, spread over salts, so that no task gets all of them; then the others.
+    common = often.where("common").select("core", "mark", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "common")
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("content", "place"), F.lit(SALTS)).cast("int"))
+    told = salted.join(common, ["core", "mark", "salt"], "left")
+    rest = told.where("common is null").drop("common").join(often.where("not common"), ["core", "mark"])
+    kept = told.where("common").unionByName(rest).groupBy(*keys).agg(F.sort_array(F.collect_list("place")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
