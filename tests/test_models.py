@@ -354,3 +354,52 @@ def test_levels_gather_no_set_in_one_buffer(spark, monkeypatch):
     assert known == {"B": ["t0", "t1"], "A": [0, 1, 2], "C": [0.0, 1.0, 2.0, 3.0], "D": []}
     assert len(prep.levels(spark.createDataFrame([(float("nan"),), (1.0,)], "C double"), ["C"])["C"]) == 2
     assert prep.dummy_encode(df, ["B", "A"]).columns == ["C", "D", "B_t1", "A_1", "A_2"]
+
+
+def test_scores_by_leaf_numbers_equal_those_by_bounds(spark, frame):
+    """For prefixes of a forest and of boosted trees, bit for bit."""
+    for classifier, settings, cuts in (
+            (M.random_forest(weighted=False), {"numTrees": 7, "maxDepth": 12, "cacheNodeIds": True}, [2, 7]),
+            (M.boosted_trees(), {"maxIter": 5, "maxDepth": 3}, [1, 3, 5])):
+        model = M.refit_best(frame, classifier, settings)
+        want = trees.prefix_scores(trees.prepared(frame, model, ["USUBJID"]), trees.model_leaves(spark, model), ["USUBJID"], cuts)
+        got = trees.model_prefix_scores(frame, model, ["USUBJID"], cuts)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_search_scores_without_a_look_at_every_leaf(frame, monkeypatch):
+    monkeypatch.setattr(trees, "prefix_scores", None)
+    monkeypatch.setattr(trees, "model_leaves", None)
+    found = M.train_random_forest(split.stratified_folds(frame, folds=2), {"numTrees": [3], "maxDepth": [2, 12]}, folds=2)
+    assert found.fits == 5 and all(m["MEAN_ROC_AUC"] > 0.5 for m in found.metrics)
+
+
+def test_folds_of_small_tables_are_fitted_side_by_side(frame, monkeypatch):
+    """Both folds and the refit meet at a barrier, which one at a time would never do."""
+    import threading
+
+    together, whole = threading.Barrier(3, timeout=120), M.GBTClassifier.fit
+    monkeypatch.setattr(M.GBTClassifier, "fit", lambda self, rows, *more: (together.wait(), whole(self, rows, *more))[1])
+    found = M.train_boosted_trees(split.stratified_folds(frame, folds=2), [{"maxIter": 2, "maxDepth": 2}], folds=2)
+    assert found.fits == 3 and found.best == 0
+
+
+def test_rows_of_a_fit_are_dealt_to_enough_tasks(spark, monkeypatch):
+    assert M.tasks_for(1_000, 12) == 12 and M.tasks_for(4_000_000, 12) == 24
+    assert M.tasks_for(48_000, 12, True) == 2 and M.tasks_for(4_000_000, 12, True) == 24 and M.tasks_for(0, 12, True) == 1
+    monkeypatch.setattr(M, "ROWS_A_TASK", 100)
+    few, many = spark.range(90).coalesce(1), spark.range(5_000).coalesce(1)
+    assert M.spread(few) is few
+    sizes = [len(p) for p in M.spread(many).rdd.glom().collect()]
+    assert sum(sizes) == 5_000 and max(sizes) <= 100
+
+
+def test_shapley_values_of_deep_trees_sum_to_prediction(spark, frame):
+    """Too many bits for one table of all cells: each batch works off its own."""
+    deep = M.refit_best(frame, M.random_forest(), {"numTrees": 20, "maxDepth": 14}, weighted=True)
+    leaves = trees.model_leaves(spark, deep)
+    assert len(leaves) << len(leaves.feature) > trees.CELLS
+    found = trees.leaf_shapley(
+        trees.prepared(frame.limit(20), deep, ["USUBJID"]), leaves, trees.prepared(frame.limit(3), deep, []), "USUBJID", len(S.FEATURES))
+    for r in found.collect():
+        assert r["BASE_VALUE"] + sum(r["PHI"]) == pytest.approx(r["PREDICTION"])
