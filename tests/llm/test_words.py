@@ -161,3 +161,23 @@ def test_spelling_forms(spark, monkeypatch, group_words, block_cells):
 def test_spelling_of_empty_tables(spark):
     assert S.spelling_forms(docs_of(spark, [])).collect() == []
     assert S.spelling_forms(docs_of(spark, [(1, "seldom heard words", None)])).collect() == []
+
+
+def test_phrase_whose_part_was_a_false_hit_before(spark):
+    """The pass before hit `a b` and `b c` in its filter, but not the word `a`: it never came to count `a b c`."""
+    a, b, c = (P.np.uint64(int.from_bytes(x * 8, "big")) for x in (b"\x11", b"\x55", b"\x99"))
+    word = P.np.array([a, b, c, 0], "u8")
+    ab, bc = P._longer(word[:1], word[1:2]), P._longer(word[1:2], word[2:3])
+
+    def filter_of(*hashes):
+        bits = P.np.zeros(1 << (P.FILTER_BITS - 3), "u1")
+        for h in P.np.concatenate(hashes) >> P.np.uint64(64 - P.FILTER_BITS):
+            bits[int(h) >> 3] |= 1 << (int(h) & 7)
+        return P._Filter(bits)
+
+    before = filter_of(word[1:3], ab, bc)
+    now = filter_of(word[:3], ab, bc)
+    seen = {k: list(at) for k, at, _ in P._levels(word, 3, before, None)}
+    assert seen == {1: [0, 1, 2], 2: [1], 3: []}
+    more = {k: list(at) for k, at, _ in P._levels(word, 3, now, before)}
+    assert more[2] == [0] and more[3] == [0]

@@ -28,6 +28,7 @@ KEEP = 2_000  # phrases reported for each language
 SHARE = 4  # every fourth document, by a hash, is in the sample
 INSIDE_PERCENT = 80  # a phrase goes if a longer one that holds it has so many percent of its count
 FILTER_BITS = 26  # 8 MB, whatever the number of phrases
+LOW_BITS = 24  # of a hash, sent besides its group
 CHUNK = 400_000  # words numbered and counted together in a task
 GROUP_HASHES = 1_000_000  # about so many hashes of all chunks are counted together
 BREAK = 0
@@ -142,18 +143,22 @@ def _longer(h: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _levels(word: np.ndarray, most: int, proposed: _Filter, before: _Filter | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For 1 to `most` words the places and hashes of the phrases that this pass counts; word: codes, 0 at breaks.
 
-    All single words, and a longer phrase if both its parts without an end are proposed and were not both before.
+    All single words, and a longer phrase if both its parts without an end are proposed, unless the pass before counted it.
+    That pass knew a phrase only if it knew both parts and they were proposed then: a false hit of a part whose own words
+    were not proposed does not count.
     """
     at = np.flatnonzero(word)
     h = word[at]
+    known = np.full(len(h), before is not None)
     yield 1, at, h
     for k in range(2, most + 1):
         yes = proposed(h)
-        old = before(h) if before is not None else np.zeros(len(h), bool)
+        if before is not None:
+            known = known & before(h)
         pair = np.flatnonzero((at[1:] == at[:-1] + 1) & yes[1:] & yes[:-1])
-        new = ~(old[pair] & old[pair + 1])
+        known = known[pair] & known[pair + 1]
         at, h = at[pair], _longer(h[pair], word[at[pair] + k - 1])
-        yield k, at[new], h[new]
+        yield k, at[~known], h[~known]
 
 
 def _bits(hashes: DataFrame) -> np.ndarray:
@@ -180,8 +185,10 @@ def _hash_counts(
     """Filter of the hashes of phrases of `sizes` words that this pass meets at least `least` times.
 
     Hashes are dealt to groups, a power of two, by their first bits; a chunk sends its sorted hashes of a group as one
-    row, of each the next 32 bits and the count.
+    row, of each the next 24 bits, first those met once and then the others with their counts. Hashes that agree so far
+    are counted together, which only lets more through, and at least as many bits are told apart as the filter has.
     """
+    groups = max(groups, 1 << max(0, FILTER_BITS - LOW_BITS))
     first = groups.bit_length() - 1
     kind = np.min_scalar_type(least)  # a count beyond the threshold says no more than the threshold
 
@@ -189,25 +196,34 @@ def _hash_counts(
         for ids, codes in _codes(batches):
             found = [h for k, _, h in _levels(codes[ids], max(sizes), _Filter(proposed.value), before and _Filter(before.value))
                      if k in sizes]
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            group = (h >> np.uint64(64 - first)).astype("i8") if first else np.zeros(len(h), "i8")
-            low = ((h << np.uint64(first)) >> np.uint64(32)).astype("u4")
-            n = np.minimum(n, least).astype(kind)
-            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(h) else []
+            h, n = np.unique(np.concatenate(found) >> np.uint64(64 - first - LOW_BITS), return_counts=True)
+            group = (h >> np.uint64(LOW_BITS)).astype("i8")
+            order = np.argsort(group * 2 + (n > 1), kind="stable")
+            h, n, group = h[order], n[order], group[order]
+            low = np.ascontiguousarray(h.astype("<u4").view("u1").reshape(-1, 4)[:, :LOW_BITS // 8])
+            begin = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(h) else np.zeros(0, "i8")
             ends = [*begin[1:], len(h)]
+            n = np.minimum(n, least).astype(kind)
             yield pa.RecordBatch.from_arrays([
-                pa.array(group[begin] if len(h) else group), pa.array([low[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()),
-                pa.array([n[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary())], names=["part", "low", "n"])
+                pa.array(group[begin]), pa.array([low[a:b].tobytes() for a, b in zip(begin, ends)], pa.binary()),
+                pa.array([n[a:b][n[a:b] > 1].tobytes() for a, b in zip(begin, ends)], pa.binary())], names=["part", "low", "n"])
 
     def counted(table: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x.as_buffer(), "u4") for x in table["low"]])
-        n = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table["n"]])
+        lows, counts = [], []
+        for x, y in zip(table["low"], table["n"]):
+            own = np.frombuffer(x.as_buffer(), "u1").reshape(-1, LOW_BITS // 8)
+            wide = np.zeros((len(own), 4), "u1")
+            wide[:, :LOW_BITS // 8] = own
+            lows.append(wide.view("<u4").ravel())
+            many = np.frombuffer(y.as_buffer(), kind)
+            counts += [np.ones(len(own) - len(many), kind), many]
+        low, n = np.concatenate(lows), np.concatenate(counts)
         order = np.argsort(low, kind="stable")
         low, n = low[order], n[order].astype("i8")
         begin = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         often = low[begin[np.add.reduceat(n, begin) >= least]].astype("u8")
         part = np.uint64(table["part"][0].as_py())
-        h = (often << np.uint64(32 - first)) | (part << np.uint64(64 - first) if first else np.uint64(0))
+        h = (part << np.uint64(LOW_BITS) | often) << np.uint64(64 - first - LOW_BITS)
         return pa.table({"h": h.view("i8")})
 
     rows = tokens.mapInArrow(run, "part long, low binary, n binary")
@@ -231,13 +247,29 @@ def _pass(tokens: DataFrame, most: int, least: int, groups: int, proposed: Broad
                 for j in range(1, k):
                     rank = np.unique(rank * width + ids[at + j], return_inverse=True)[1]
                 _, first, n = np.unique(rank, return_index=True, return_counts=True)
-                phrase = codes[ids[at[first][:, None] + np.arange(k)]].view("i8")
+                phrase = codes[ids[at[first][:, None] + np.arange(k)]].tobytes()
+                ends = pa.array(np.arange(len(n) + 1, dtype="i4") * (8 * k))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="i4") * k), pa.array(phrase.ravel())),
-                     pa.array(h[first].view("i8")), pa.array(n)], names=["phrase", "h", "n"])
-
-    counted = tokens.mapInArrow(run, "phrase array<long>, h long, n long")
-    out = settle(counted.groupBy("phrase", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
+                    [pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(phrase)]), pa.array(n)],
+                    names=["phrase", "n"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrase = [np.frombuffer(x.as_buffer(), "u8") for x in batch.column("phrase")]
+            size = np.array([len(x) for x in phrase], "i8")
+            h = np.zeros(len(size), "u8")
+            for k in np.unique(size):
+                own = np.stack([x for x in phrase if len(x) == k])
+                told = own[:, 0]
+                for j in range(1, k):
+                    told = _longer(told, own[:, j])
+                h[size == k] = told
+            whole = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(size)].astype("i4")), pa.array(np.concatenate([np.zeros(0, "u8"), *phrase]).view("i8")))
+            yield pa.RecordBatch.from_arrays([whole, pa.array(h.view("i8")), batch.column("n")], names=["phrase", "h", "n"])
+
+    counted = tokens.mapInArrow(run, "phrase binary, n long").groupBy("phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    out = settle(counted.mapInArrow(hashed, "phrase array<long>, h long, n long"), "phrases")
     wanted.destroy()  # it lies on every executor's disk
     return out
 
@@ -322,11 +354,11 @@ def mine_collocations(
     candidates = found.where("words > 1").select("lang", "phrase", "words", F.col("n").alias("a"))
     split = F.split("phrase", " ")
     cuts = candidates.withColumn("w", split).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
-    cuts = cuts.select(
-        "lang", "phrase", "words", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"),
-        F.array_join(F.slice("w", F.col("k") + 1, F.col("words") - F.col("k")), " ").alias("rest"))
+    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice("w", 1, F.col("k")), " ").alias("first"))
     parts = found.where(F.col("words").between(1, most - 1)).select("lang", "phrase", "n")
-    cuts = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"]).join(
+    cuts = cuts.join(parts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
+    rest = F.expr("substring(phrase, length(first) + 2)").alias("rest")  # made after the first join, so that it is moved once
+    cuts = cuts.select("lang", "phrase", "a", "k", "l", rest).join(
         parts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
     wide = "cast({} as decimal(20, 0))".format
     score = F.expr(f"cast(2000000 as decimal(7, 0)) * {wide('a')} div ({wide('l')} + {wide('r')})")
