@@ -167,7 +167,7 @@ def test_top_of_few_and_no_rows(spark):
 
 def test_registered_queries_are_those_of_the_contract():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))
     assert "pipeline" in entry.queries() and len(corpus_pipeline.STAGES) == 5
 
 
