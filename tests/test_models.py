@@ -394,6 +394,20 @@ def test_rows_of_a_fit_are_dealt_to_enough_tasks(spark, monkeypatch):
     assert sum(sizes) == 5_000 and max(sizes) <= 100
 
 
+def test_one_specification_is_fitted_on_rows_dealt_to_enough_tasks(frame, monkeypatch):
+    """The learner gets no part of more than ROWS_A_TASK rows, though all rows come in one, and loses none."""
+    sizes, whole = [], M.RandomForestClassifier.fit
+
+    def recorded(self, rows, *more):
+        sizes.extend(len(p) for p in rows.rdd.glom().collect())
+        return whole(self, rows, *more)
+
+    monkeypatch.setattr(M, "ROWS_A_TASK", 20)
+    monkeypatch.setattr(M.RandomForestClassifier, "fit", recorded)
+    M.refit_best(frame.coalesce(1), M.random_forest(), {"numTrees": 2, "maxDepth": 2}, weighted=True)
+    assert sum(sizes) == frame.count() and max(sizes) <= 20
+
+
 def test_shapley_values_of_deep_trees_sum_to_prediction(spark, frame):
     """Too many bits for one table of all cells: each batch works off its own."""
     deep = M.refit_best(frame, M.random_forest(), {"numTrees": 20, "maxDepth": 14}, weighted=True)
