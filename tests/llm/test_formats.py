@@ -165,6 +165,18 @@ def test_top_of_few_and_no_rows(spark):
     assert topk.top_k(df.limit(0), df).count() == topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_search_sends_no_rows_by_way_of_the_driver(spark):
+    """Whatever the tables' size: no broadcast and no join, and a block is copied for a few groups of chunks, not for each chunk."""
+    rng = random.Random(8)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(5)]) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 4 = 0")
+    got = topk.top_k(df, queries, 3, block_rows=40, chunk_rows=2)  # 50 blocks, 250 chunks
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted((q, r, i, s) for q, r, i, s in plain_top(rows, [(i, v) for i, v in rows if i % 4 == 0], 3))
+
+
 def test_registered_queries_are_those_of_the_contract():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names if n[2].isdigit()) == list(range(1, 14))

@@ -21,6 +21,8 @@ from trialspark.llm.common import settle
 BLOCK_ROWS = 8_192  # rows of one block of the index
 CHUNK_ROWS = 256  # queries sent to a block together
 SCALE = 256
+MAX_TASKS = 10_000  # tasks of a search; more blocks share them
+FIELDS = ["ids", "values", "width", "kind"]
 
 
 def quantise(vector: Column, scale: int = SCALE) -> Column:
@@ -135,7 +137,8 @@ def top_k(
     null key, or a vector that is null or holds null or non-finite components, take no part. Vectors of another
     length meet with zeros at their end. A key that stands more than once is one query, with its first vector in
     the order of vectors; each of its rows is a candidate, but not for itself. Empty tables give an empty result.
-    Every block of rows meets every chunk of queries: an exact search has no less to do.
+    Every block of rows meets every chunk of queries: an exact search has no less to do. What is shuffled grows with
+    rows and with queries times blocks; nothing but counts reaches the driver.
     """
     def ready(df: DataFrame) -> DataFrame:
         return df.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
@@ -145,10 +148,12 @@ def top_k(
     asked = settle(ready(queries).groupBy("id").agg(F.min("v").alias("v")), "queries")
     n, q = rows.count(), asked.count()
     blocks, chunks = -(-n // block_rows), -(-q // chunk_rows)
-    packed = "part long, ids binary, values binary, width int"
+    # A block stands in as many groups as keep four tasks a core busy, and each chunk of queries meets it in one of them.
+    groups = max(1, min(chunks, -(-4 * rows.sparkSession.sparkContext.defaultParallelism // max(1, blocks))))
+    packed = "part long, ids binary, values binary, width int, kind string"
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a part, sorted by part, as one row: ids and vectors as bytes."""
+        """Rows of a part, sorted by part, as one row: ids and vectors as bytes, in the smallest type that holds them."""
         part, held = None, []
 
         def out() -> pa.RecordBatch:
@@ -157,8 +162,11 @@ def top_k(
             values = np.zeros((len(held), width), "i8")
             for r, (_, v) in enumerate(held):
                 values[r, :len(v)] = v
-            return pa.RecordBatch.from_pydict(
-                {"part": [part], "ids": [ids.tobytes()], "values": [values.tobytes()], "width": pa.array([width], pa.int32())})
+            low, high = int(values.min(initial=0)), int(values.max(initial=0))
+            kind = next(t for t in ("i1", "i2", "i4", "i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+            return pa.RecordBatch.from_pydict({
+                "part": [part], "ids": [ids.tobytes()], "values": [values.astype(kind).tobytes()],
+                "width": pa.array([width], pa.int32()), "kind": [kind]})
 
         for batch in batches:
             for p, i, v in zip(*(batch.column(c) for c in range(3))):
@@ -174,26 +182,33 @@ def top_k(
         spread = df.select(F.pmod(F.xxhash64("id", "v"), F.lit(max(1, n))).alias("part"), "id", "v")
         return spread.repartition("part").sortWithinPartitions("part").mapInArrow(pack, packed)
 
-    index = parts(rows, blocks)
-    sent = parts(asked, chunks).withColumnsRenamed({"part": "chunk", "ids": "q_ids", "values": "q_values", "width": "q_width"}).withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, blocks - 1)).cast("long"))))
-    tasks = index.join(sent, "part").repartition("part", "chunk")
+    def numbers(upto: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, upto - 1)).cast("long")))
+
+    # Blocks and chunks meet by one shuffle of both and the order of a sort, not by a join: a join would copy a block for
+    # each chunk, and as explode hides how many rows it makes, Spark would send all copies of the queries by way of the driver.
+    index = parts(rows, blocks).select("part", numbers(groups).alias("slice"), F.lit(-1).cast("long").alias("chunk"), *FIELDS)
+    sent = parts(asked, chunks).select(
+        numbers(blocks).alias("block"), F.pmod("part", F.lit(groups)).alias("slice"), F.col("part").alias("chunk"), *FIELDS)
+    tasks = index.union(sent).repartition(max(1, min(blocks * groups, MAX_TASKS)), "part", "slice").sortWithinPartitions(
+        "part", "slice", "chunk")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block comes before its chunks, so a task holds one block and one batch."""
         held, slices = None, None
         for batch in batches:
-            found: list[tuple[int, int, int]] = []
-            for row in batch.select(["part", "ids", "values", "width", "q_ids", "q_values", "q_width"]).to_pylist():
-                if row["part"] != held:
-                    held = row["part"]
-                    values = np.frombuffer(row["values"], "i8").reshape(-1, row["width"])
-                    slices = BitSlices(np.frombuffer(row["ids"], "i8"), values)
-                asked_ids = np.frombuffer(row["q_ids"], "i8")
-                weights = np.frombuffer(row["q_values"], "i8").reshape(len(asked_ids), row["q_width"])[:, :row["width"]]
-                for own, weight in zip(asked_ids.tolist(), weights):
-                    found += [(own, i, s) for i, s in slices.top(weight, k, own)]
-            columns = [pa.array([f[c] for f in found], pa.int64()) for c in range(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+            for r in range(batch.num_rows):
+                part, group, chunk, ids, values, width, kind = (batch.column(c)[r] for c in range(7))
+                ids = np.frombuffer(ids.as_buffer(), "i8")
+                values = np.frombuffer(values.as_buffer(), kind.as_py()).reshape(len(ids), width.as_py()).astype("i8")
+                if chunk.as_py() < 0:
+                    held, slices = (part.as_py(), group.as_py()), BitSlices(ids, values)
+                    continue
+                if held != (part.as_py(), group.as_py()):  # no row has this block's number
+                    continue
+                found = [(own, i, s) for own, weight in zip(ids.tolist(), values) for i, s in slices.top(weight[:len(slices.low)], k, own)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "id", "score"])
 
     best = tasks.mapInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
