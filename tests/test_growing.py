@@ -12,6 +12,7 @@ from trialspark import schema as S
 from trialspark.operators import growing as G, split, training as M, trees
 from trialspark.operators.evaluate import binary_metrics
 from trialspark.operators.scoring import score
+from trialspark.plans.catalog import models as catalog
 
 
 def made(n, seed=7, missing=0.0):
@@ -143,3 +144,23 @@ def test_deepest_grid_of_a_search_runs_no_job_for_a_group_of_nodes(spark, frame,
     monkeypatch.setattr(M.RandomForestClassifier, "fit", None)
     found = M.train_random_forest(frame, {**M.FOREST_GRID, "numTrees": [4, 8]}, folds=2)
     assert len(found.metrics) == 12 and all(m["MEAN_ROC_AUC"] > 0.5 for m in found.metrics)
+
+
+def searched(monkeypatch, frame):
+    """Points that a query asks for, by kind of model; searches are run on small ensembles."""
+    asked = {}
+    for name, size in (("train_random_forest", "numTrees"), ("train_boosted_trees", "maxIter")):
+        def small(train, grid, folds, whole=getattr(M, name), name=name, size=size):
+            asked[name] = M.grid_points(grid)
+            return whole(train, [{**p, size: p[size] // 100} for p in asked[name]], folds=folds)
+
+        monkeypatch.setattr(M, name, small)
+    monkeypatch.setattr(catalog, "parts", lambda t: (split.stratified_folds(frame.drop("FOLD")), frame))
+    return asked
+
+
+def test_train_random_forest_searches_the_whole_grid(frame, monkeypatch):
+    asked = searched(monkeypatch, frame)
+    row = catalog.train_random_forest(None).first()
+    assert asked["train_random_forest"] == M.grid_points(M.FOREST_GRID) and len(M.grid_points(M.FOREST_GRID)) == 12
+    assert row["MODEL"] == "Random Forest" and row["ROC_AUC"] > 0.6
