@@ -164,3 +164,11 @@ def test_train_random_forest_searches_the_whole_grid(frame, monkeypatch):
     row = catalog.train_random_forest(None).first()
     assert asked["train_random_forest"] == M.grid_points(M.FOREST_GRID) and len(M.grid_points(M.FOREST_GRID)) == 12
     assert row["MODEL"] == "Random Forest" and row["ROC_AUC"] > 0.6
+
+
+def test_cv_results_has_every_point_of_both_grids(spark, frame, monkeypatch):
+    asked = searched(monkeypatch, frame)
+    rows = catalog.cv_results(type("Trial", (), {"spark": spark})).collect()
+    assert asked == {"train_random_forest": M.grid_points(M.FOREST_GRID), "train_boosted_trees": M.grid_points(M.BOOST_GRID)}
+    assert [sum(r["MODEL"] == m for r in rows) for m in ("Random Forest", "Boosted Trees")] == [12, 24]
+    assert sum(r["IS_BEST"] == "Y" for r in rows) == 2 and all(r["MEAN_ROC_AUC"] > 0.5 for r in rows)
